@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import decontam, langid, mixing, quality
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_by_own_labels(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality(docs).select(
@@ -21,7 +29,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op4_benchmark_decontamination, op7_language_id, op10_quality_rules)}
 
 #: Words of a line or text, for DuckDB.
 _W = r"[^\x20\x09-\x0D]+"
@@ -73,4 +81,21 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM q
 """
 
-ORACLES: dict[str, str] = {"op1_mixing": _MIXING, "op10_quality_rules": _QUALITY}
+_AW = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_DECONTAM = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_AW}') AS ws FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_FOLD}, '{_AW}') AS ws FROM benchmark),
+p AS (SELECT DISTINCT item, len(v) AS n, array_to_string(v, ' ') AS v FROM (
+  SELECT item, ws[i:i + least(13, len(ws)) - 1] AS v FROM b, unnest(range(1, greatest(2, len(ws) - 11))) u(i) WHERE len(ws) > 0)),
+k AS (SELECT DISTINCT n FROM p),
+h AS (SELECT doc_id, i, n, item FROM (
+    SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS v FROM d, k, unnest(range(1, len(ws) - n + 2)) u(i)) JOIN p USING (n, v)),
+c AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM h, unnest(range(0, n)) u(j) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_mixing": _MIXING, "op4_benchmark_decontamination": _DECONTAM, "op10_quality_rules": _QUALITY}
