@@ -157,8 +157,8 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def window_hash(word_hash: np.ndarray, n: int, base: int = 0xD1B54A32D192ED03) -> np.ndarray:
     """For each start, a 64-bit hash of n words in a row (len - n + 1 of them); documents aren't told apart."""
-    q, out, done = np.uint64(base | 1), None, 0
-    part, span, power = word_hash, 1, q  # part[i]: the hash of span words from i; power: q ** span
+    out, done = None, 0
+    part, span, power = word_hash, 1, np.full(1, base | 1, np.uint64)  # arrays wrap around silently; part[i]: the hash of span words from i; power: q ** span
     rest = n
     while rest:
         if rest & 1:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, quality, secrets
+from . import decontam, langid, mixing, neardup, quality, secrets
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_by_own_labels(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_benchmark_decontamination, op7_language_id, op9_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op4_benchmark_decontamination, op5_minhash_near_dedup, op7_language_id, op9_secret_scan, op10_quality_rules)}
 
 #: Words of a line or text, for DuckDB.
 _W = r"[^\x20\x09-\x0D]+"
@@ -103,4 +107,20 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_mixing": _MIXING, "op4_benchmark_decontamination": _DECONTAM, "op10_quality_rules": _QUALITY}
+_NEAR_DUP = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_W}') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END AS g
+      FROM d, unnest(range(1, greatest(2, len(ws)))) u(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id
+      JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+      WHERE 100 * least(p.n, q.n) >= 80 * greatest(p.n, q.n)
+      GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.c),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, component_id = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_mixing": _MIXING, "op4_benchmark_decontamination": _DECONTAM, "op5_minhash_near_dedup": _NEAR_DUP, "op10_quality_rules": _QUALITY}
