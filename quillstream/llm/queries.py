@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, neardup, quality, secrets
+from . import decontam, langid, mixing, neardup, quality, secrets, substring_dedup
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.deduplicate(table(spark, sf_dir, "documents")))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -38,7 +42,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_benchmark_decontamination, op5_minhash_near_dedup, op7_language_id, op9_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op4_benchmark_decontamination, op5_minhash_near_dedup, op7_language_id, op9_secret_scan, op10_quality_rules)}
 
 #: Words of a line or text, for DuckDB.
 _W = r"[^\x20\x09-\x0D]+"
@@ -123,4 +127,16 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, component
 FROM d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_mixing": _MIXING, "op4_benchmark_decontamination": _DECONTAM, "op5_minhash_near_dedup": _NEAR_DUP, "op10_quality_rules": _QUALITY}
+_SUBSTRING = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_W}') AS ws FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS v FROM d, unnest(range(1, len(ws) - 48)) u(i)),
+m AS (SELECT v, min(doc_id) AS first_doc FROM v GROUP BY v),
+x AS (SELECT DISTINCT doc_id, i + j AS w FROM v JOIN m USING (v), range(50) r(j) WHERE first_doc < doc_id),
+k AS (SELECT doc_id, list(w) AS gone FROM x GROUP BY doc_id),
+r AS (SELECT d.doc_id, len(ws) AS n, coalesce(len(gone), 0) AS g,
+    array_to_string([t[1] FOR t IN list_zip(ws, range(1, len(ws) + 1)) IF NOT list_contains(coalesce(gone, []), t[2])], ' ') AS kept
+  FROM d LEFT JOIN k USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_words, g::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM r
+"""
+
+ORACLES: dict[str, str] = {"op1_mixing": _MIXING, "op4_benchmark_decontamination": _DECONTAM, "op5_minhash_near_dedup": _NEAR_DUP, "op2_substring_dedup": _SUBSTRING, "op10_quality_rules": _QUALITY}
