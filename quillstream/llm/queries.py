@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, neardup, quality, secrets, substring_dedup
+from . import decontam, langid, line_dedup, mixing, neardup, quality, secrets, substring_dedup
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.deduplicate_lines(table(spark, sf_dir, "documents")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_by_own_labels(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op4_benchmark_decontamination, op5_minhash_near_dedup, op7_language_id, op9_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op4_benchmark_decontamination, op5_minhash_near_dedup, op6_line_dedup, op7_language_id, op9_secret_scan, op10_quality_rules)}
 
 #: Words of a line or text, for DuckDB.
 _W = r"[^\x20\x09-\x0D]+"
