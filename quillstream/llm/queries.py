@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_dedup, mixing, neardup, quality, secrets, substring_dedup
+from . import decontam, html_text, langid, line_dedup, mixing, neardup, quality, secrets, substring_dedup
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.deduplicate(table(spark, sf_dir, "documents")))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -46,7 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op4_benchmark_decontamination, op5_minhash_near_dedup, op6_line_dedup, op7_language_id, op9_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_html_extraction, op4_benchmark_decontamination, op5_minhash_near_dedup, op6_line_dedup, op7_language_id, op9_secret_scan, op10_quality_rules)}
 
 #: Words of a line or text, for DuckDB.
 _W = r"[^\x20\x09-\x0D]+"
