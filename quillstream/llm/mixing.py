@@ -8,10 +8,12 @@ order, laid end to end and repeated as often as the schedule asks (three times a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, stash
@@ -67,16 +69,16 @@ def mix(
         raise ValueError(f"more than {MAX_SOURCES} sources")
     sizes = [r["total"] for r in found]
     targets = water_fill(sizes, weigh(len(sizes)))
-    plan = spark.createDataFrame(
-        [(i, r["source"], r["total"], t) for i, (r, t) in enumerate(zip(found, targets))],
-        "source_no long, source string, source_size long, target double",
-    )
+    plan = spark.createDataFrame(pa.table({
+        "source_no": pa.array(range(len(found)), pa.int64()), "source": pa.array([r["source"] for r in found], pa.string()),
+        "source_size": pa.array(sizes, pa.int64()), "target": pa.array(targets, pa.float64()),
+    }))
     sized = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
 
     ordered = _positions(sized.where("size > 0"), seed, sum(r["rows"] for r in found))
     total = sum(sizes)
     n_slots = -(-total // block_words)
-    slots = _slots(spark, n_slots, _bounds(targets, total), chunk)
+    slots, asked = _slots(spark, n_slots, _bounds(targets, total), chunk)
 
     # each document, in each epoch, covers the blocks from its first word's to its last word's
     begin = F.col("begin") + F.col("epoch") * F.col("source_size")
@@ -86,7 +88,6 @@ def mix(
         .withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words))))
     )
     # blocks that no slot asks for go before they are shuffled
-    asked = slots.groupBy("source_no").agg(F.count(F.lit(1)).alias("asked"))
     spread = spread.join(F.broadcast(asked), "source_no").where("block < asked")
     low = F.greatest(F.col("at"), F.col("block") * block_words)
     high = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words, F.col("source_size") * MAX_EPOCHS)
@@ -107,19 +108,37 @@ def _bounds(targets: Sequence[float], total: int) -> list[int]:
     return [x * GRID // sums[-1] if total else 0 for x in sums]
 
 
-def _slots(spark, n_slots: int, bounds: Sequence[int], chunk: int) -> DataFrame:
-    """(slot, source_no, block): block is the slot's rank among its source's slots."""
-    shares = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))], "source_no long, low long, high long")
-    point = (F.col("slot") % GRID * GOLDEN) % GRID
-    slots = spark.range(n_slots).select(F.col("id").alias("slot")).select("slot", point.alias("point"), F.floor(F.col("slot") / chunk).alias("chunk"))
-    slots = slots.join(F.broadcast(shares), (F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))).drop("low", "high", "point")
+def _chunk_slots(chunk_no: int, n_slots: int, bounds: Sequence[int], chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of a chunk, and the source of each."""
+    slot = np.arange(chunk_no * chunk, min(n_slots, (chunk_no + 1) * chunk), dtype=np.int64)
+    return slot, np.searchsorted(np.array(bounds[1:]), slot % GRID * GOLDEN % GRID, side="right")
+
+
+def _slots(spark: SparkSession, n_slots: int, bounds: Sequence[int], chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(slot, source_no, block), where block is the slot's rank among its source's slots, and (source_no, asked)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in batch.column(0).to_pylist():
+                source, n = np.unique(_chunk_slots(c, n_slots, bounds, chunk)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([c] * len(n), pa.int64()), pa.array(source, pa.int64()), pa.array(n, pa.int64())], names=["chunk", "source_no", "n"])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                slot, source = _chunk_slots(c, n_slots, bounds, chunk)
+                block = np.empty(len(slot), np.int64)
+                for b in before:
+                    own = source == b["source_no"]
+                    block[own] = b["offset"] + np.arange(own.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(source, pa.int64()), pa.array(block)], names=["slot", "source_no", "block"])
+
+    counts = stash(spark.range(-(-n_slots // chunk)).mapInArrow(count, "chunk long, source_no long, n long"), "slots")
     before = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        slots.groupBy("source_no", "chunk").agg(F.count(F.lit(1)).alias("n"))
-        .select("source_no", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    )
-    rank = F.row_number().over(Window.partitionBy("source_no", "chunk").orderBy("slot"))
-    return slots.withColumn("rank", rank).join(offsets, ["source_no", "chunk"]).select("slot", "source_no", (F.col("offset") + F.col("rank") - 1).alias("block"))
+    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    chunks = offsets.groupBy("chunk").agg(F.collect_list(F.struct("source_no", "offset")).alias("before"))  # one entry a source
+    slots = chunks.mapInArrow(rank, "slot long, source_no long, block long")
+    return slots, counts.groupBy("source_no").agg(F.sum("n").alias("asked"))
 
 
 def shuffled_key(doc_id: Column, seed: str) -> Column:
