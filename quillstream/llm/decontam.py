@@ -12,14 +12,14 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, Tokens, slices
+from .common import ALNUM_WORDS, Tokens, columns, slices
 
 WINDOW = 13
 #: Characters of benchmark text that are searched in one pass over the documents; a larger benchmark takes more passes.
@@ -200,7 +200,7 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[head], np.append(reach[np.flatnonzero(head)[1:] - 1], reach[-1])
 
 
-def _scan(blocks, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(blocks, window: int, keep: Sequence[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     phrases = Phrases(blocks.value, window)
     for batch in slices(batches):
         tokens = Tokens(batch.column(1), ALNUM_WORDS, fold=True)
@@ -222,9 +222,9 @@ def _scan(blocks, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0).cast(pa.int64()), pa.array(np.diff(tokens.first), pa.int64()),
-                pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())),
+                pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), *batch.columns[2:],
             ],
-            names=["doc_id", "n_words", "starts", "ends", "items"],
+            names=["doc_id", "n_words", "starts", "ends", "items", *keep],
         )
 
 
@@ -240,9 +240,11 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
     yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, n_words, spans, items) of docs(doc_id, text): one row for each input row.
 
+    The columns of docs that keep names follow, unchanged.
+
     spans: array<struct<start, end>> of merged word ranges (end exclusive) that windows of benchmark
     (item_id, text) cover; items: the ids, as sorted strings, of the items with an occurring window. Null
     and empty texts have no words, no spans and no items; null item texts are ignored; repeated rows of
@@ -251,38 +253,40 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     Other columns aren't read. An empty benchmark finds nothing. Documents are never shuffled: each task
     indexes its own shards, and a benchmark of more than BLOCK_CHARS characters is searched in blocks.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    schema = SCHEMA + columns(docs, keep)
+    docs = docs.select(F.col("doc_id").cast("long"), "text", *(F.col(c).alias(f"keep_{c}") for c in keep))
     context = docs.sparkSession.sparkContext
     found = None
     for n, block in enumerate(_blocks(benchmark)):
         shared = context.broadcast(block)
-        part = docs.mapInArrow(lambda batches, shared=shared: _scan(shared, window, batches), SCHEMA)
+        part = docs.mapInArrow(lambda batches, shared=shared: _scan(shared, window, keep, batches), schema)
         found = part if found is None else found.union(part)
     if n:
-        found = found.groupBy("doc_id", "n_words").agg(
+        found = found.groupBy("doc_id", "n_words", *keep).agg(
             F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         )
-        found = found.mapInArrow(_merged, SCHEMA)
-    return found.select("doc_id", "n_words", F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")).alias("spans"), "items")
+        found = found.select("doc_id", "n_words", "starts", "ends", "items", *keep).mapInArrow(_merged, schema)
+    return found.select("doc_id", "n_words", F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")).alias("spans"), "items", *keep)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pairs = [merge(np.array(s, np.int64), np.array(e, np.int64)) for s, e in zip(batch["starts"].to_pylist(), batch["ends"].to_pylist())]
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["n_words"], pa.array([s for s, _ in pairs], pa.list_(pa.int32())), pa.array([e for _, e in pairs], pa.list_(pa.int32())), batch["items"]],
+            [batch["doc_id"], batch["n_words"], pa.array([s for s, _ in pairs], pa.list_(pa.int32())), pa.array([e for _, e in pairs], pa.list_(pa.int32())), batch["items"], *batch.columns[5:]],
             names=batch.schema.names,
         )
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The counts and the verdict for each row of contamination()."""
+    """The counts and the verdict for each row of contamination(), with the columns that were kept."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
+        *(c for c in found.columns if c not in ("doc_id", "n_words", "spans", "items")),
     )
 
 

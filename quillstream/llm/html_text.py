@@ -204,12 +204,12 @@ def extract(pages: DataFrame) -> DataFrame:
     ranked = ranged.withColumn("inside", inside).join(offsets, ["host", "range"]).select("page_id", "url", "host", (F.col("offset") + F.col("inside")).alias("rank"))
     ranked = ranked.withColumn("same", F.coalesce("url", F.lit("")))
     lists = keyed.select("page_id", F.coalesce("url", F.lit("")).alias("same"), "keys").dropDuplicates(["page_id", "same"])
-    placed = ranked.join(lists, ["page_id", "same"]).select("page_id", "same", "host", "rank", "keys")
+    placed = ranked.hint("merge").join(lists, ["page_id", "same"]).select("page_id", "same", "host", "rank", "keys")
     # each page hands its lines to the page before and the page after it
     given = placed.select("host", F.explode(F.array(F.struct((F.col("rank") + 1).alias("rank"), F.lit(True).alias("is_before")), F.struct((F.col("rank") - 1).alias("rank"), F.lit(False).alias("is_before")))).alias("to"), "keys")
     given = given.select("host", "to.rank", "to.is_before", "keys").groupBy("host", "rank").agg(
         F.max(F.when(F.col("is_before"), F.col("keys"))).alias("before"), F.max(F.when(~F.col("is_before"), F.col("keys"))).alias("after")
     )
     near = placed.select("page_id", "same", "host", "rank").join(given, ["host", "rank"], "left").dropDuplicates(["page_id", "same"]).select("page_id", "same", "before", "after")
-    rows = pages.withColumn("same", address).join(near, ["page_id", "same"], "left").select("page_id", "url", "html", "before", "after")
+    rows = pages.withColumn("same", address).hint("merge").join(near, ["page_id", "same"], "left").select("page_id", "url", "html", "before", "after")
     return rows.mapInArrow(_extract, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -7,7 +7,7 @@ by the longest character n-grams of it that are known (five characters, then fou
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import columns, slices
 
 #: About this many labelled documents, chosen by a hash of doc_id, are learned from.
 TRAIN_DOCS = 20_000
@@ -126,9 +126,11 @@ def _predict(model: Model, texts: list[str | None], cache: dict[str, np.ndarray]
     return [model.languages[b] if k else UNDETERMINED for b, k in zip(best, known)], np.where(known, score, 0.0)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): one row for each row of docs(doc_id, text, ...).
 
+    The columns of docs that keep names follow, unchanged.
+
     The prediction reads the text alone, all of it. A null or empty text, or one without a letter, is
     `und` with score 0; so is every text when the model learned no language. A letter text of which
     nothing is known, and a tie, get the first language by code point. Extra columns aren't read.
@@ -139,12 +141,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         cache: dict[str, np.ndarray] = {}
         for batch in slices(batches):
             names, scores = _predict(shared.value, batch.column(2).to_pylist(), cache)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", *keep])
 
-    rows = docs.select(F.col("doc_id").cast("long"), (bucket(F.col("doc_id")) == 0).alias("held_out"), "text")
-    return rows.mapInArrow(scan, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long"), (bucket(F.col("doc_id")) == 0).alias("held_out"), "text", *(F.col(c).alias(f"keep_{c}") for c in keep))
+    return rows.mapInArrow(scan, "doc_id long, held_out boolean, lang_pred string, score double" + columns(docs, keep))
 
 
-def identify_by_own_labels(docs: DataFrame) -> DataFrame:
+def identify_by_own_labels(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Learn from the documents that aren't held out, then predict them all."""
-    return identify(docs, train(docs.where(bucket(F.col("doc_id")) != 0).select("doc_id", "text", "lang")))
+    return identify(docs, keep=keep, model=train(docs.where(bucket(F.col("doc_id")) != 0).select("doc_id", "text", "lang")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, langid, line_dedup, mixing, neardup, quality, secrets, substring_dedup
+from . import decontam, html_text, langid, line_dedup, lm_score, mixing, neardup, quality, secrets, substring_dedup
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_by_own_labels(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_by_own_words(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digest(secrets.scan(docs, secrets.train(docs)))
@@ -50,7 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_html_extraction, op4_benchmark_decontamination, op5_minhash_near_dedup, op6_line_dedup, op7_language_id, op9_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_html_extraction, op4_benchmark_decontamination, op5_minhash_near_dedup, op6_line_dedup, op7_language_id, op8_lm_scoring, op9_secret_scan, op10_quality_rules)}
 
 #: Words of a line or text, for DuckDB.
 _W = r"[^\x20\x09-\x0D]+"

@@ -124,14 +124,15 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     no rows. Extra columns aren't read. Fingerprints have 64 bits.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
+    # merge joins throughout: what Spark guesses of the size of Python output is far too low
     anchors = docs.mapInArrow(lambda b: _anchors(window, anchor, b), "anchor long, doc_id long")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    shared = stash(anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared")), "shared")
-    lookups = docs.join(shared, "doc_id").select("doc_id", "text", "shared").mapInArrow(lambda b: _lookups(window, anchor, b), "print long, doc_id long, place int")
+    shared = stash(anchors.hint("merge").join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared")), "shared")
+    lookups = docs.hint("merge").join(shared, "doc_id").select("doc_id", "text", "shared").mapInArrow(lambda b: _lookups(window, anchor, b), "print long, doc_id long, place int")
     # a fingerprint's earliest document is found by partial sums, and handed back in a join that splits skewed keys
     earliest = lookups.groupBy("print").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("latest")).where("source < latest").select("print", "source")
-    found = lookups.join(earliest, "print").where("source < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("place", "source")).alias("found"))
-    return docs.join(found, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(
+    found = lookups.hint("merge").join(earliest, "print").where("source < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("place", "source")).alias("found"))
+    return docs.hint("merge").join(found, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(
         lambda b: _parse(window, b),
         "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start:int,end:int,source:long>>",
     )
