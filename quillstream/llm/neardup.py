@@ -3,20 +3,21 @@
 A document's signature is SYMBOLS minima of its shingle set, each cut to 16 bits. It is split into
 CHUNKS; two signatures that differ in at most 2 * CHUNKS - 1 symbols have, by the pigeonhole principle, a
 chunk with at most one difference. Every chunk is therefore indexed once for each symbol left out, which
-enumerates that one error, and meeting in any index entry makes a candidate. Candidates whose
-signatures are near are confirmed on the full sets.
+enumerates that one error, and meeting in any index entry makes a candidate.
 
-Within an entry every document is first held against one pivot, which joins a group of copies at a cost
-linear in its size. Entries that then still hold unlinked documents are compared completely, in blocks.
+Within an entry, near signatures are joined to a spanning forest, never to all pairs. The forests of all
+entries make families; each link lies within a family, where full sets are compared until its
+components are known, again emitting a spanning forest. Large entries and families are cut into blocks,
+and every two blocks meet in a task of bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE_WORDS, Tokens, mix, signed, slices, stash, window_hash, within
@@ -24,10 +25,10 @@ from .graph import components
 
 CHUNKS, PER_CHUNK = 8, 5
 SYMBOLS = CHUNKS * PER_CHUNK
-#: Candidates may differ in so many symbols: of 40 symbols of a pair at a similarity of 0.8, over 20 differ once in 200,000 pairs.
-DISTANCE = 20
-#: Members of an index entry that are compared at once.
-BLOCK = 1000
+#: Candidates may differ in so many symbols: of pairs at a similarity of 0.8, one in 6,000 differs in more, and of pairs at 0.85 one in 300,000.
+DISTANCE = 17
+#: Documents and shingles of a block; two blocks are compared in one task.
+BLOCK, BLOCK_SHINGLES = 1000, 1_500_000
 _SALTS = np.random.default_rng(5).integers(1, 2**63, size=(2, SYMBOLS), dtype=np.uint64)
 
 
@@ -68,8 +69,8 @@ def _sign(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         digests = [signed(s[first[1:]] - s[first[:-1]]) for s in sums]  # of the set, in any order
         symbols = signatures(hashes, first)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.diff(first), pa.int64()), pa.array(digests[0]), pa.array(digests[1]), pa.array([s.tobytes() for s in symbols], pa.binary())],
-            names=["doc_id", "n_shingles", "set_a", "set_b", "signature"],
+            [batch.column(0), pa.array(np.diff(first), pa.int64()), pa.array(digests[0]), pa.array(digests[1]), pa.array([s.tobytes() for s in symbols], pa.binary()), pa.array([s.tobytes() for s in symbols.astype(np.uint8)], pa.binary())],
+            names=["doc_id", "n_shingles", "set_a", "set_b", "signature", "brief"],
         )
 
 
@@ -89,68 +90,102 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     packed = packed << np.uint64(16) | chunks[:, :, i]
             keys[:, :, out] = mix(mix(packed) + np.arange(CHUNKS, dtype=np.uint64) * np.uint64(PER_CHUNK) + np.uint64(out + 1))
         ids = np.repeat(batch.column(0).to_numpy(), SYMBOLS)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(keys.reshape(-1))), pa.array(ids)], names=["key", "doc_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(signed(keys.reshape(-1))), pa.array(ids)], names=["group", "doc_id"])
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs (a, b, signature_a, signature_b) whose signatures are near."""
-    for batch in batches:
-        if batch.num_rows:
-            near = (_symbols(batch.column(2)) != _symbols(batch.column(3))).sum(axis=1) <= DISTANCE
-            yield batch.select([0, 1]).filter(pa.array(near))
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs with different components within each run of equal (key, low, high); rows come sorted by these."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows with equal (group, low, high); rows come sorted by these."""
     held: list[pa.RecordBatch] = []
-
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        ids, group = rows["doc_id"].to_numpy(), rows["component"].to_numpy()
-        block, symbols = rows["block"].to_numpy(), _symbols(rows["signature"])
-        cross = rows["low"][0] != rows["high"][0]
-        a, b = [], []
-        for i in range(len(ids) - 1):
-            apart = (group[i + 1 :] != group[i]) & ((block[i + 1 :] != block[i]) if cross else True)
-            rest = np.flatnonzero(apart) + i + 1
-            rest = rest[(symbols[rest] != symbols[i]).sum(axis=1) <= DISTANCE]
-            a.append(np.minimum(ids[rest], ids[i])), b.append(np.maximum(ids[rest], ids[i]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = [batch[c].to_numpy() for c in ("key", "low", "high")]
+        keys = [batch[c].to_numpy() for c in ("group", "low", "high")]
         cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
         for begin, end in zip([0, *cuts], [*cuts, batch.num_rows]):
             here = tuple(k[begin] for k in keys)
             if held and here != last:
-                rows = pa.Table.from_batches(held)
-                if rows.num_rows > 1:
-                    yield pairs(rows)
+                yield pa.Table.from_batches(held)
                 held = []
             last = here
             held.append(batch.slice(begin, end - begin))
-    if held and (rows := pa.Table.from_batches(held)).num_rows > 1:
-        yield pairs(rows)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of 0..n-1; linked(i, rest) says which of rest are linked with i."""
+    rest, out = np.arange(n), []
+    while len(rest):
+        todo, rest = [rest[0]], rest[1:]
+        while todo and len(rest):
+            i = todo.pop()
+            hit = linked(i, rest)
+            new = rest[hit]
+            out += [(i, j) for j in new.tolist()]
+            todo += new.tolist()
+            rest = rest[~hit]
+    return out
+
+
+def _edges(ids: np.ndarray, forest: list[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = ids[np.array(forest, np.int64).reshape(-1, 2)]
+    return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
+
+
+def _similar_sizes(percent: int, n: np.ndarray, i: int, rest: np.ndarray) -> np.ndarray:
+    return 100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])
+
+
+def _near(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each index entry, a spanning forest of the near signatures."""
+    for rows in _groups(batches):
+        if rows.num_rows < 2:
+            continue
+        n, symbols = rows["n_shingles"].to_numpy(), np.frombuffer(b"".join(rows["brief"].to_pylist()), np.uint8).reshape(-1, SYMBOLS)
+        near = lambda i, rest: _similar_sizes(percent, n, i, rest) & ((symbols[rest] != symbols[i]).sum(axis=1) <= DISTANCE)  # noqa: E731, B023
+        yield _edges(rows["doc_id"].to_numpy(), _forest(len(n), near))
+
+
+def _link(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of two blocks of a family, a spanning forest of the documents whose full sets are similar."""
+    for rows in _groups(batches):
+        if rows.num_rows < 2:
+            continue
+        parts = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
+        n = np.array([len(x) for x in parts])
+        distinct, local = np.unique(np.concatenate(parts), return_inverse=True)
+        first = np.concatenate([[0], np.cumsum(n)])
+        mark = np.zeros(len(distinct), np.int32)
+
+        def similar(i: int, rest: np.ndarray) -> np.ndarray:
+            out = _similar_sizes(percent, n, i, rest)
+            some = rest[out]
+            if len(some):
+                mark[local[first[i] : first[i + 1]]] = 1
+                at = np.repeat(first[some] - np.concatenate([[0], np.cumsum(n[some])[:-1]]), n[some]) + np.arange(n[some].sum())
+                common = np.add.reduceat(mark[local[at]], np.concatenate([[0], np.cumsum(n[some])[:-1]]))
+                mark[local[first[i] : first[i + 1]]] = 0
+                out[out] = 100 * common >= percent * (n[some] + n[i] - common)
+            return out
+
+        yield _edges(rows["doc_id"].to_numpy(), _forest(len(n), similar))
 
 
 def _sets(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         hashes, first = shingle_sets(batch.column(1), shingle)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashes[x:y].tobytes() for x, y in zip(first, first[1:])], pa.binary())], names=["doc_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashes[x:y].tobytes() for x, y in zip(first, first[1:])], pa.binary()), batch.column(2), batch.column(3)], names=["doc_id", "shingles", "group", "blocks"])
 
 
-def _confirm(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch["left"].to_pylist(), batch["right"].to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([x, y])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * common >= percent * (len(x) + len(y) - common))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _blocked(rows: DataFrame, blocks: Column) -> DataFrame:
+    """rows(group, doc_id, ...) dealt out so that every two of a group's blocks meet in one run of (group, low, high)."""
+    rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    # a block meets all others; one alone meets itself
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
+    rows = rows.withColumn("other", F.explode(others)).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    rows = rows.drop("blocks", "block", "other").repartition("group", "low", "high")
+    return rows.sortWithinPartitions("group", "low", "high", "doc_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -162,46 +197,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     with fewer words than a shingle has one shingle. Equal sets are linked whatever their number. Rows of
     one doc_id share its component. An empty table gives no rows; extra columns aren't read.
 
-    All pairs whose signatures differ in at most 15 of 40 symbols are certain to be compared; a pair at
-    the threshold itself is missed about three times in 100,000.
+    All pairs whose signatures differ in at most 15 of 40 symbols are certain to be compared; of pairs
+    at a similarity of just 0.8 about one in 5,000 isn't.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signed_docs = stash(docs.mapInArrow(lambda b: _sign(shingle, b), "doc_id long, n_shingles long, set_a long, set_b long, signature binary"), "signatures")
-    same = signed_docs.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("leader"), F.first("signature").alias("signature"))
+    rows = stash(docs.mapInArrow(lambda b: _sign(shingle, b), "doc_id long, n_shingles long, set_a long, set_b long, signature binary, brief binary"), "signatures")
+    same = rows.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(
+        F.min("doc_id").alias("leader"), F.min_by("signature", "doc_id").alias("signature"), F.min_by("brief", "doc_id").alias("brief")
+    )
     leaders = stash(same, "leaders")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs, those whose full sets are similar enough."""
-        sign = lambda side: leaders.select(F.col("leader").alias(side), F.col("signature").alias(f"signature_{side}"))
-        pairs = pairs.join(sign("a"), "a").join(sign("b"), "b").select("a", "b", "signature_a", "signature_b")
-        pairs = stash(pairs.mapInArrow(_near, "a long, b long"), "candidates")
-        used = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = docs.join(used, "doc_id", "left_semi").mapInArrow(lambda b: _sets(shingle, b), "doc_id long, shingles binary").dropDuplicates(["doc_id"])
-        side = lambda id_, name: sets.select(F.col("doc_id").alias(id_), F.col("shingles").alias(name))
-        return pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(lambda b: _confirm(percent, b), "a long, b long")
-
-    entries = leaders.select("leader", "signature").mapInArrow(_index, "key long, doc_id long")
-    counted = stash(entries.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size")).where("size > 1"), "entries")
-    crowd = stash(entries.join(counted.where("size > 2"), "key").where("doc_id <> pivot").select("key", "pivot", "size", "doc_id"), "crowd")
-    first = counted.where("size = 2").select(F.col("pivot").alias("a"), F.col("last").alias("b")).union(crowd.select("pivot", "doc_id")).distinct()
-    links = stash(confirmed(first), "links")
+    # merge joins throughout: what Spark guesses of these tables' sizes is far too low
+    entries = leaders.select("leader", "signature").mapInArrow(_index, "group long, doc_id long")
+    counted = entries.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    briefs = leaders.select(F.col("leader").alias("doc_id"), "n_shingles", "brief")
+    crowd = entries.hint("merge").join(counted, "group").hint("merge").join(briefs, "doc_id")
+    near = _blocked(crowd, F.ceil(F.col("size") / BLOCK)).select("group", "low", "high", "doc_id", "n_shingles", "brief")
+    edges = stash(near.mapInArrow(lambda b: _near(percent, b), "a long, b long").distinct(), "near")
+    families = components(edges)
+
+    members = families.hint("merge").join(leaders.select(F.col("leader").alias("id"), "n_shingles"), "id")
+    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
+    members = stash(families.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("group"), "blocks"), "families")
+    sets = docs.hint("merge").join(members, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "group", "blocks")
+    sets = sets.mapInArrow(lambda b: _sets(shingle, b), "doc_id long, shingles binary, group long, blocks long")
+    links = _blocked(sets, F.col("blocks")).select("group", "low", "high", "doc_id", "shingles").mapInArrow(lambda b: _link(percent, b), "a long, b long")
     found = components(links)
 
-    label = lambda df: df.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    crowd = label(crowd)
-    open_ = crowd.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high").select("key", "members")
-    crowd = crowd.join(open_, "key").join(leaders.select(F.col("leader").alias("doc_id"), "signature"), "doc_id")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    crowd = crowd.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    crowd = crowd.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "component", "signature")
-    crowd = crowd.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id")
-    more = stash(crowd.mapInArrow(_compare, "a long, b long").distinct(), "pairs")
-    if not more.isEmpty():
-        late = stash(confirmed(more), "links")
-        if not late.isEmpty():
-            found = components(links.union(late))
-
     ends = leaders.select("leader", "set_a", "set_b", "n_shingles").join(found.withColumnRenamed("id", "leader"), "leader", "left")
     ends = ends.select("set_a", "set_b", "n_shingles", F.coalesce("component", "leader").alias("component"))
-    out = signed_docs.drop("signature").join(ends, ["set_a", "set_b", "n_shingles"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    out = rows.drop("signature", "brief").hint("merge").join(ends, ["set_a", "set_b", "n_shingles"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept"))
