@@ -94,9 +94,10 @@ def mix(
     blocks = spread.select(
         "source_no", "block", "row", "doc_id", (low - F.col("at")).cast("long").alias("from_word"), (high - low).cast("long").alias("n_words")
     )
-    pieces = slots.join(blocks, ["source_no", "block"]).select("slot", "source_no", "row", "doc_id", "from_word", "n_words")
+    pieces = slots.hint("merge").join(blocks, ["source_no", "block"])  # neither side is small
+    pieces = pieces.select("slot", "source_no", "row", "doc_id", "from_word", "n_words")
     taken = pieces.groupBy("row").agg(F.sum("n_words").alias("taken"))
-    documents = sized.join(taken, "row", "left").select(
+    documents = sized.hint("merge").join(taken, "row", "left").select(
         "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
     return pieces.drop("row"), documents
