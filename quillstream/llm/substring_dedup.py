@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def _anchors(window: int, anchor: int, batches: Iterator[pa.RecordBatch]) -> Ite
 
 def _lookups(window: int, anchor: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of each document whose anchor is among its shared ones."""
-    for batch in slices(batches):
+    for batch in slices(b.filter(pc.is_valid(b.column(2))) for b in batches):
         tokens = Tokens(batch.column(1))
         starts, least, words = _windows(tokens, window, anchor)
         doc = tokens.document()[starts]
@@ -128,7 +129,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     anchors = docs.mapInArrow(lambda b: _anchors(window, anchor, b), "anchor long, doc_id long")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     shared = stash(anchors.hint("merge").join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared")), "shared")
-    lookups = docs.hint("merge").join(shared, "doc_id").select("doc_id", "text", "shared").mapInArrow(lambda b: _lookups(window, anchor, b), "print long, doc_id long, place int")
+    # a left join here and below, so that one shuffle of the texts serves all: an inner join would filter them first
+    lookups = docs.hint("merge").join(shared, "doc_id", "left").select("doc_id", "text", "shared").mapInArrow(lambda b: _lookups(window, anchor, b), "print long, doc_id long, place int")
     # a fingerprint's earliest document is found by partial sums, and handed back in a join that splits skewed keys
     earliest = lookups.groupBy("print").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("latest")).where("source < latest").select("print", "source")
     found = lookups.hint("merge").join(earliest, "print").where("source < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("place", "source")).alias("found"))
