@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -172,10 +173,20 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["page_id", "url", "keys"])
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages deflated, as they are about to be shuffled: to half of what Spark's own block compression leaves."""
+    for batch in batches:
+        packed = [zlib.compress(x.encode("utf-8", "surrogatepass"), 1) if x else None for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["page_id", "url", "packed"])
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))
-        texts = [main_text(lines_of(page), [x for x in (before, after) if x]) if page else "" for page, before, after in rows]
+        texts = []
+        for packed, before, after in rows:
+            page = zlib.decompress(packed).decode("utf-8", "surrogatepass") if packed else ""
+            texts.append(main_text(lines_of(page), [x for x in (before, after) if x]) if page else "")
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -204,12 +215,17 @@ def extract(pages: DataFrame) -> DataFrame:
     ranked = ranged.withColumn("inside", inside).join(offsets, ["host", "range"]).select("page_id", "url", "host", (F.col("offset") + F.col("inside")).alias("rank"))
     ranked = ranked.withColumn("same", F.coalesce("url", F.lit("")))
     lists = keyed.select("page_id", F.coalesce("url", F.lit("")).alias("same"), "keys").dropDuplicates(["page_id", "same"])
-    placed = ranked.hint("merge").join(lists, ["page_id", "same"]).select("page_id", "same", "host", "rank", "keys")
-    # each page hands its lines to the page before and the page after it
-    given = placed.select("host", F.explode(F.array(F.struct((F.col("rank") + 1).alias("rank"), F.lit(True).alias("is_before")), F.struct((F.col("rank") - 1).alias("rank"), F.lit(False).alias("is_before")))).alias("to"), "keys")
-    given = given.select("host", "to.rank", "to.is_before", "keys").groupBy("host", "rank").agg(
+    ranked = ranked.dropDuplicates(["page_id", "same"])
+    # who stands before and after a page is found by ids alone; the lines themselves are shuffled once to meet their readers, and once with them
+    given = ranked.select(
+        "host", F.col("page_id").alias("other_id"), F.col("same").alias("other_same"),
+        F.explode(F.array(F.struct((F.col("rank") + 1).alias("rank"), F.lit(True).alias("is_before")), F.struct((F.col("rank") - 1).alias("rank"), F.lit(False).alias("is_before")))).alias("to"),
+    ).select("host", "to.rank", "to.is_before", "other_id", "other_same")
+    pairs = given.hint("merge").join(ranked, ["host", "rank"]).select("page_id", "same", "is_before", "other_id", "other_same")
+    lists = keyed.select(F.col("page_id").alias("other_id"), F.coalesce("url", F.lit("")).alias("other_same"), "keys").dropDuplicates(["other_id", "other_same"])
+    near = pairs.hint("merge").join(lists, ["other_id", "other_same"]).groupBy("page_id", "same").agg(
         F.max(F.when(F.col("is_before"), F.col("keys"))).alias("before"), F.max(F.when(~F.col("is_before"), F.col("keys"))).alias("after")
     )
-    near = placed.select("page_id", "same", "host", "rank").join(given, ["host", "rank"], "left").dropDuplicates(["page_id", "same"]).select("page_id", "same", "before", "after")
-    rows = pages.withColumn("same", address).hint("merge").join(near, ["page_id", "same"], "left").select("page_id", "url", "html", "before", "after")
+    packed = pages.mapInArrow(_pack, "page_id long, url string, packed binary")
+    rows = packed.withColumn("same", address).hint("merge").join(near, ["page_id", "same"], "left").select("page_id", "url", "packed", "before", "after")
     return rows.mapInArrow(_extract, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
