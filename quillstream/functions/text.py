@@ -5,23 +5,31 @@ Offsets and lengths count code points, except in utf16_length().
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: the white space of the data's own rules (Unicode's, without U+0085, with U+FEFF), and the shape of a segment marker
 WS = r"\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WS_CHARS = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 DASH = "[-–—]"
 MARKER_LETTERS = "[BFTCNP]"
 MARKER_ID = MARKER_LETTERS + r"\d+[a-z]?"
 MARKER = f"{MARKER_ID}[{WS}]?{DASH}"
 SPEAKER_LABEL = r"(?:^|\n|[" + WS + r"])([A-Z][\p{L}'ʿʾāīūḥṣḍṭẓ-]*(?:[" + WS + r"]+[A-Z][\p{L}'ʿʾāīūḥṣḍṭẓ-]*){0,2})[" + WS + "]*:"
-_LINE_START = r"(?:\A|(?<=[\n\x{2028}\x{2029}]))"
+_BREAK = r"[\n\x{2028}\x{2029}]"
 _SPECIAL = r".*+?^${}()|[]\/"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     """Without white space (WS) at both ends."""
-    return F.regexp_replace(c, rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def is_blank(c: Column) -> Column:
@@ -36,14 +44,15 @@ def utf16_length(c: Column) -> Column:
 def normalize(c: Column) -> Column:
     """Line ends to \\n, every glued or spaced marker on a line of its own, \\[ to [."""
     lines = F.regexp_replace(c, "\r\n?", "\n")
-    glued = F.regexp_replace(lines, f"([^{WS}])({MARKER})", "$1\n$2")
+    # the look-ahead settles most places with two cheap steps
+    glued = F.regexp_replace(lines, f"(?s)(?=.{MARKER_LETTERS}\\d)([^{WS}])({MARKER})", "$1\n$2")
     spaced = F.regexp_replace(glued, f" ({MARKER})", "\n$1")
     return F.replace(spaced, F.lit("\\["), F.lit("["))
 
 
 def marker_ids(normalized: Column) -> Column:
     """The ids of all markers at line starts, in order."""
-    return F.regexp_extract_all(normalized, F.lit(f"{_LINE_START}({MARKER_ID})[{WS}]?{DASH}"), F.lit(1))
+    return F.regexp_extract_all(normalized, F.lit(f"(?:\\A|{_BREAK})({MARKER_ID})[{WS}]?{DASH}"), F.lit(1))
 
 
 def segments(normalized: Column) -> Column:
@@ -52,22 +61,23 @@ def segments(normalized: Column) -> Column:
     head: where the marker begins; start, end: the trimmed text. What stands before the first marker is
     dropped; repeated ids are kept, in order.
     """
-    chunks = F.split(normalized, f"(?={_LINE_START}{MARKER})")
+    chunks = F.split(normalized, f"{_BREAK}(?={MARKER})", -1)
     header = f"\\A({MARKER_ID})[{WS}]?{DASH}[{WS}]*"
 
     def add(acc: Column, chunk: Column) -> Column:
         name = F.regexp_extract(chunk, header, 1)
-        body = F.regexp_replace(chunk, header, "")
-        text = F.regexp_replace(body, rf"[{WS}]+\z", "")
-        start = acc["at"] + F.length(chunk) - F.length(body)
+        head = F.length(F.regexp_extract(chunk, header, 0))
+        text = F.rtrim(F.substr(chunk, head + 1), F.lit(WS_CHARS))
+        # an empty text is where the next marker begins, or the whole text ends
+        start = acc["at"] + head + F.when((text == "") & (acc["left"] > 1), 1).otherwise(0)
         row = F.struct(
             F.size(acc["out"]).alias("pos"), name.alias("id"), text.alias("text"), acc["at"].alias("head"),
             start.alias("start"), (start + F.length(text)).alias("end"),
         )
-        return F.struct((acc["at"] + F.length(chunk)).alias("at"), F.when(name == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(row))).alias("out"))
+        return F.struct((acc["at"] + F.length(chunk) + 1).alias("at"), (acc["left"] - 1).alias("left"), F.when(name == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(row))).alias("out"))
 
     empty = F.expr("cast(array() as array<struct<pos:int,id:string,text:string,head:int,start:int,end:int>>)")
-    return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+    return let(chunks, lambda a: F.aggregate(a, F.struct(F.lit(0).alias("at"), F.size(a).alias("left"), empty.alias("out")), add, lambda acc: acc["out"]))
 
 
 def segment_map(parsed: Column) -> Column:
@@ -82,16 +92,18 @@ def spans(c: Column, pattern: str) -> Column:
     What split() leaves between the matches, and the matches, add up to the text: their running length is
     each match's place.
     """
-    gaps, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    empty = F.expr("cast(array() as array<struct<text:string,start:int,end:int>>)")
 
     def add(acc: Column, p: Column) -> Column:
         start = acc["at"] + F.length(p["gap"])
         end = start + F.length(p["match"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(p["match"].alias("text"), start.alias("start"), end.alias("end")))).alias("out"))
 
-    empty = F.expr("cast(array() as array<struct<text:string,start:int,end:int>>)")
-    return F.when(F.size(found) == 0, empty).otherwise(F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"]))
+    def placed(found: Column) -> Column:
+        pairs = F.zip_with(F.slice(F.split(c, pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+        return F.when(F.size(found) == 0, empty).otherwise(F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"]))
+
+    return let(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), placed)
 
 
 def occurrences(c: Column, literal: Column) -> Column:

@@ -28,8 +28,13 @@ def _apply(text: Column, corrections: Column, key: Column, refuse: Callable[[Col
         tell = lambda what: F.concat(F.lit(said[what][0]), c["match"], F.lit(said[what][1]), key, F.lit("."))
         issue = F.when(refuse(c["match"]), tell("refused")).when(~hinted(c["match"]), tell("unmatched")).when(~found, tell("absent"))
         size = F.length(c["replacement"])
-        begin = lambda k: F.aggregate(F.slice(gaps, F.lit(1), k + 1), F.lit(0), lambda a, g: a + F.length(g)) + k * size
-        marks = F.transform(F.sequence(F.lit(0), F.size(gaps) - 2), lambda k: F.struct(begin(k).alias("start"), (begin(k) + size).alias("end"), c["match"].alias("title")))
+        none = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,title:string>>)").alias("out"))
+
+        def mark(m: Column, gap: Column) -> Column:
+            begin = m["at"] + F.length(gap)
+            return F.struct((begin + size).alias("at"), F.array_append(m["out"], F.struct(begin.alias("start"), (begin + size).alias("end"), c["match"].alias("title"))).alias("out"))
+
+        marks = F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), none, mark, lambda m: m["out"])
         return F.struct(
             F.when(issue.isNull(), F.replace(acc["text"], c["match"], c["replacement"])).otherwise(acc["text"]).alias("text"),
             (acc["changed"] | issue.isNull()).alias("changed"),

@@ -137,9 +137,8 @@ def _each_segment(c: Context, find: Callable[[Column], Column], make: Callable[[
 def arabic_leak(c: Context) -> Column:
     shown = lambda m: trim(F.replace(m["text"], F.lit("ﷺ"), F.lit("")))
     find = lambda s: F.filter(spans(s["text"], f"{ARABIC}+(?:[{WS}]+{ARABIC}+)*"), lambda m: shown(m) != "")
-    return _each_segment(
-        c, find, lambda s, m: c.error("arabic_leak", _say('Arabic script detected: "', shown(m), '"'), shown(m), s["start"] + m["start"], s["start"] + m["end"], s["id"])
-    )
+    say = lambda text: _say('Arabic script detected: "', text, '"')
+    return _each_segment(c, find, lambda s, m: c.error("arabic_leak", say(shown(m)), shown(m), s["start"] + m["start"], s["start"] + m["end"], s["id"]))
 
 
 @rule("empty_parentheses")
@@ -153,15 +152,14 @@ def empty_parentheses(c: Context) -> Column:
 
 @rule("length_mismatch")
 def length_mismatch(c: Context) -> Column:
-    source = lambda s: utf16_length(trim(F.coalesce(c.source_text(s["id"]), F.lit(""))))
-    own = lambda s: utf16_length(s["text"])
-    bad = F.filter(c.segments, lambda s: (source(s) >= MIN_SOURCE_CHARS) & (own(s) < MIN_RATIO * source(s)))
-    least = lambda s: F.floor(source(s) * MIN_RATIO + 0.5)
-    return F.transform(bad, lambda s: _plain(c, "length_mismatch", F.when(
-        own(s) == 0, _say('Translation for "', s["id"], '" appears empty but arabic text has ', source(s), " characters")
-    ).otherwise(_say(
-        'Translation for "', s["id"], '" appears truncated: ', own(s), " chars for ", source(s), " char arabic text (expected at least ~", least(s), " chars)"
-    )), s))
+    sized = F.transform(c.segments, lambda s: F.struct(s.alias("s"), utf16_length(trim(F.coalesce(c.source_text(s["id"]), F.lit("")))).alias("source"), utf16_length(s["text"]).alias("own")))
+    bad = F.filter(sized, lambda x: (x["source"] >= MIN_SOURCE_CHARS) & (x["own"] < MIN_RATIO * x["source"]))
+    empty = lambda x: _say('Translation for "', x["s"]["id"], '" appears empty but arabic text has ', x["source"], " characters")
+    short = lambda x: _say(
+        'Translation for "', x["s"]["id"], '" appears truncated: ', x["own"], " chars for ", x["source"], " char arabic text (expected at least ~",
+        F.floor(x["source"] * MIN_RATIO + 0.5), " chars)",
+    )
+    return F.transform(bad, lambda x: _plain(c, "length_mismatch", F.when(x["own"] == 0, empty(x)).otherwise(short(x)), x["s"]))
 
 
 def caps_runs(text: Column, least: int) -> Column:
