@@ -127,3 +127,28 @@ def first_of_each(corrections: DataFrame) -> DataFrame:
     """Each (id, match, replacement) once, the first by pos."""
     rank = F.row_number().over(Window.partitionBy("id", "match", "replacement").orderBy("pos"))
     return corrections.withColumn("_n", rank).where("_n = 1").drop("_n")
+
+
+def request(rows: DataFrame, instructions: str) -> DataFrame:
+    """(path, request) of rows(path, id, translation, hints): the instructions, and the excerpts of a file as JSON, by id."""
+    item = F.struct("id", F.col("translation").alias("text"), "hints")
+    return rows.groupBy("path").agg(F.concat(F.lit(instructions.strip() + "\n"), F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("excerpts")))).alias("request"))
+
+
+def reply_schema() -> dict:
+    """The JSON schema that a reply must follow."""
+    text = {"type": "string"}
+    entry = {"type": "object", "properties": {"match": text, "replacement": text}, "required": ["match", "replacement"]}
+    return {"type": "object", "properties": {"results": {"type": "object", "additionalProperties": {"type": "array", "items": entry}}}, "required": ["results"]}
+
+
+def resolve(replies: DataFrame, requested: DataFrame) -> DataFrame:
+    """replies(pos, id, match, replacement) with the path of their excerpt in requested(path, id).
+
+    An id that was not asked for, or that stands in two files, raises an error when the result is read.
+    """
+    homes = requested.groupBy("id").agg(F.min("path").alias("path"), F.countDistinct("path").alias("n"))
+    joined = replies.join(homes, "id", "left")
+    fail = lambda why: F.raise_error(F.concat(F.lit(why), F.col("id")))
+    path = F.when(F.col("n").isNull(), fail("unknown excerpt ")).when(F.col("n") > 1, fail("excerpt of two files ")).otherwise(F.col("path"))
+    return joined.select(path.alias("path"), *replies.columns)

@@ -54,3 +54,8 @@ def select_prompt(prompts: DataFrame, saved_id: str | None = None, saved_content
     """The one prompt that is saved: by id, else by content, else the first that isn't the master."""
     order = F.when(F.col("id") == F.lit(saved_id), 0).when(F.col("content") == F.lit(saved_content), 1).when(~F.col("is_master"), 2).otherwise(3)
     return prompts.orderBy(order, "id").limit(1)
+
+
+def with_prompt(corpus_meta: DataFrame, prompt_id: str, content: str, now: int) -> DataFrame:
+    """meta() with another prompt, stamped in epoch seconds."""
+    return corpus_meta.withColumns({"prompt": F.lit(content), "prompt_id": F.lit(prompt_id), "last_updated_at": F.lit(now).cast("long")})

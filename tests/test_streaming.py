@@ -44,5 +44,5 @@ def test_shift_in_batches(spark, tmp_path):
     queue = spark.createDataFrame([(i, f"P{i}") for i in range(5)], "idx long, id string")
     take = lambda q: q.orderBy("idx").limit(2)
     state = str(tmp_path / "state")
-    assert [[r.id for r in files.shift_in_batches(queue, take, state).collect()] for _ in range(1)] == [["P0", "P1"]]
-    assert spark.read.parquet(state).count() == 2
+    assert [[r.id for r in files.shift_in_batches(queue, take, state).collect()] for _ in range(3)] == [["P0", "P1"], ["P2", "P3"], ["P4"]]
+    assert spark.read.parquet(state).count() == 5
