@@ -17,6 +17,7 @@ from ..functions.values import estimate_tokens, provider, thinking_bucket, trans
 from ..operators import alignment, corpus, corrections, files, packing, patches, playback
 from ..operators.rules import RULES, caps_runs, validate
 from ..streaming import ingest
+from .tables import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,7 +145,10 @@ ranked AS (SELECT *, CASE WHEN state = 'playable' THEN row_number() OVER (PARTIT
 
 def events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as ingest requests: a conversation for each user, seq falls back now and then, some keys repeat."""
-    e = _table(spark, sf_dir, "events")
+    return events_of(_table(spark, sf_dir, "events"))
+
+
+def events_of(e: DataFrame) -> DataFrame:
     return e.select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"), F.col("event_id").alias("arrival"), (F.col("event_id") - F.when(F.col("event_id") % 5 == 0, 400).otherwise(0)).alias("seq"),
         F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("k"), F.col("user_id").cast("string"), F.lit(":"), (F.col("event_id") % 17).cast("string"))).alias("key"), F.col("props").alias("payload"),
@@ -594,6 +598,16 @@ def ingest_idempotent(spark, sf_dir):
     return ingest.ingest_batch(events_view(spark, sf_dir)).select("id", "arrival", "outcome")
 
 
+@query(ORACLES["ingest_idempotent"])
+def stream_ingest(spark, sf_dir):
+    """The same by the stateful stream, over what is there now; its rows and state go to the shared folder."""
+    folder = shared_folder(spark)
+    events = spark.readStream.schema(_table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    found = ingest.ingest_stream(events_of(events)).select("id", "arrival", "outcome")
+    found.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/rows")
+
+
 @query("SELECT thinking AS seconds, CASE WHEN thinking < 0 THEN NULL WHEN thinking < 10 THEN 'lt_10s' WHEN thinking < 30 THEN '10_to_30s' WHEN thinking < 60 THEN '30_to_60s' ELSE '1m_plus' END AS bucket, ceil(length(p_name) / 4)::BIGINT AS tokens, p_partkey FROM (SELECT *, (p_size * 2 - 9)::DOUBLE AS thinking FROM part)")
 def value_functions(spark, sf_dir):
     seconds = (F.col("p_size") * 2 - 9).cast("double")

@@ -9,17 +9,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which driver and executors share (a local one where that is unset, as in tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="quillstream-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/quillstream/table-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df, written as Parquet and read again; without a path in the folder of spark.checkpoint.dir (a local one where that is unset)."""
+    """df, written as Parquet and read again; without a path, in the shared folder."""
     spark = df.sparkSession
-    if path is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="quillstream-")
-            spark.conf.set("spark.checkpoint.dir", folder)
-        path = f"{folder.rstrip('/')}/quillstream/table-{uuid.uuid4().hex}"
+    path = path or shared_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
