@@ -23,7 +23,19 @@ ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of text that are tokenized at once in a Python worker (a longer document is taken alone).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+
+
+#: Rows that Spark hands to Python at once: its default of 10,000 texts may be a hundred MB on both sides.
+BATCH_ROWS = 2_000
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """docs, with the session's Arrow batches bounded (a smaller bound of the user's own stays)."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return docs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, Tokens, columns, slices
+from .common import ALNUM_WORDS, Tokens, columns, slices, small_batches
 
 WINDOW = 13
 #: Characters of benchmark text that are searched in one pass over the documents; a larger benchmark takes more passes.
@@ -254,7 +254,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     indexes its own shards, and a benchmark of more than BLOCK_CHARS characters is searched in blocks.
     """
     schema = SCHEMA + columns(docs, keep)
-    docs = docs.select(F.col("doc_id").cast("long"), "text", *(F.col(c).alias(f"keep_{c}") for c in keep))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long"), "text", *(F.col(c).alias(f"keep_{c}") for c in keep))
     context = docs.sparkSession.sparkContext
     found = None
     for n, block in enumerate(_blocks(benchmark)):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import small_batches, stash
 
 # fixed values: names of HTML elements
 _RAW = frozenset(("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "title", "textarea", "xmp"))
@@ -202,7 +202,7 @@ def extract(pages: DataFrame) -> DataFrame:
     A page's rank in its host is counted in two levels, within ranges and over them, and neighbours meet
     on (host, rank), so no host is ever in one task.
     """
-    pages = pages.select(F.col("page_id").cast("long"), "url", "html")
+    pages = small_batches(pages).select(F.col("page_id").cast("long"), "url", "html")
     address = F.coalesce("url", F.lit(""))
     split = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)"
     keyed = stash(pages.mapInArrow(_keys, "page_id long, url string, keys array<long>"), "page-lines")

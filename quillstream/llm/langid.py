@@ -16,19 +16,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, slices
+from .common import columns, slices, small_batches
 
 #: About this many labelled documents, chosen by a hash of doc_id, are learned from.
 TRAIN_DOCS = 20_000
 #: Words and n-grams that a model may hold in all, over all languages and lengths: bounds what is broadcast.
-MAX_ENTRIES = 400_000
+MAX_ENTRIES = 200_000
 MAX_LANGUAGES = 1_000
 LONGEST = 5
 UNDETERMINED = "und"
 #: The score is the posterior of a text of so many words with the same average evidence (or fewer, if it has fewer).
 SCORE_WORDS = 20
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 100_000
 
 
 @dataclass
@@ -72,7 +72,7 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_entries: int =
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     grams = counts.select("lang", "n", padded.alias("p"), F.explode(F.sequence(F.lit(1), F.lit(LONGEST))).alias("size")).where(F.length("p") >= F.col("size"))
     grams = grams.select("lang", "size", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("p") - F.col("size") + 1), lambda i: F.substring("p", i, F.col("size")))).alias("entry"))
-    grams = grams.groupBy("lang", "size", "entry").agg(F.sum("n").alias("n"))
+    grams = grams.where("entry <> ' '").groupBy("lang", "size", "entry").agg(F.sum("n").alias("n"))
     every = counts.select("lang", F.lit(0).alias("size"), F.concat(F.lit("="), F.col("word")).alias("entry"), "n").unionByName(grams)
     most = max(1, max_entries // (max(1, len(languages)) * (LONGEST + 1)))
     rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "entry"))
@@ -143,7 +143,7 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ()) -> DataFra
             names, scores = _predict(shared.value, batch.column(2).to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", *keep])
 
-    rows = docs.select(F.col("doc_id").cast("long"), (bucket(F.col("doc_id")) == 0).alias("held_out"), "text", *(F.col(c).alias(f"keep_{c}") for c in keep))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), (bucket(F.col("doc_id")) == 0).alias("held_out"), "text", *(F.col(c).alias(f"keep_{c}") for c in keep))
     return rows.mapInArrow(scan, "doc_id long, held_out boolean, lang_pred string, score double" + columns(docs, keep))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, Tokens, mix, signed, slices, stash, window_hash, within
+from .common import SPACE_WORDS, Tokens, mix, signed, slices, small_batches, stash, window_hash, within
 from .graph import components
 
 CHUNKS, PER_CHUNK = 8, 5
@@ -28,7 +28,7 @@ SYMBOLS = CHUNKS * PER_CHUNK
 #: Candidates may differ in so many symbols: of pairs at a similarity of 0.8, one in 6,000 differs in more, and of pairs at 0.85 one in 300,000.
 DISTANCE = 17
 #: Documents and shingles of a block; two blocks are compared in one task.
-BLOCK, BLOCK_SHINGLES = 1000, 1_500_000
+BLOCK, BLOCK_SHINGLES = 1000, 1_000_000
 _SALTS = np.random.default_rng(5).integers(1, 2**63, size=(2, SYMBOLS), dtype=np.uint64)
 
 
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     All pairs whose signatures differ in at most 15 of 40 symbols are certain to be compared; of pairs
     at a similarity of just 0.8 about one in 5,000 isn't.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long"), "text")
     rows = stash(docs.mapInArrow(lambda b: _sign(shingle, b), "doc_id long, n_shingles long, set_a long, set_b long, signature binary, brief binary"), "signatures")
     same = rows.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(
         F.min("doc_id").alias("leader"), F.min_by("signature", "doc_id").alias("signature"), F.min_by("brief", "doc_id").alias("brief")

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, mix, signed, slices, stash, window_hash, within
+from .common import Tokens, mix, signed, slices, small_batches, stash, window_hash, within
 
 WINDOW, ANCHOR = 50, 10
 
@@ -124,7 +124,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     rows of one doc_id aren't earlier than each other; each loses what any of them repeats. An empty table gives
     no rows. Extra columns aren't read. Fingerprints have 64 bits.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long"), "text")
     # merge joins throughout: what Spark guesses of the size of Python output is far too low
     anchors = docs.mapInArrow(lambda b: _anchors(window, anchor, b), "anchor long, doc_id long")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
