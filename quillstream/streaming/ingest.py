@@ -18,19 +18,18 @@ OUTCOME = "id string, arrival long, seq long, key string, payload_sha256 string,
 
 
 def prepared(events: DataFrame, group: Column | None = None) -> DataFrame:
-    """events in the operator's columns. Keys are unique across the ids of one group, by default the id itself."""
+    """events in the operator's columns. Keys are unique across the ids of one group, by default the id itself. seq goes as text: pandas would round a nullable long."""
     return events.select(
-        F.col("id").cast("string"), F.col("arrival").cast("long"), F.col("seq").cast("long"), F.col("key").cast("string"),
-        F.sha2(F.col("payload").cast("string"), 256).alias("payload_sha256"), (F.col("id").cast("string") if group is None else group).alias("group"),
+        F.col("id").cast("string"), F.col("arrival").cast("long"), F.col("seq").cast("long").cast("string"), F.col("key").cast("string"),
+        F.sha2(F.col("payload").cast("string"), 256).alias("payload_sha256"), F.coalesce(F.col("id").cast("string") if group is None else group.cast("string"), F.lit("")).alias("group"),
     )
 
 
 def judge(rows: pd.DataFrame, seqs: dict, keys: set) -> pd.DataFrame:
     """The outcome of each row in turn, with what is known of sequences and keys before (both are updated)."""
     rows = rows.sort_values("arrival", kind="stable")
-    out = []
-    for name, seq, key in zip(rows["id"], rows["seq"], rows["key"]):
-        seq = None if pd.isna(seq) else int(seq)
+    out, numbers = [], [None if x is None else int(x) for x in rows["seq"]]
+    for name, seq, key in zip(rows["id"], numbers, rows["key"]):
         if key is not None and key in keys:
             out.append("duplicate")
         elif seq is not None and seqs.get(name) is not None and seq <= seqs[name]:
@@ -40,12 +39,27 @@ def judge(rows: pd.DataFrame, seqs: dict, keys: set) -> pd.DataFrame:
             if key is not None:
                 keys.add(key)
             out.append("saved")
-    return rows.assign(outcome=out)[["id", "arrival", "seq", "key", "payload_sha256", "outcome"]]
+    done = rows.assign(outcome=out, seq=pd.Series(numbers, index=rows.index, dtype="Int64"))
+    return done[["id", "arrival", "seq", "key", "payload_sha256", "outcome"]]
 
 
 def ingest_batch(events: DataFrame, group: Column | None = None) -> DataFrame:
-    """The outcome of every event of a table. A group's events (one conversation's, by default) are one task's work."""
-    return prepared(events, group).groupBy("group").applyInPandas(lambda rows: judge(rows, {}, set()), OUTCOME)
+    """The outcome of every event of a table.
+
+    A group's events (one conversation's, by default) are walked in order of arrival, batch by batch: a task holds what is
+    known of the group it is at, never the group.
+    """
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, seqs, keys = None, {}, set()
+        for batch in batches:
+            for name, part in batch.groupby("group", sort=False):
+                if name != last:
+                    last, seqs, keys = name, {}, set()
+                yield judge(part, seqs, keys)
+
+    rows = prepared(events, group).repartition("group").sortWithinPartitions("group", "arrival")
+    return rows.mapInPandas(walk, OUTCOME)
 
 
 class _Ingest(StatefulProcessor):

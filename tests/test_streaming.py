@@ -20,6 +20,16 @@ def test_batch(spark):
     assert kept == {"a": 20, "b": 1}
 
 
+def test_large_numbers_and_small_batches(spark):
+    rows = [("a", n, 2**60 + n, f"k{n}") for n in range(50)] + [(None, 1, 5, None), (None, 2, 5, None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = ingest.ingest_batch(spark.createDataFrame(rows, SCHEMA).withColumn("payload", F.lit("p"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r.seq for r in out if r.id)[-1] == 2**60 + 49 and sum(r.outcome == "saved" for r in out) == 51
+
+
 def test_stream_equals_batch_over_several_runs(spark, tmp_path):
     source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
     parts = [events(spark).where("arrival <= 3"), events(spark).where("arrival > 3")]
