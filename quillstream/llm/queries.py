@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import decontam, html_text, langid, line_dedup, lm_score, mixing, neardup, quality, secrets, substring_dedup
 from .common import table

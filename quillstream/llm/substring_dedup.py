@@ -13,7 +13,6 @@ Windows across the border of two factors were looked up themselves, so nothing i
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,6 +142,3 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
-
-def sha256_of(words: list[str]) -> str:
-    return hashlib.sha256(" ".join(words).encode()).hexdigest()
