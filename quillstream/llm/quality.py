@@ -6,6 +6,7 @@ punctuation). Failing lines are removed, then a document that lost too much of i
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,20 +37,26 @@ class Rules:
     repeat_percent: int = 50
 
 
-def line_fails(line: Column, rules: Rules) -> Column:
-    """Whether a line (with a word) breaks one of the line rules."""
-    n = F.regexp_count(line, F.lit(WORD))
-    letters = F.regexp_count(line, F.lit(r"\p{L}"))
+def line_fails(line: Column, line_words: Column, rules: Rules) -> Column:
+    """Whether a line breaks one of the line rules; line_words are its words."""
+    n = F.size(line_words)
     count = lambda pattern: F.regexp_count(line, F.lit(pattern))
-    symbols = count(SYMBOLS) >= rules.symbol_share * n
+    # the characters of a class, without a string for each
+    chars = lambda inside: F.length(F.regexp_replace(line, f"[^{inside}]+", ""))
+    symbols = chars(SYMBOLS[1:-1]) >= rules.symbol_share * n
     navigation = count(r"(^|[\x20\x09])[|»›>·•/]([\x20\x09]|\z)") >= F.greatest(F.lit(2), rules.separator_share * n)
     boilerplate = (n <= rules.boilerplate_words) & F.lower(line).rlike("|".join(BOILERPLATE))
-    shouting = (count(r"!!") >= rules.shout_share * n) | ((n >= 5) & (count(r"\p{Lu}") > 0.6 * letters))
-    stutter = (n >= 5) & (count(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?=[\x20\x09-\x0D]+\1(?:[\x20\x09-\x0D]|\z))") >= rules.stutter_share * n)
+    shouting = (count(r"!!") >= rules.shout_share * n) | ((n >= 5) & (chars(r"\p{Lu}") > 0.6 * chars(r"\p{L}")))
+    stutter = (n >= 5) & (F.size(F.filter(line_words, lambda w, i: w == F.get(line_words, i - 1))) >= rules.stutter_share * n)
     unpunctuated = (n < rules.open_words) & ~line.rlike(r"[.!?…。؟:;][\"'”’»)\]]*[\x20\x09-\x0D]*\z")
     return symbols | navigation | boilerplate | shouting | stutter | unpunctuated
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """docs(doc_id, text, ...) with clean_text, the base counts, base_failed and kept.
 
@@ -64,18 +71,20 @@ def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     step = step.withColumns({
         "_words": words(F.col("_text")),
         "_lines": F.split(text, "\n"),
-        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(text, f"[^{SYMBOLS[1:-1]}]+", "")).cast("long"),
     })
     step = step.withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "_worded": F.filter("_lines", lambda line: line.rlike(WORD)),
+        # each line with its number of words and the verdict on it; one without a word is not judged
+        "_judged": F.transform("_lines", lambda line: _let(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), lambda w: F.struct(
+            line.alias("line"), F.size(w).alias("n"), (F.when(F.size(w) > 0, line_fails(line, w, rules)).otherwise(F.lit(False))).alias("fails")))),
         "_grams": F.when(F.size("_words") >= 3, F.transform(
             F.sequence(F.lit(0), F.size("_words") - 3),
             lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)),
         )).otherwise(F.expr("cast(array() as array<bigint>)")),
-        "_clean": F.filter("_lines", lambda line: ~(line.rlike(WORD) & line_fails(line, rules))),
     })
+    step = step.withColumn("_worded", F.transform(F.filter("_judged", lambda x: x["n"] > 0), lambda x: x["line"]))
     # only a text with a repeated hash pays for sorting its windows together with their places
     step = step.withColumn("_repeats", F.size(F.array_distinct("_grams")) < F.size("_grams"))
     step = step.withColumn("_ranked", F.when(F.col("_repeats"), F.sort_array(
@@ -88,11 +97,10 @@ def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         "n_dup_lines": (F.size("_worded") - F.size(F.array_distinct("_worded"))).cast("long"),
         "n_repeat_words": F.coalesce(F.when(F.col("_repeats"), F.aggregate(
             F.transform("_places", gap), F.lit(0), lambda a, x: a + x)), F.lit(0)).cast("long"),
-        "clean_text": F.array_join("_clean", "\n"),
+        "clean_text": F.array_join(F.transform(F.filter("_judged", lambda x: ~x["fails"]), lambda x: x["line"]), "\n"),
+        "n_lost_words": F.aggregate(F.filter("_judged", lambda x: x["fails"]), F.lit(0), lambda a, x: a + x["n"]).cast("long"),
     })
-    lost = F.col("n_words") - F.regexp_count("clean_text", F.lit(WORD))
     step = step.withColumns({
-        "n_lost_words": lost.cast("long"),
         "base_failed": (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words")),
     })
     step = step.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_words") <= rules.lost_share * F.col("n_words")))
