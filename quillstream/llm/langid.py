@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,8 @@ UNDETERMINED = "und"
 #: The score is the posterior of a text of so many words with the same average evidence (or fewer, if it has fewer).
 SCORE_WORDS = 20
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 100_000
+#: Words whose scores a task remembers, and the bytes these may take.
+_CACHE_WORDS, _CACHE_BYTES = 250_000, 16_000_000
 
 
 @dataclass
@@ -99,22 +101,39 @@ def _model(languages: list[str], found: pd.DataFrame) -> Model:
     return Model(languages, entries, scores.astype(np.float32))
 
 
-def _predict(model: Model, texts: list[str | None], cache: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+class _Cache:
+    """The scores of words that were met, as rows of one table; NaN for what isn't a word."""
+
+    def __init__(self, model: Model):
+        self.model, self.width = model, max(1, len(model.languages))
+        self.rows: dict[str, int] = {}
+        self.scores = np.zeros((min(_CACHE_WORDS, _CACHE_BYTES // (4 * self.width)) + 1, self.width), np.float32)
+
+    def look_up(self, words: Sequence[str]) -> np.ndarray:
+        out = np.empty((len(words), self.width), np.float32)
+        at = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
+        known = at >= 0
+        out[known] = self.scores[at[known]]
+        if len(self.rows) + int((~known).sum()) > len(self.scores):
+            self.rows.clear()
+        for i in np.flatnonzero(~known).tolist():
+            word = words[i]
+            # numerals such as the Roman ones count as word characters but aren't letters
+            out[i] = self.model.word(word) if self.model.languages and any(map(str.isalpha, word)) else np.nan
+            if len(self.rows) < len(self.scores):
+                self.scores[len(self.rows)] = out[i]
+                self.rows[word] = len(self.rows)
+        return out
+
+
+def _predict(model: Model, texts: list[str | None], cache: _Cache) -> tuple[list[str], np.ndarray]:
     found = [_LETTERS.findall(t.lower()) if t else [] for t in texts]
     sizes = np.array([len(x) for x in found])
     n, width = len(texts), max(1, len(model.languages))
     doc = np.repeat(np.arange(n), sizes)
     codes, unique = pd.factorize(np.array([w for x in found for w in x], dtype=object))
-    table = np.zeros((len(unique), width), np.float32)
-    letters = np.ones(len(unique), bool)
-    if len(cache) > _CACHE_WORDS:
-        cache.clear()
-    for i, w in enumerate(unique):
-        if (scores := cache.get(w)) is None:
-            # numerals such as the Roman ones count as word characters but aren't letters
-            scores = cache[w] = model.word(w) if model.languages and any(map(str.isalpha, w)) else np.full(width, np.nan, np.float32)
-        table[i] = scores
-    letters = ~np.isnan(table[:, 0]) if model.languages else letters
+    table = cache.look_up(unique)
+    letters = ~np.isnan(table[:, 0])
     table = np.nan_to_num(table)
     sums = np.stack([np.bincount(doc, table[codes, k], n) for k in range(width)], axis=1)
     words = np.bincount(doc, letters[codes], n)
@@ -138,7 +157,7 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ()) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, np.ndarray] = {}
+        cache = _Cache(shared.value)
         for batch in slices(batches):
             names, scores = _predict(shared.value, batch.column(2).to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", *keep])
