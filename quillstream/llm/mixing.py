@@ -43,7 +43,7 @@ def water_fill(sizes: Sequence[int], weights: Sequence[int], cap: int = MAX_EPOC
 
 
 def mix(
-    docs: DataFrame, *, block_words: int = 64, seed: str = "mix", weigh: Callable[[int], Sequence[int]] = cycle_weights,
+    docs: DataFrame, *, block_words: int = 32, seed: str = "mix", weigh: Callable[[int], Sequence[int]] = cycle_weights,
     chunk: int = 65_536,
 ) -> tuple[DataFrame, DataFrame]:
     """The schedule and the documents of a mix of docs(doc_id, text, source).

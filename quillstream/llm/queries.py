@@ -70,9 +70,9 @@ r AS (SELECT (any_value(total) - 3 * coalesce(sum(s) FILTER (capped), 0))::BIGIN
 t AS (SELECT c.*, CASE WHEN capped THEN (3 * s)::DOUBLE ELSE (w * rest)::DOUBLE / share END AS target FROM c, r),
 g AS (SELECT *, sum(floor(target)::BIGINT) OVER (ORDER BY i) AS high, sum(floor(target)::BIGINT) OVER () AS full_sum FROM t),
 b AS (SELECT *, (high - floor(target)::BIGINT)::HUGEINT * 2147483648 // full_sum AS low_point, high::HUGEINT * 2147483648 // full_sum AS high_point FROM g),
-slots AS (SELECT (slot % 2147483648 * 1327217885) % 2147483648 AS point FROM range((SELECT (max(total) + 63) // 64 FROM w)) x(slot)),
+slots AS (SELECT (slot % 2147483648 * 1327217885) % 2147483648 AS point FROM range((SELECT (max(total) + 31) // 32 FROM w)) x(slot)),
 n AS (SELECT i, count(*) AS asked FROM b JOIN slots ON point >= low_point AND point < high_point GROUP BY i),
-k AS (SELECT d.*, b.i, b.s, b.target, least(coalesce(n.asked, 0) * 64, 3 * b.s) AS used,
+k AS (SELECT d.*, b.i, b.s, b.target, least(coalesce(n.asked, 0) * 32, 3 * b.s) AS used,
         sum(size) OVER (PARTITION BY b.i ORDER BY md5('mix:' || doc_id), doc_id) - size AS start
       FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN n ON n.i = b.i)
 SELECT doc_id, size::BIGINT AS size, s AS source_size, target,

@@ -16,7 +16,7 @@ def test_water_fill_reshares_the_excess():
     assert all(t <= 3 * s for t, s in zip(targets, sizes))
 
 
-def brute(rows, block=64):
+def brute(rows, block=32):
     """The mix by walking all slots."""
     order = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
     sizes = [sum(len(r[1].split()) for r in rows if r[2] == s) for s in order]
