@@ -23,6 +23,8 @@ from .common import columns, slices, small_batches
 TRAIN_DOCS = 20_000
 #: Words and n-grams that a model may hold in all, over all languages and lengths: bounds what is broadcast.
 MAX_ENTRIES = 200_000
+#: Entries times languages, four bytes each: with very many languages there are fewer entries.
+MAX_CELLS = 25_000_000
 MAX_LANGUAGES = 1_000
 LONGEST = 5
 UNDETERMINED = "und"
@@ -76,7 +78,8 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_entries: int =
     grams = grams.select("lang", "size", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("p") - F.col("size") + 1), lambda i: F.substring("p", i, F.col("size")))).alias("entry"))
     grams = grams.where("entry <> ' '").groupBy("lang", "size", "entry").agg(F.sum("n").alias("n"))
     every = counts.select("lang", F.lit(0).alias("size"), F.concat(F.lit("="), F.col("word")).alias("entry"), "n").unionByName(grams)
-    most = max(1, max_entries // (max(1, len(languages)) * (LONGEST + 1)))
+    width = max(1, len(languages))
+    most = max(1, min(max_entries, MAX_CELLS // width) // (width * (LONGEST + 1)))
     rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "entry"))
     totals = Window.partitionBy("lang", "size")
     kept = every.withColumns({"total": F.sum("n").over(totals), "kinds": F.count(F.lit(1)).over(totals), "rank": rank}).where((F.col("rank") <= most) & ((F.col("n") >= 2) | (F.col("size") > 0)))
