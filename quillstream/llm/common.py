@@ -214,6 +214,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             end = min(max(end, begin + 1), batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
+    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
 
 def signed(x: np.ndarray) -> np.ndarray:
