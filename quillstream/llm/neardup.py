@@ -195,14 +195,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     is at least percent / 100. component_id is the smallest doc_id reachable over links; kept says that it
     is the document's own. A null or wordless text has an empty set, is linked with nothing and kept; one
     with fewer words than a shingle has one shingle. Equal sets are linked whatever their number. Rows of
-    one doc_id share its component. An empty table gives no rows; extra columns aren't read.
+    one doc_id share its component; one without a doc_id has none, is linked with nothing and kept. An empty
+    table gives no rows; extra columns aren't read.
 
     All pairs whose signatures differ in at most 15 of 40 symbols are certain to be compared; of pairs
     at a similarity of just 0.8 about one in 5,000 isn't.
     """
     docs = small_batches(docs).select(F.col("doc_id").cast("long"), "text")
     rows = stash(docs.mapInArrow(lambda b: _sign(shingle, b), "doc_id long, n_shingles long, set_a long, set_b long, signature binary, brief binary"), "signatures")
-    same = rows.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(
+    same = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(
         F.min("doc_id").alias("leader"), F.min_by("signature", "doc_id").alias("signature"), F.min_by("brief", "doc_id").alias("brief")
     )
     leaders = stash(same, "leaders")
@@ -226,5 +227,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     ends = leaders.select("leader", "set_a", "set_b", "n_shingles").join(found.withColumnRenamed("id", "leader"), "leader", "left")
     ends = ends.select("set_a", "set_b", "n_shingles", F.coalesce("component", "leader").alias("component"))
-    out = rows.drop("signature", "brief").hint("merge").join(ends, ["set_a", "set_b", "n_shingles"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept"))
+    out = rows.drop("signature", "brief").hint("merge").join(ends, ["set_a", "set_b", "n_shingles"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -94,4 +94,5 @@ def test_awkward_rows_and_no_rows(documents, awkward):
     assert len(out) == len(rows) and by[1].n_shingles == 0 and by[1].kept and by[2].component_id == 2
     assert by[8].component_id == 7 and not by[8].kept and by[10].component_id == 9 and by[5].n_shingles == 1
     assert neardup.near_duplicates(documents([])).count() == 0
-    assert neardup.near_duplicates(documents(awkward)).count() == len(awkward)
+    out = neardup.near_duplicates(documents([*awkward, (None, "same text here", "en", "a")])).collect()
+    assert len(out) == len(awkward) + 1 and all(r.kept and r.component_id is None for r in out if r.doc_id is None)
