@@ -342,7 +342,7 @@ def tree_dir_counts(spark, sf_dir):
 
 @query(f"WITH {_RESPONSES} SELECT doc_id, pos, id, text FROM seg")
 def segment_parse(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("doc_id", F.explode("parsed").alias("s")).select("doc_id", "s.pos", "s.id", "s.text")
+    return _parsed(spark, sf_dir).select("doc_id", F.explode_outer("parsed").alias("s")).where("s is not null").select("doc_id", "s.pos", "s.id", "s.text")
 
 
 @query(f"WITH {_RESPONSES} SELECT doc_id, id1 || ',' || id2 AS ids FROM resp")
@@ -358,7 +358,8 @@ def segment_map_last_wins(spark, sf_dir):
 
 def _errors(spark: SparkSession, sf_dir: str, *rules: str) -> DataFrame:
     rows = validate(responses_view(spark, sf_dir), rules=rules)
-    return rows.select("doc_id", F.posexplode("errors").alias("n", "e")).select("doc_id", "n", "e.*")
+    # the outer form: from the plain one Spark infers a filter that works the errors out twice more
+    return rows.select("doc_id", F.posexplode_outer("errors").alias("n", "e")).where("n is not null").select("doc_id", "n", "e.*")
 
 
 @query(f"WITH {_RESPONSES} SELECT doc_id, id1 AS id, 'قال الله' AS match, (strpos(text, 'قال') - 1)::INT AS segment_start, (strpos(text, 'قال') + 7)::INT AS segment_end FROM resp JOIN seg USING (doc_id) WHERE resp.k = 1 AND pos = 0")
