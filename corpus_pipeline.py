@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.llm import decontam, langid, line_dedup, mixing, neardup
-from quillstream.llm.common import shared_dir, table
+from quillstream.llm.common import shared_dir, stash, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose language is less certain than this is rejected.
@@ -31,9 +31,17 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.hint("merge").join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near-duplicates: of the smallest doc_id. Rows without a doc_id all stay."""
+    rows = stash(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    # rows are compared under their own numbers, so that those of one doc_id are told apart
+    numbered = rows.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text")
+    found = neardup.near_duplicates(numbered).where("doc_id <> component_id")
+    found = stash(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), "linked")
+    linked = found.union(found.select(F.col("group").alias("row"), "group").distinct())
+    linked = stash(linked.hint("merge").join(rows.select("row", "doc_id"), "row"), "groups")
+    first = linked.groupBy("group").agg(F.min(F.struct("doc_id", "row"))["row"].alias("row"))
+    gone = linked.select("row").hint("merge").join(first.hint("merge"), "row", "left_anti")
+    return rows.hint("merge").join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +52,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the words that a mix of target weights takes of each (0: the mix leaves it out)."""
-    _, found = mixing.mix(docs)
-    taken = found.groupBy("doc_id").agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"))
-    return docs.hint("merge").join(taken, "doc_id").select(*COLUMNS, "size", "source_size", "target", "taken")
+    _, found = mixing.mix(docs, keep=("text", "lang", "n_chars"))
+    return found.select(*COLUMNS, "size", "source_size", "target", "taken")
 
 
 STAGES = [

@@ -44,13 +44,14 @@ def water_fill(sizes: Sequence[int], weights: Sequence[int], cap: int = MAX_EPOC
 
 def mix(
     docs: DataFrame, *, block_words: int = 32, seed: str = "mix", weigh: Callable[[int], Sequence[int]] = cycle_weights,
-    chunk: int = 65_536,
+    chunk: int = 65_536, keep: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """The schedule and the documents of a mix of docs(doc_id, text, source).
 
     Returns two tables. pieces(slot, source_no, doc_id, from_word, n_words): words from_word.. of a
     document that slot takes, so ordering by slot and position gives the mixed stream. documents(doc_id,
-    size, source, source_size, target, taken): one row for each input row.
+    size, source, source_size, target, taken): one row for each input row, whatever its doc_id. The columns
+    of docs that keep names follow, unchanged.
 
     Sources are ordered by code point, null last, and weigh(n) gives their weights in that order. Null
     or wordless text has size 0 and is never taken; repeated doc_ids are separate rows of the order and
@@ -62,7 +63,8 @@ def mix(
     """
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    sized = stash(docs.select("doc_id", F.col("source"), size.alias("size")).withColumn("row", F.monotonically_increasing_id()), "sizes")
+    kept = [F.col(c).alias(f"keep_{c}") for c in keep]
+    sized = stash(docs.select("doc_id", F.col("source"), size.alias("size"), *kept).withColumn("row", F.monotonically_increasing_id()), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("rows"))
     found = totals.orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -98,7 +100,8 @@ def mix(
     pieces = pieces.select("slot", "source_no", "row", "doc_id", "from_word", "n_words")
     taken = pieces.groupBy("row").agg(F.sum("n_words").alias("taken"))
     documents = sized.hint("merge").join(taken, "row", "left").select(
-        "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        *(F.col(f"keep_{c}").alias(c) for c in keep),
     )
     return pieces.drop("row"), documents
 

@@ -55,3 +55,40 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_stage_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(6)
+    base = [prose(rng, 200, 5000) for _ in range(4)]
+    rows = [(7, base[0], "en", "a", 1)] * 3 + [(3, base[1], "en", "a", 1), (5, base[1], "en", "a", 1), (5, base[2], "en", "a", 1), (5, base[2].replace("w1", "y1", 1), "en", "a", 1)]
+    rows += [(None, base[3], "en", "a", 1), (None, "", None, None, None)]
+    found = cp.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(r.doc_id for r in found if r.doc_id is not None) == [3, 5, 7]
+    assert sorted(r.text for r in found if r.doc_id is None) == ["", base[3]]
+    assert {r.doc_id: r.text for r in found}[3] == base[1] and {r.doc_id: r.text for r in found}[5] != base[1]
+
+
+def test_mix_stage_keeps_rows_with_null_and_repeated_ids(spark):
+    rng = random.Random(7)
+    rows = [(i % 20 if i % 4 else None, prose(rng, 30 + i, 3000), "en", None if i % 7 == 0 else f"s{i % 3}", i) for i in range(60)]
+    rows += [(1, "same words here", "en", "s0", 90)] * 3
+    found = cp.mix(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(map(str, ((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in found))) == sorted(map(str, rows))
+    assert all(r.size == len(r.text.split()) and 0 <= r.taken <= 3 * r.size for r in found)
+    words = sum(r.size for r in found)
+    assert words <= sum(r.taken for r in found) < words + 32 * 4
+
+
+def test_run_with_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(8)
+    base = [prose(rng, 150, 3000) for _ in range(30)]
+    rows = [(None if i < 3 else i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(base)]
+    rows += [rows[9]] * 2
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, prose(rng, 40, 3000))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = cp.run(spark, str(tmp_path)).collect()
+    assert sorted(r.text for r in found) == sorted(base)
+    assert sum(r.doc_id is None for r in found) == 3 and all(r.taken <= 3 * r.size for r in found)
