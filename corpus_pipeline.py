@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the line blocks that earlier ones have; those that lose every word go."""
-    found = line_dedup.deduplicate_lines(docs, keep=("lang", "source", "n_chars"))
+    found = line_dedup.deduplicate_lines(docs, rare_share=None, keep=("lang", "source", "n_chars"))
     changed = F.size("removed_lines") > 0
     found = found.where(~changed | F.col("clean_text").rlike(line_dedup.WORD))
     n_chars = F.when(changed, F.length("clean_text").cast("long")).otherwise(F.col("n_chars"))

@@ -1,8 +1,8 @@
 """Line dedup by pairwise alignment.
 
 Documents with the same lines form a class, led by its smallest doc_id. A class leader is paired, through
-every rare line it has, with the earliest leader that has the line; the two are aligned with patience
-diff, and common blocks of enough words are deleted from the later one.
+every shortest run of lines with enough words, with the earliest leader that has the run; the two are aligned
+with patience diff, and common blocks of enough words are deleted from the later one.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, columns, small_batches, stash
@@ -81,6 +81,28 @@ def common_blocks(earlier: Sequence[int | None], later: Sequence[int | None], wo
     return gone
 
 
+def run_keys(lines: Column, words: Column, min_words: int = MIN_WORDS) -> Column:
+    """Hashes of the shortest runs of lines with words that hold min_words, from each line on and up to each line.
+
+    Any block of min_words that two documents share is covered by runs that both have.
+    """
+    state = lambda h, n: F.struct(h.cast("long").alias("h"), n.cast("int").alias("n"))
+
+    def step(acc: Column, x: Column) -> Column:
+        more = F.when(x["line"].isNull(), state(acc["h"], F.lit(-1))).otherwise(state(F.xxhash64(acc["h"], x["line"]), acc["n"] + x["words"]))
+        return F.when((acc["n"] < 0) | (acc["n"] >= min_words), acc).otherwise(more)
+
+    def runs(rows: Column, seed: int) -> Column:
+        def key(x: Column, i: Column) -> Column:  # every line of a run has a word: min_words lines are enough
+            run = F.aggregate(F.slice(rows, i + 1, F.lit(min_words)), state(F.lit(seed), F.lit(0)), step, lambda acc: F.when(acc["n"] >= min_words, acc["h"]))
+            return F.when(x["words"] >= min_words, x["line"]).when(x["line"].isNotNull(), run)
+
+        return F.transform(rows, key)
+
+    rows = F.zip_with(lines, words, lambda line, n: F.struct(line.alias("line"), n.alias("words")))
+    return F.array_distinct(F.filter(F.concat(runs(rows, 1), runs(F.reverse(rows), 2)), lambda x: x.isNotNull()))
+
+
 def _align(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [common_blocks(a, b, n, min_words) for a, b, n in zip(*(batch[c].to_pylist() for c in ("earlier", "later", "words")))]
@@ -101,7 +123,7 @@ def _delete(keep: Sequence[str], batches: Iterator[pa.RecordBatch]) -> Iterator[
         )
 
 
-def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare_share: float = RARE_SHARE, keep: Sequence[str] = ()) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare_share: float | None = RARE_SHARE, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, n_lines, removed_lines, clean_text): one row for each row of docs(doc_id, text).
 
     The columns of docs that keep names follow, unchanged.
@@ -112,8 +134,10 @@ def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare_share: f
     and stays null; an empty text has one, wordless, and stays. Rows of one doc_id are taken as one document by
     its lines, and lose the lines that any of them loses. An empty table gives no rows; extra columns aren't read.
 
-    Every rare line counts, whatever the number of documents that share it, as each is paired with the
-    line's earliest holder alone; a common line is removed only inside a block that a rare line led to.
+    Without a rare_share (as the queries run it) no line is too common: documents meet through every
+    shortest run of lines that holds min_words, each with the run's earliest holder alone, so pairs grow with
+    the lines. With a rare_share they meet through rare lines alone, and a common line is removed only
+    inside a block that a rare line led to.
     """
     extra, kept = columns(docs, keep), [F.col(c).alias(f"keep_{c}") for c in keep]
     docs = small_batches(docs).select(F.col("doc_id").cast("long"), "text", *kept)
@@ -131,9 +155,14 @@ def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare_share: f
     copied = copies.where(total >= min_words).select("doc_id", worded.alias("gone"))
 
     leaders = stash(rows.where("doc_id = leader").select("doc_id", "lines", "words").dropDuplicates(["doc_id"]), "leaders")
-    rare = max(RARE_CLASSES, int(rare_share * leaders.count()))
-    held = leaders.select("doc_id", F.explode(F.array_distinct("lines")).alias("line")).where("line is not null")
-    first = held.groupBy("line").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= rare)).select("line", "first")
+    if rare_share is None:
+        held = leaders.select("doc_id", F.explode(run_keys(F.col("lines"), F.col("words"), min_words)).alias("line"))
+    else:
+        held = leaders.select("doc_id", F.explode(F.array_distinct("lines")).alias("line")).where("line is not null")
+    first = held.groupBy("line").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    if rare_share is not None:
+        first = first.where(F.col("n") <= max(RARE_CLASSES, int(rare_share * leaders.count())))
+    first = first.select("line", "first")
     pairs = held.hint("merge").join(first, "line").where("doc_id <> first").select("doc_id", "first").distinct()
     pairs = pairs.hint("merge").join(leaders.select("doc_id", F.col("lines").alias("later"), "words"), "doc_id")
     pairs = pairs.hint("merge").join(leaders.select(F.col("doc_id").alias("first"), F.col("lines").alias("earlier")), "first").select("doc_id", "earlier", "later", "words")

@@ -30,7 +30,7 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(line_dedup.deduplicate_lines(table(spark, sf_dir, "documents")))
+    return line_dedup.digest(line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"), rare_share=None))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

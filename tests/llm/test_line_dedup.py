@@ -3,6 +3,7 @@ import random
 import pytest
 
 from quillstream.llm import line_dedup as ld
+from quillstream.llm.queries import op6_line_dedup
 
 
 def brute(rows, min_words=8, share=0.1):
@@ -70,3 +71,12 @@ def test_copies_keep_the_first_alone(documents):
     text = "one two three four five six seven eight nine\nten eleven"
     found = {r.doc_id: r.clean_text for r in ld.deduplicate_lines(documents([(i, text) for i in (5, 2, 9)] + [(10, text + "\nmore of it here")])).collect()}
     assert found == {2: text, 5: "", 9: "", 10: "more of it here"}
+
+
+def test_passage_of_a_third_of_all_documents(spark, tmp_path):
+    licence = "this line stands in a third of all documents and is long\nit has\nmore short\nlines in a row that count"
+    own = lambda i: f"body {i} of its own with words enough to count {i}"
+    rows = [(i, own(i) + ("\n" + licence if i % 3 == 0 else "")) for i in range(150)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.removed_lines for r in op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert found == {i: "1,2,3,4" if i % 3 == 0 and i else "" for i in range(150)}
