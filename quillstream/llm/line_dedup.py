@@ -2,7 +2,8 @@
 
 Documents with the same lines form a class, led by its smallest doc_id. A class leader is paired, through
 every shortest run of lines with enough words, with the earliest leader that has the run; the two are aligned
-with patience diff, and common blocks of enough words are deleted from the later one.
+with patience diff, blocks that this leaves are looked for wherever they stand, and common blocks of enough
+words are deleted from the later one. So a line goes if and only if it is in a block that an earlier leader has.
 """
 
 from __future__ import annotations
@@ -67,18 +68,42 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def common_blocks(earlier: Sequence[int | None], later: Sequence[int | None], words: Sequence[int], min_words: int = MIN_WORDS) -> list[int]:
-    """The lines of the later document in aligned blocks (lines in a row on both sides) of min_words or more."""
-    gone: list[int] = []
+    """The lines of the later document in blocks (lines in a row on both sides) of min_words or more.
+
+    Aligned blocks first; if that leaves lines which both have (repeated or moved ones), every block is
+    looked for wherever it stands.
+    """
+    gone: set[int] = set()
     block: list[int] = []
     last = None
     for i, j in [*patience(earlier, later), (-2, -2)]:
         if block and (i, j) != (last[0] + 1, last[1] + 1):
             if sum(words[k] for k in block) >= min_words:
-                gone += block
+                gone.update(block)
             block = []
         block.append(j)
         last = (i, j)
-    return gone
+    sizes = dict(zip(later, words))  # lines that the later document doesn't have end a run
+    common = set(earlier) - {None}
+    if any(x in common for k, x in enumerate(later) if k not in gone):
+        have = {tuple(earlier[x:y]) for x, y in _runs(earlier, sizes, min_words)}
+        for x, y in _runs(later, sizes, min_words):
+            if tuple(later[x:y]) in have:
+                gone.update(range(x, y))
+    return sorted(gone)
+
+
+def _runs(lines: Sequence[int | None], sizes: dict[int | None, int], min_words: int) -> Iterator[tuple[int, int]]:
+    """The shortest runs of min_words from each line on and up to each line: they cover any longer run."""
+    for step in (1, -1):
+        for i in range(len(lines)):
+            n, j = 0, i
+            while 0 <= j < len(lines) and lines[j] is not None and lines[j] in sizes:
+                n += sizes[lines[j]]
+                if n >= min_words:
+                    yield min(i, j), max(i, j) + 1
+                    break
+                j += step
 
 
 def run_keys(lines: Column, words: Column, min_words: int = MIN_WORDS) -> Column:

@@ -80,3 +80,43 @@ def test_passage_of_a_third_of_all_documents(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.doc_id: r.removed_lines for r in op6_line_dedup(spark, str(tmp_path)).collect()}
     assert found == {i: "1,2,3,4" if i % 3 == 0 and i else "" for i in range(150)}
+
+
+def exact(rows, min_words=8):
+    """By text alone, without alignment or pairs: lines in a run of min_words that an earlier document has go."""
+    seen, whole, gone = set(), set(), {}
+    for i, text in sorted(rows):
+        lines = [x.strip(" \t\r\x0b\x0c") if x.split() else None for x in text.split("\n")]
+        sizes = [len(x.split()) for x in text.split("\n")]
+        spans = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1) if None not in lines[a:b] and sum(sizes[a:b]) >= min_words]
+        if tuple(lines) in whole:
+            gone[i] = [k for k, x in enumerate(lines) if x is not None] if sum(sizes) >= min_words else []
+        else:
+            gone[i] = sorted({k for a, b in spans if tuple(lines[a:b]) in seen for k in range(a, b)})
+        whole.add(tuple(lines))
+        seen |= {tuple(lines[a:b]) for a, b in spans}
+    return gone
+
+
+def test_matches_independent_brute_force(documents):
+    rng = random.Random(11)
+    line = lambda: " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(1, 14)))
+    pool = [line() for _ in range(15)]
+    rows = []
+    for i in range(150):
+        lines = [rng.choice([line(), rng.choice(pool), rng.choice(pool), ""]) for _ in range(rng.randrange(1, 10))]
+        if rows and rng.random() < 0.3:
+            lines += rng.choice(rows)[1].split("\n")[rng.randrange(3) :]
+        rows.append((i, "\n".join(lines)))
+    found = {r.doc_id: r.removed_lines for r in ld.deduplicate_lines(documents(rows), rare_share=None).collect()}
+    assert found == exact(rows)
+
+
+def test_repeated_lines_and_blocks_of_short_lines(documents):
+    x, y, z, a, b, c = (f"{k} is a line of its own that only one document has" for k in "xyzabc")
+    shared = "this passage is shared by both and counts eight words"
+    short = ["one two three", "four five six", "seven eight nine"]
+    rows = [(1, "\n".join([x, shared, y, shared, z])), (2, "\n".join([a, shared, b, shared, c]))]
+    rows += [(3, short[0] + "\nup"), (4, short[1] + "\ndown"), (5, "\n".join(["m n", *short, "o p"])), (6, short[2] + "\nq"), (9, "\n".join(["r s", *short, "t u"]))]
+    found = {r.doc_id: r.removed_lines for r in ld.deduplicate_lines(documents(rows), rare_share=None).collect()}
+    assert found[1] == [] and found[2] == [1, 3] and found[5] == [] and found[9] == [1, 2, 3]
