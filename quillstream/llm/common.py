@@ -43,25 +43,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set, as in tests."""
+    """The folder that driver and executors share. Only a local session, as in tests, gets one of its own where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quillstream-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; it goes when the application ends."""
+    folder = f"{shared_dir(spark)}/quillstream/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return folder
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillstream/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def columns(df: DataFrame, names: Sequence[str]) -> str:
-    """More columns for a schema in DDL."""
-    return "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+def text_key(text: Column | str = "text") -> Column:
+    """With doc_id, what tells the rows of a table apart: rows that have both in common are alike in all an operator reads."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), F.isnull(text))
+
+
+def columns(df: DataFrame, names: Sequence[str], own: str) -> str:
+    """own, a schema in DDL, with more columns of df behind; these may not have the names of its own columns."""
+    taken = {c.split()[0] for c in own.split(", ")} & set(names)
+    if taken:
+        raise ValueError(f"columns to keep have names of the result's: {sorted(taken)}")
+    return own + "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
 
 def ascii_lower(c: Column) -> Column:

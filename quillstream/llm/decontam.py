@@ -11,19 +11,19 @@ word ranges merged into removal spans.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM_WORDS, Tokens, columns, slices, small_batches
 
 WINDOW = 13
-#: Characters of benchmark text that are searched in one pass over the documents; a larger benchmark takes more passes.
-BLOCK_CHARS = 16_000_000
+#: Characters of benchmark text in a block of phrases, of which a task holds one at a time: its arrays take about 25 bytes a character.
+BLOCK_CHARS = 4_000_000
 #: Every suffix whose place in its run is divisible by this keeps its text position.
 SAMPLE = 8
 
@@ -35,22 +35,33 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         tokens = Tokens(pa.array([t for _, t in items], pa.string()), ALNUM_WORDS, fold=True)
-        hashes = tokens.hashes()
+        hashes, sizes = tokens.hashes(), np.diff(tokens.first)
         self.vocabulary = np.unique(hashes)
-        numbers = np.searchsorted(self.vocabulary, hashes) + 1
-        found: dict[bytes, set[str]] = defaultdict(set)
-        for i, (item, _) in enumerate(items):
-            own = numbers[tokens.first[i] : tokens.first[i + 1]].astype(np.int32)
-            for at in range(max(1, len(own) - window + 1) if len(own) else 0):
-                found[own[at : at + window].tobytes()].add(item)
-        self.windows = [np.frombuffer(k, np.int32) for k in found]
-        self.items = [sorted(v) for v in found.values()]
-        self.length = np.array([len(w) for w in self.windows], np.int64)
-        self.shortest = int(self.length.min()) if self.windows else 0
-        # reversed, and padded with 0, for the backward search
-        self.backward = np.zeros((len(self.windows), window), np.int64)
-        for i, w in enumerate(self.windows):
-            self.backward[i, : len(w)] = w[::-1]
+        numbers = np.searchsorted(self.vocabulary, hashes).astype(np.int32) + 1
+        count = np.where(sizes > 0, np.maximum(1, sizes - window + 1), 0)  # windows of each item
+        item = np.repeat(np.arange(len(items)), count)
+        place = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+        length = np.minimum(window, sizes[item])
+        # padded with 0; padding can't be taken for a word
+        rows = np.zeros((len(item), window), np.int32)
+        for k in range(window):
+            some = np.flatnonzero(length > k)
+            rows[some, k] = numbers[(tokens.first[:-1][item] + place)[some] + k]
+        self.windows, which = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, np.zeros(0, np.int64))
+        self.length = (self.windows > 0).sum(axis=1)
+        self.shortest = int(self.length.min()) if len(self.windows) else 0
+        self.names = np.array(sorted({i for i, _ in items}), object)
+        pairs = np.unique(np.stack([which.reshape(-1), np.searchsorted(self.names, [items[i][0] for i in item]) if len(item) else item]), axis=1)
+        self.first, self.item = np.searchsorted(pairs[0], np.arange(len(self.windows) + 1)), pairs[1]
+        # reversed for the backward search
+        self.backward = np.zeros((len(self.windows), window), np.int32)
+        for k in range(window):
+            some = np.flatnonzero(self.length > k)
+            self.backward[some, k] = self.windows[some, self.length[some] - 1 - k]
+
+    def items(self, windows: np.ndarray) -> list[str]:
+        """The ids, sorted, of the items that hold any of these windows."""
+        return self.names[np.unique(np.concatenate([self.item[self.first[w] : self.first[w + 1]] for w in windows]))].tolist()
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word, 0 if no benchmark item has it."""
@@ -136,7 +147,7 @@ class FMIndex:
             active = active[(length[active] > step) & (high[active] > low[active])]
             if not len(active):
                 break
-            symbol = backward[active, step]
+            symbol = backward[active, step].astype(np.int64)
             known = symbol < 1 << self.bits
             high[active[~known]] = low[active[~known]]
             active, symbol = active[known], symbol[known]
@@ -163,7 +174,7 @@ class FMIndex:
 def search_shard(tokens: Tokens, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
     """All occurrences in a shard: the first word of each, and which phrase it is."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not len(tokens) or not phrases.windows:
+    if not len(tokens) or not len(phrases.windows):
         return none
     numbers = phrases.numbers(tokens.hashes())
     # runs of benchmark words inside one document, at least as long as the shortest phrase
@@ -200,85 +211,70 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[head], np.append(reach[np.flatnonzero(head)[1:] - 1], reach[-1])
 
 
-def _scan(blocks, window: int, keep: Sequence[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    phrases = Phrases(blocks.value, window)
+def _scan(blocks: list[Broadcast], keep: Sequence[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every shard is searched for one block of phrases after the other; of several blocks a task holds one at a time."""
     for batch in slices(batches):
         tokens = Tokens(batch.column(1), ALNUM_WORDS, fold=True)
-        first, which = search_shard(tokens, phrases)
-        doc = np.searchsorted(tokens.first, first, side="right") - 1
-        order = np.argsort(doc, kind="stable")
-        first, which, doc = first[order], which[order], doc[order]
-        cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-        starts, ends, items = [], [], []
-        for i in range(batch.num_rows):
-            a, b = cut[i], cut[i + 1]
-            if a == b:
-                starts.append([]), ends.append([]), items.append([])
-                continue
-            s = first[a:b] - tokens.first[i]
-            s, e = merge(s, s + phrases.length[which[a:b]])
-            starts.append(s), ends.append(e)
-            items.append(sorted({x for w in np.unique(which[a:b]) for x in phrases.items[w]}))
+        starts, ends, items = ([[] for _ in range(batch.num_rows)] for _ in range(3))
+        for block in blocks:
+            phrases: Phrases = block.value
+            first, which = search_shard(tokens, phrases)
+            doc = np.searchsorted(tokens.first, first, side="right") - 1
+            order = np.argsort(doc, kind="stable")
+            first, which, doc = first[order], which[order], doc[order]
+            cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            for i in np.unique(doc).tolist():
+                found = slice(cut[i], cut[i + 1])
+                begin = first[found] - tokens.first[i]
+                starts[i].append(begin), ends[i].append(begin + phrases.length[which[found]]), items[i].append(phrases.items(np.unique(which[found])))
+            if len(blocks) > 1:
+                vars(block).pop("_value", None)  # it is read from the local copy again when its turn comes
+                del phrases
+        spans = [merge(np.concatenate(s), np.concatenate(e)) if s else ([], []) for s, e in zip(starts, ends)]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0).cast(pa.int64()), pa.array(np.diff(tokens.first), pa.int64()),
-                pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), *batch.columns[2:],
+                batch.column(0), pa.array(np.diff(tokens.first), pa.int64()), pa.array([s for s, _ in spans], pa.list_(pa.int32())),
+                pa.array([e for _, e in spans], pa.list_(pa.int32())), pa.array([sorted({x for part in found for x in part}) for found in items], pa.list_(pa.string())), *batch.columns[2:],
             ],
             names=["doc_id", "n_words", "starts", "ends", "items", *keep],
         )
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, window: int, block_chars: int) -> Iterator[Phrases]:
+    """The benchmark's windows in blocks; one block at a time passes the driver, as the queries of the search."""
     block, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null").distinct()
     for r in rows.orderBy("item", "text").toLocalIterator():
-        if block and size + len(r["text"]) > BLOCK_CHARS:
-            yield block
+        if block and size + len(r["text"]) > block_chars:
+            yield Phrases(block, window)
             block, size = [], 0
         block.append((r["item"] or "", r["text"]))
         size += len(r["text"])
-    yield block
+    yield Phrases(block, window)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: Sequence[str] = ()) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: Sequence[str] = (), block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, n_words, spans, items) of docs(doc_id, text): one row for each input row.
 
-    The columns of docs that keep names follow, unchanged.
+    The columns of docs that keep names follow, unchanged; names of the result's own columns aren't taken.
 
     spans: array<struct<start, end>> of merged word ranges (end exclusive) that windows of benchmark
     (item_id, text) cover; items: the ids, as sorted strings, of the items with an occurring window. Null
-    and empty texts have no words, no spans and no items; null item texts are ignored; repeated rows of
-    docs each get their row (when the benchmark takes several passes rows with equal doc_id and n_words
-    share one row), repeated items count once. An item shorter than a window is one window of its own.
-    Other columns aren't read. An empty benchmark finds nothing. Documents are never shuffled: each task
-    indexes its own shards, and a benchmark of more than BLOCK_CHARS characters is searched in blocks.
+    and empty texts have no words, no spans and no items; null item texts are ignored, a null item_id is an
+    empty one; rows of docs with one doc_id, or none, each get their own row, repeated items count once. An
+    item shorter than a window is one window of its own. Other columns aren't read. An empty benchmark finds
+    nothing.
+
+    Documents are never shuffled: each task indexes its own shards once for each block of block_chars
+    characters of the benchmark, whose number changes no result.
     """
-    schema = SCHEMA + columns(docs, keep)
+    schema = columns(docs, keep, SCHEMA)
     docs = small_batches(docs).select(F.col("doc_id").cast("long"), "text", *(F.col(c).alias(f"keep_{c}") for c in keep))
-    context = docs.sparkSession.sparkContext
-    found = None
-    for n, block in enumerate(_blocks(benchmark)):
-        shared = context.broadcast(block)
-        part = docs.mapInArrow(lambda batches, shared=shared: _scan(shared, window, keep, batches), schema)
-        found = part if found is None else found.union(part)
-    if n:
-        found = found.groupBy("doc_id", "n_words", *keep).agg(
-            F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-        found = found.select("doc_id", "n_words", "starts", "ends", "items", *keep).mapInArrow(_merged, schema)
+    blocks = [docs.sparkSession.sparkContext.broadcast(x) for x in _blocks(benchmark, window, block_chars)]
+    found = docs.mapInArrow(lambda batches: _scan(blocks, keep, batches), schema)
     return found.select("doc_id", "n_words", F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")).alias("spans"), "items", *keep)
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pairs = [merge(np.array(s, np.int64), np.array(e, np.int64)) for s, e in zip(batch["starts"].to_pylist(), batch["ends"].to_pylist())]
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["n_words"], pa.array([s for s, _ in pairs], pa.list_(pa.int32())), pa.array([e for _, e in pairs], pa.list_(pa.int32())), batch["items"], *batch.columns[5:]],
-            names=batch.schema.names,
-        )
-
-
 def digest(found: DataFrame) -> DataFrame:
     """The counts and the verdict for each row of contamination(), with the columns that were kept."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])

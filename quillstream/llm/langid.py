@@ -166,7 +166,7 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ()) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", *keep])
 
     rows = small_batches(docs).select(F.col("doc_id").cast("long"), (bucket(F.col("doc_id")) == 0).alias("held_out"), "text", *(F.col(c).alias(f"keep_{c}") for c in keep))
-    return rows.mapInArrow(scan, "doc_id long, held_out boolean, lang_pred string, score double" + columns(docs, keep))
+    return rows.mapInArrow(scan, columns(docs, keep, "doc_id long, held_out boolean, lang_pred string, score double"))
 
 
 def identify_by_own_labels(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -47,15 +47,24 @@ def case(seed):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_matches_brute_force(spark, documents, seed, monkeypatch):
+def test_matches_brute_force(spark, documents, seed):
     rows, items = case(seed)
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
-    if seed == 2:
-        monkeypatch.setattr(d, "BLOCK_CHARS", 500)  # several passes
-    found = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in d.digest(d.contamination(documents(rows), bench)).collect()}
+    blocks = {"block_chars": 500} if seed == 2 else {}
+    found = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in d.digest(d.contamination(documents(rows), bench, **blocks)).collect()}
     assert found == brute(rows, items, 13)
 
 
+@pytest.mark.parametrize("block_chars", [d.BLOCK_CHARS, 300])
+def test_rows_of_one_id_each_get_theirs(spark, documents, block_chars):
+    rows, items = case(7)
+    rows = [(i // 4 if i % 5 else None, t) for i, t in rows + rows[:10]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = d.digest(d.contamination(documents(rows), bench, block_chars=block_chars)).collect()
+    wanted = [(i, *next(iter(brute([(i, t)], items, 13).values()))) for i, t in rows]
+    assert sorted(map(str, (tuple(r)[:6] for r in found))) == sorted(map(str, wanted))
+
+
 def test_fm_index_finds_and_locates_every_occurrence():
     rng = np.random.default_rng(0)
     text = rng.integers(0, 4, 3000)
@@ -93,4 +102,6 @@ def test_awkward_rows_and_empty_tables(spark, documents, awkward):
     assert by[5].contaminated and by[9].n_hit == 3 and by[1].n_words == 0 and by[7].n_hit == 0 and by[11].n_hit == 1
     assert d.contamination(documents([]), some).count() == 0
     kept = d.contamination(documents(awkward), some, keep=("source",))
-    assert kept.columns[-1] == "source"
+    assert kept.columns[-1] == "source" and {r.spans for r in d.digest(d.contamination(documents(awkward).withColumnRenamed("spans", "tally"), some, keep=("tally",))).withColumnRenamed("tally", "spans").collect()} == {"s"}
+    with pytest.raises(ValueError):
+        d.contamination(documents(awkward), some, keep=("items",))
