@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, columns, small_batches, stash
+from .common import WORD, columns, small_batches, stash, text_key
 
 #: A line is rare if at most this share of all classes has it (or RARE_CLASSES of them, if that is more).
 RARE_SHARE, RARE_CLASSES = 0.1, 10
@@ -131,7 +131,7 @@ def run_keys(lines: Column, words: Column, min_words: int = MIN_WORDS) -> Column
 def _align(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [common_blocks(a, b, n, min_words) for a, b, n in zip(*(batch[c].to_pylist() for c in ("earlier", "later", "words")))]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "gone"])
+        yield pa.RecordBatch.from_arrays([batch["class"], pa.array(rows, pa.list_(pa.int32()))], names=["class", "gone"])
 
 
 def _delete(keep: Sequence[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,53 +151,59 @@ def _delete(keep: Sequence[str], batches: Iterator[pa.RecordBatch]) -> Iterator[
 def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare_share: float | None = RARE_SHARE, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, n_lines, removed_lines, clean_text): one row for each row of docs(doc_id, text).
 
-    The columns of docs that keep names follow, unchanged.
+    The columns of docs that keep names follow, unchanged; names of the result's own columns aren't taken.
 
     removed_lines: array<int> of 0-based lines that are deleted. Lines are compared without white space at
     their ends; lines without a word match nothing, count for nothing and stay. Of documents with the same
     lines all but the smallest doc_id lose every line with words, if these hold min_words. Null text has no lines
-    and stays null; an empty text has one, wordless, and stays. Rows of one doc_id are taken as one document by
-    its lines, and lose the lines that any of them loses. An empty table gives no rows; extra columns aren't read.
+    and stays null; an empty text has one, wordless, and stays. Rows of one doc_id aren't earlier than each other,
+    whatever their texts, and each loses lines of its own; rows without a doc_id lose nothing and no other row loses
+    a line to them. An empty table gives no rows; extra columns aren't read.
 
     Without a rare_share (as the queries run it) no line is too common: documents meet through every
-    shortest run of lines that holds min_words, each with the run's earliest holder alone, so pairs grow with
-    the lines. With a rare_share they meet through rare lines alone, and a common line is removed only
-    inside a block that a rare line led to.
+    shortest run of lines that holds min_words, each with the run's earliest holder alone. The run itself is common
+    to both, and every block of min_words that any earlier document shares is covered by such runs, so the result
+    is that of aligning with all earlier documents, while pairs grow with the lines. With a rare_share they meet
+    through rare lines alone, and a common line is removed only inside a block that a rare line led to.
     """
-    extra, kept = columns(docs, keep), [F.col(c).alias(f"keep_{c}") for c in keep]
+    schema = columns(docs, keep, "doc_id long, n_lines long, removed_lines array<int>, clean_text string")
+    kept = [F.col(c).alias(f"keep_{c}") for c in keep]
     docs = small_batches(docs).select(F.col("doc_id").cast("long"), "text", *kept)
     lines = F.split("text", "\n")
     has_word = lambda line: line.rlike(WORD)
     sequence = F.transform(lines, lambda line: F.when(has_word(line), F.xxhash64(F.btrim(line, F.lit(_TRIM)))))
     sized = F.transform(lines, lambda line: F.regexp_count(line, F.lit(WORD)))
-    rows = docs.where("text is not null").select("doc_id", sequence.alias("lines"), sized.alias("words"))
+    rows = docs.where("text is not null and doc_id is not null").select("doc_id", text_key().alias("key"), sequence.alias("lines"), sized.alias("words"))
     rows = stash(rows.withColumn("class", F.md5(F.to_json("lines"))), "lines")
     classes = rows.groupBy("class").agg(F.min("doc_id").alias("leader"))
-    rows = rows.hint("merge").join(classes, "class")
-    copies = rows.where("doc_id <> leader")
-    worded = F.filter(F.transform("lines", lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
+    # a class's lines are read from one of the leader's rows; rows of other texts have classes of their own
+    members = stash(rows.hint("merge").join(classes, "class").select("doc_id", "key", "class", "leader"), "classes")
     total = F.aggregate("words", F.lit(0), lambda a, n: a + n)
-    copied = copies.where(total >= min_words).select("doc_id", worded.alias("gone"))
+    worded = F.filter(F.transform("lines", lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
+    copied = rows.hint("merge").join(classes, "class").where((F.col("doc_id") > F.col("leader")) & (total >= min_words)).select("doc_id", "key", worded.alias("gone"))
 
-    leaders = stash(rows.where("doc_id = leader").select("doc_id", "lines", "words").dropDuplicates(["doc_id"]), "leaders")
+    leaders = rows.hint("merge").join(classes, "class").where("doc_id = leader").select("class", "leader", "lines", "words").dropDuplicates(["class"])
+    leaders = stash(leaders, "leaders")
     if rare_share is None:
-        held = leaders.select("doc_id", F.explode(run_keys(F.col("lines"), F.col("words"), min_words)).alias("line"))
+        held = leaders.select("class", "leader", F.explode(run_keys(F.col("lines"), F.col("words"), min_words)).alias("line"))
     else:
-        held = leaders.select("doc_id", F.explode(F.array_distinct("lines")).alias("line")).where("line is not null")
-    first = held.groupBy("line").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        held = leaders.select("class", "leader", F.explode(F.array_distinct("lines")).alias("line")).where("line is not null")
+    # the earliest holder by partial sums, so that a very common line is no task's alone
+    first = held.groupBy("line").agg(F.min(F.struct("leader", "class")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     if rare_share is not None:
         first = first.where(F.col("n") <= max(RARE_CLASSES, int(rare_share * leaders.count())))
-    first = first.select("line", "first")
-    pairs = held.hint("merge").join(first, "line").where("doc_id <> first").select("doc_id", "first").distinct()
-    pairs = pairs.hint("merge").join(leaders.select("doc_id", F.col("lines").alias("later"), "words"), "doc_id")
-    pairs = pairs.hint("merge").join(leaders.select(F.col("doc_id").alias("first"), F.col("lines").alias("earlier")), "first").select("doc_id", "earlier", "later", "words")
-    aligned = pairs.mapInArrow(lambda b: _align(min_words, b), "doc_id long, gone array<int>").where(F.size("gone") > 0)
-
-    gone = aligned.union(copied.select("doc_id", F.col("gone").cast("array<int>")))
-    gone = gone.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-    return docs.hint("merge").join(gone, "doc_id", "left").select("doc_id", "text", "gone", *(f"keep_{c}" for c in keep)).mapInArrow(
-        lambda b: _delete(keep, b), "doc_id long, n_lines long, removed_lines array<int>, clean_text string" + extra
-    )
+    first = first.select("line", F.col("first.leader").alias("first_leader"), F.col("first.class").alias("first"))
+    pairs = held.hint("merge").join(first, "line").where("leader > first_leader").select("class", "first").distinct()
+    pairs = pairs.hint("merge").join(leaders.select("class", F.col("lines").alias("later"), "words"), "class")
+    pairs = pairs.hint("merge").join(leaders.select(F.col("class").alias("first"), F.col("lines").alias("earlier")), "first").select("class", "earlier", "later", "words")
+    aligned = pairs.mapInArrow(lambda b: _align(min_words, b), "class string, gone array<int>").where(F.size("gone") > 0)
+    led = members.where("doc_id = leader").select("doc_id", "key", "class").distinct()
+    aligned = led.hint("merge").join(aligned, "class").select("doc_id", "key", "gone")
+
+    gone = aligned.union(copied.select("doc_id", "key", F.col("gone").cast("array<int>")))
+    gone = gone.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    rows = docs.withColumn("key", text_key()).hint("merge").join(gone, ["doc_id", "key"], "left")
+    return rows.select("doc_id", "text", "gone", *(f"keep_{c}" for c in keep)).mapInArrow(lambda b: _delete(keep, b), schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

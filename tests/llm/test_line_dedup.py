@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillstream.llm import line_dedup as ld
 from quillstream.llm.queries import op6_line_dedup
@@ -83,19 +84,22 @@ def test_passage_of_a_third_of_all_documents(spark, tmp_path):
 
 
 def exact(rows, min_words=8):
-    """By text alone, without alignment or pairs: lines in a run of min_words that an earlier document has go."""
-    seen, whole, gone = set(), set(), {}
-    for i, text in sorted(rows):
-        lines = [x.strip(" \t\r\x0b\x0c") if x.split() else None for x in text.split("\n")]
-        sizes = [len(x.split()) for x in text.split("\n")]
-        spans = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1) if None not in lines[a:b] and sum(sizes[a:b]) >= min_words]
-        if tuple(lines) in whole:
-            gone[i] = [k for k, x in enumerate(lines) if x is not None] if sum(sizes) >= min_words else []
-        else:
-            gone[i] = sorted({k for a, b in spans if tuple(lines[a:b]) in seen for k in range(a, b)})
-        whole.add(tuple(lines))
-        seen |= {tuple(lines[a:b]) for a, b in spans}
-    return gone
+    """By text alone, without alignment or pairs: lines in a run of min_words that a row of an earlier id has go. One list for each row."""
+    seen, whole, gone = set(), set(), []
+    fresh = lambda text: [x.strip(" \t\r\x0b\x0c") if x.split() else None for x in text.split("\n")]
+    spans = lambda lines, sizes: [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1) if None not in lines[a:b] and sum(sizes[a:b]) >= min_words]
+    for i in sorted({i for i, _ in rows if i is not None}):
+        own = [(fresh(t), [len(x.split()) for x in t.split("\n")]) for j, t in rows if j == i]
+        for (lines, sizes), text in zip(own, (t for j, t in rows if j == i)):
+            if tuple(lines) in whole:
+                found = [k for k, x in enumerate(lines) if x is not None] if sum(sizes) >= min_words else []
+            else:
+                found = sorted({k for a, b in spans(lines, sizes) if tuple(lines[a:b]) in seen for k in range(a, b)})
+            gone.append((i, text, found))
+        for lines, sizes in own:
+            whole.add(tuple(lines))
+            seen |= {tuple(lines[a:b]) for a, b in spans(lines, sizes)}
+    return gone + [(i, t, []) for i, t in rows if i is None]
 
 
 def test_matches_independent_brute_force(documents):
@@ -109,7 +113,18 @@ def test_matches_independent_brute_force(documents):
             lines += rng.choice(rows)[1].split("\n")[rng.randrange(3) :]
         rows.append((i, "\n".join(lines)))
     found = {r.doc_id: r.removed_lines for r in ld.deduplicate_lines(documents(rows), rare_share=None).collect()}
-    assert found == exact(rows)
+    assert found == {i: gone for i, _, gone in exact(rows)}
+    # rows of one id, and of none
+    rows = [(None if k % 17 == 0 else i // 3, t) for k, (i, t) in enumerate(rows + rows[:20])]
+    out = ld.deduplicate_lines(documents(rows).withColumn("input", F.col("text")), rare_share=None, keep=("input",)).collect()
+    assert sorted((str(r.doc_id), r.input, r.removed_lines) for r in out) == sorted((str(i), t, gone) for i, t, gone in exact(rows))
+
+
+def test_a_block_meets_every_earlier_holder(documents):
+    x, y = "one two three four five", "six seven eight nine ten"
+    rows = [(1, f"{x}\nown words of one"), (2, f"{y}\nown words of two"), (3, f"here\n{x}\n{y}\nthree"), (4, f"four\n{x}\n{y}\nmore")]
+    found = {r.doc_id: r.removed_lines for r in ld.deduplicate_lines(documents(rows), rare_share=None).collect()}
+    assert found == {1: [], 2: [], 3: [], 4: [1, 2]}
 
 
 def test_repeated_lines_and_blocks_of_short_lines(documents):
