@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -29,6 +30,43 @@ def test_shared_lines_go_where_nothing_marks_the_article(spark):
     assert copy[0, "http://a.org/0"].count("\n") == 3  # a copy of its neighbour is no furniture
 
 
+def test_differencing_decides_in_pages_with_an_article(spark):
+    page = "<body><nav>Home</nav><article><h1>Head {0}</h1><p>Of {0} is told.</p><p>{1}</p><div class='more'>{2}</div></article></body>"
+    rows = [(i, f"http://a.org/{i}", page.format(i, "A passage that all have.", "Read on at our site"), "") for i in range(3)] + [(9, "http://b.org/9", page.format(9, "A passage that all have.", "Read on at our site"), "")]
+    found = extract(spark, rows)
+    assert found[1, "http://a.org/1"] == "Head 1\nOf 1 is told.\nA passage that all have."  # running text stays, the shared box goes
+    assert found[9, "http://b.org/9"].endswith("\nRead on at our site")  # no neighbour shows what is furniture
+
+
+@pytest.mark.parametrize("open_tags", ['<div class="content has-sidebar"><article>', '<article class="post comments-open">', '<article class="share-price">', '<div id="wrapper" class="nav-open"><main>', '<div class="sidebar"><article class="comment">'])
+def test_names_never_delete_the_only_article(open_tags):
+    page = f'<body><div class="site-footer">Foot</div>{open_tags}<h1>Head</h1><p>Text of it.</p><section class="comment-list">Nice!</section>'
+    assert h.main_text(h.lines_of(page), []) == "Head\nText of it."
+
+
+def test_names_are_believed_where_another_article_is_left():
+    page = '<body><div class="related-box"><article><p>Teaser</p></article></div><div class="cookie_banner">Ok?</div><article><p>Text.</p><article class="comment">Nice!</article></article>'
+    assert h.main_text(h.lines_of(page), []) == "Text."
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a '", '<a "', "<div>x", "</p>", "<", "<!--", "<script ", "</script ", "<a \"'>", "<div></p>", "<p class='menu-menu-", "&amp", "<title>"])
+def test_broken_markup_takes_one_pass(part):
+    began = time.perf_counter()
+    h.main_text(h.lines_of("<p>one</p>" + part * (1_000_000 // len(part))), [])
+    assert time.perf_counter() - began < 5
+
+
+def test_quotes_comments_and_raw_text():
+    page = """<p title="a > b">one</p><!-- <p>no</p> --><p data-x='"'>two</p><script>if (a < b) "</p>"</script ><p>3 < 4 &lt; 5</p><p>six <b"""
+    assert [x.text for x in h.lines_of(page)] == ["one", "two", "3 < 4 < 5", "six <b"]
+
+
+def test_pages_of_one_address_differ(spark):
+    rows = [(1, "http://a/1", f"<p>Text {k} of the one address.</p>", None) for k in range(3)] + [(None, "http://a/1", "<p>No id.</p>", None)]
+    out = h.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted(r.text for r in out) == ["No id.", *(f"Text {k} of the one address." for k in range(3))]
+
+
 def lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
@@ -38,7 +76,9 @@ def lcs(a, b):
 
 
 @pytest.mark.parametrize("seed", range(20))
-def test_common_is_a_longest_common_subsequence(seed):
+@pytest.mark.parametrize("bits", [h.TRACE_BITS, 20])
+def test_common_is_a_longest_common_subsequence(seed, bits, monkeypatch):
+    monkeypatch.setattr(h, "TRACE_BITS", bits)
     rng = random.Random(seed)
     a, b = ([rng.randrange(5) for _ in range(rng.randrange(30))] for _ in range(2))
     places = sorted(h.common(a, b))
