@@ -120,7 +120,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if len(_POWERS.get("up", ())) <= n:
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -169,7 +169,7 @@ class Tokens:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        up, down = _powers(len(self.buf))
+        up, down = powers(len(self.buf))
         total = np.empty(len(self.buf) + 1, np.uint64)
         total[0] = 0
         np.cumsum((_FOLDED if self.fold else _SEED)[self.buf] * up[: len(self.buf)], out=total[1:])

@@ -44,10 +44,71 @@ def test_a_single_repeated_word_and_copies(documents):
     assert found == brute(rows, 50)
 
 
-def test_factors_are_greedy_and_break_at_another_source():
-    places, sources = np.array([3, 4, 5, 6, 9]), np.array([1, 1, 2, 2, 1])
-    assert sd.factors(places, sources, 50) == [(3, 54, 1), (5, 56, 2), (9, 59, 1)]
-    assert sd.factors(np.zeros(0, int), np.zeros(0, int), 50) == []
+def reference(passages, window):
+    """passages: (block, doc, words)."""
+    first = np.cumsum([0, *(len(w) for _, _, w in passages)])
+    words = np.array([x for _, _, w in passages for x in w], np.uint64)
+    return sd.Reference(words, first, np.array([b for b, _, _ in passages]), np.array([d for _, d, _ in passages]), window)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_factors_are_the_longest_of_earlier_documents(seed):
+    rng = random.Random(seed)
+    window = rng.choice([2, 5, 8])
+    passages = [(rng.randrange(3), rng.randrange(5), [rng.randrange(3) for _ in range(rng.randrange(1, 25))]) for _ in range(12)]
+    found = reference(passages, window)
+    most = 1 << (window - 1).bit_length()
+    at = 0
+    for b, d, w in passages:
+        earlier = [x for c, e, x in passages if c == b and e < d]
+        for i in range(len(w)):
+            longest = max((n for n in range(1, len(w) - i + 1) if any(x[j : j + n] == w[i : i + n] for x in earlier for j in range(len(x) - n + 1))), default=0)
+            assert found.length[at + i] == min(longest, most)
+        at += len(w)
+    # the parse covers every word once, and its spans are the windows that an earlier document of the block has
+    start, end, _ = found.parse()
+    assert sorted(zip(start, end)) == [(s, e) for s, e in zip(sorted(start), sorted(end))] and sum(end - start) == at
+    covered = {k for s, e, _ in zip(*found.spans()) for k in range(s, e)}
+    wanted, at = set(), 0
+    for b, d, w in passages:
+        for i in range(len(w) - window + 1):
+            if any(x[j : j + window] == w[i : i + window] for c, e, x in passages if c == b and e < d for j in range(len(x) - window + 1)):
+                wanted.update(range(at + i, at + i + window))
+        at += len(w)
+    assert covered == wanted
+
+
+def test_the_parse_decides(documents, monkeypatch):
+    """Two documents share words 20 to 79 in surroundings of their own: no passage is shared whole, the factors find it."""
+    shared = [f"s{i}" for i in range(60)]
+    rows = [(i, " ".join([*(f"a{i}x{k}" for k in range(20)), *shared, *(f"b{i}x{k}" for k in range(20))])) for i in (1, 2)]
+    found = {r.doc_id: r for r in sd.deduplicate(documents(rows)).collect()}
+    assert {i: (r.n_words, r.n_removed, r.kept_text) for i, r in found.items()} == brute(rows, 50)
+    assert min(f.start for f in found[2].factors) == 20 and max(f.end for f in found[2].factors) == 80 and {f.source for f in found[2].factors} == {1}
+    far = {r.doc_id: r.n_removed for r in sd.deduplicate(documents(rows), window=61).collect()}
+    assert far == {1: 0, 2: 0}
+
+
+@pytest.mark.parametrize("block_words", [sd.BLOCK_WORDS, 0, 150])
+def test_rows_of_one_id_and_large_blocks(documents, block_words):
+    rng = random.Random(9)
+    pool = [prose(rng, 70, 40) for _ in range(5)]
+    rows = [(rng.randrange(12), prose(rng, rng.randrange(20), 40) + " " + " ".join(rng.choice(pool).split()[rng.randrange(9) :]) + " " + prose(rng, rng.randrange(20), 40)) for _ in range(40)]
+    rows += [(5, rows[0][1]), (5, rows[1][1]), (5, rows[1][1])]
+    first = {}
+    for i, t in rows:
+        w = t.split()
+        for p in range(len(w) - 49):
+            k = tuple(w[p : p + 50])
+            first[k] = min(first.get(k, i), i)
+    wanted = []
+    for i, t in [*rows, (None, rows[3][1])]:
+        w = t.split()
+        gone = {q for p in range(len(w) - 49) if i is not None and first[tuple(w[p : p + 50])] < i for q in range(p, p + 50)}
+        wanted.append((str(i), len(w), len(gone), " ".join(x for q, x in enumerate(w) if q not in gone)))
+    found = sd.deduplicate(documents([*rows, (None, rows[3][1])]), block_words=block_words).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in found) == sorted(wanted)
+    assert any(x[2] for x in wanted)
 
 
 def test_sliding_least():
