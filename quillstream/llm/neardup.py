@@ -7,26 +7,27 @@ enumerates that one error, and meeting in any index entry makes a candidate.
 
 Within an entry, near signatures are joined to a spanning forest, never to all pairs. The forests of all
 entries make families; each link lies within a family, where full sets are compared until its
-components are known, again emitting a spanning forest. Large entries and families are cut into blocks,
-and every two blocks meet in a task of bounded size.
+components are known, again emitting a spanning forest. Large entries and families are cut into blocks of
+bounded size, and only what these don't link is compared across them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, Tokens, mix, signed, slices, small_batches, stash, window_hash, within
+from .common import SPACE_WORDS, Tokens, mix, signed, slices, small_batches, stash, text_key, window_hash, within
 from .graph import components
 
-CHUNKS, PER_CHUNK = 8, 5
+CHUNKS, PER_CHUNK = 10, 4
 SYMBOLS = CHUNKS * PER_CHUNK
-#: Candidates may differ in so many symbols: of pairs at a similarity of 0.8, one in 6,000 differs in more, and of pairs at 0.85 one in 300,000.
-DISTANCE = 17
+#: Candidates may differ in so many symbols: those that are certain to share a chunk but for one error.
+DISTANCE = 2 * CHUNKS - 1
 #: Documents and shingles of a block; two blocks are compared in one task.
 BLOCK, BLOCK_SHINGLES = 1000, 1_000_000
 _SALTS = np.random.default_rng(5).integers(1, 2**63, size=(2, SYMBOLS), dtype=np.uint64)
@@ -69,8 +70,8 @@ def _sign(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         digests = [signed(s[first[1:]] - s[first[:-1]]) for s in sums]  # of the set, in any order
         symbols = signatures(hashes, first)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.diff(first), pa.int64()), pa.array(digests[0]), pa.array(digests[1]), pa.array([s.tobytes() for s in symbols], pa.binary()), pa.array([s.tobytes() for s in symbols.astype(np.uint8)], pa.binary())],
-            names=["doc_id", "n_shingles", "set_a", "set_b", "signature", "brief"],
+            [batch.column(0), batch.column(2), pa.array(np.diff(first), pa.int64()), pa.array(digests[0]), pa.array(digests[1]), pa.array([s.tobytes() for s in symbols], pa.binary()), pa.array([s.tobytes() for s in symbols.astype(np.uint8)], pa.binary())],
+            names=["doc_id", "key", "n_shingles", "set_a", "set_b", "signature", "brief"],
         )
 
 
@@ -90,7 +91,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     packed = packed << np.uint64(16) | chunks[:, :, i]
             keys[:, :, out] = mix(mix(packed) + np.arange(CHUNKS, dtype=np.uint64) * np.uint64(PER_CHUNK) + np.uint64(out + 1))
         ids = np.repeat(batch.column(0).to_numpy(), SYMBOLS)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(keys.reshape(-1))), pa.array(ids)], names=["group", "doc_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(signed(keys.reshape(-1))), pa.array(ids)], names=["group", "node"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -130,6 +131,7 @@ def _forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tup
 
 def _edges(ids: np.ndarray, forest: list[tuple[int, int]]) -> pa.RecordBatch:
     pairs = ids[np.array(forest, np.int64).reshape(-1, 2)]
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
 
 
@@ -142,9 +144,9 @@ def _near(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     for rows in _groups(batches):
         if rows.num_rows < 2:
             continue
-        n, symbols = rows["n_shingles"].to_numpy(), np.frombuffer(b"".join(rows["brief"].to_pylist()), np.uint8).reshape(-1, SYMBOLS)
+        n, symbols = rows["n_shingles"].to_numpy(), np.frombuffer(b"".join(rows["data"].to_pylist()), np.uint8).reshape(-1, SYMBOLS)
         near = lambda i, rest: _similar_sizes(percent, n, i, rest) & ((symbols[rest] != symbols[i]).sum(axis=1) <= DISTANCE)  # noqa: E731, B023
-        yield _edges(rows["doc_id"].to_numpy(), _forest(len(n), near))
+        yield _edges(rows["node"].to_numpy(), _forest(len(n), near))
 
 
 def _link(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +154,7 @@ def _link(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     for rows in _groups(batches):
         if rows.num_rows < 2:
             continue
-        parts = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
+        parts = [np.frombuffer(x, np.uint64) for x in rows["data"].to_pylist()]
         n = np.array([len(x) for x in parts])
         distinct, local = np.unique(np.concatenate(parts), return_inverse=True)
         first = np.concatenate([[0], np.cumsum(n)])
@@ -169,23 +171,67 @@ def _link(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 out[out] = 100 * common >= percent * (n[some] + n[i] - common)
             return out
 
-        yield _edges(rows["doc_id"].to_numpy(), _forest(len(n), similar))
+        yield _edges(rows["node"].to_numpy(), _forest(len(n), similar))
 
 
 def _sets(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         hashes, first = shingle_sets(batch.column(1), shingle)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashes[x:y].tobytes() for x, y in zip(first, first[1:])], pa.binary()), batch.column(2), batch.column(3)], names=["doc_id", "shingles", "group", "blocks"])
+        sets = pa.array([hashes[x:y].tobytes() for x, y in zip(first, first[1:])], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(np.diff(first), pa.int64()), sets, batch.column(3)], names=["group", "node", "n_shingles", "data", "blocks"])
 
 
-def _blocked(rows: DataFrame, blocks: Column) -> DataFrame:
-    """rows(group, doc_id, ...) dealt out so that every two of a group's blocks meet in one run of (group, low, high)."""
-    rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    # a block meets all others; one alone meets itself
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
-    rows = rows.withColumn("other", F.explode(others)).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    rows = rows.drop("blocks", "block", "other").repartition("group", "low", "high")
-    return rows.sortWithinPartitions("group", "low", "high", "doc_id")
+def _linked(rows: DataFrame, sizes: DataFrame, compare: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], name: str) -> DataFrame:
+    """edges(a, b) that connect whatever compare() links within a group of rows(group, node, n_shingles, data, blocks).
+
+    sizes has the column blocks, too, and is quick to read.
+    A group of one block is one run. A larger one is compared in blocks first; then one member of every component
+    that is known so far meets the others', until no more links are found. What is still apart is compared
+    in full: the members outside a group's largest component with all of its members, block by block. So a group of
+    copies takes time in proportion to its size, and only what isn't linked costs more.
+    """
+
+    def run(part: DataFrame, low: Column, high: Column, what: str) -> DataFrame:
+        part = part.withColumns({"low": low.cast("int"), "high": high.cast("int")}).select("group", "low", "high", "node", "n_shingles", "data")
+        part = part.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "node")
+        return stash(part.mapInArrow(compare, "a long, b long").distinct(), f"{name}-{what}")
+
+    deal = lambda blocks, *salt: F.pmod(F.xxhash64("node", *map(F.lit, salt)), blocks)
+    block = F.when(F.col("blocks") > 1, deal(F.col("blocks"))).otherwise(F.lit(0))
+    edges = run(rows, block, block, "blocks")
+    if sizes.where("blocks > 1").isEmpty():
+        return edges
+    large = stash(rows.where("blocks > 1"), f"{name}-large")
+
+    def labelled() -> DataFrame:
+        known = components(edges).select(F.col("id").alias("node"), "component")
+        return stash(large.hint("merge").join(known, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), f"{name}-labels")
+
+    needed = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    before = None
+    while True:
+        rows = labelled()
+        heads = rows.hint("merge").join(rows.groupBy("group", "label").agg(F.min("node").alias("node")).drop("label"), ["group", "node"]).drop("blocks")
+        sizes = heads.groupBy("group").agg(F.count(F.lit(1)).alias("heads"), needed.alias("blocks")).where("heads > 1")
+        heads = heads.hint("merge").join(sizes, "group")
+        count, most = heads.agg(F.count(F.lit(1)), F.max("blocks")).first()
+        if not count:
+            return edges
+        if before is not None and 2 * count > before:
+            break
+        block = deal(F.col("blocks"), count)
+        edges, before = edges.union(run(heads, block, block, "heads")), count
+        if most == 1:
+            rows = labelled()
+            break
+    each = rows.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
+    rest = rows.hint("merge").join(each.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("largest")), "group").where("label <> largest").drop("largest")
+    rest = rest.hint("merge").join(rest.groupBy("group").agg(needed.alias("rest_blocks")), "group")
+    every = rows.hint("merge").join(rest.select("group", "rest_blocks").distinct(), "group")
+    meet = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    one = rest.withColumn("at", deal(F.col("rest_blocks"))).withColumn("with", meet("blocks")).select("group", "node", "n_shingles", "data", F.col("at").alias("l"), F.col("with").alias("h"))
+    two = every.withColumn("at", deal(F.col("blocks"))).withColumn("with", meet("rest_blocks")).select("group", "node", "n_shingles", "data", F.col("with").alias("l"), F.col("at").alias("h"))
+    return edges.union(run(one.union(two), F.col("l"), F.col("h"), "rest"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -195,37 +241,51 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     is at least percent / 100. component_id is the smallest doc_id reachable over links; kept says that it
     is the document's own. A null or wordless text has an empty set, is linked with nothing and kept; one
     with fewer words than a shingle has one shingle. Equal sets are linked whatever their number. Rows of
-    one doc_id share its component; one without a doc_id has none, is linked with nothing and kept. An empty
-    table gives no rows; extra columns aren't read.
+    one doc_id are one document, linked with whatever any of its texts is linked with; each row gives the size of
+    its own set, and the smallest doc_id's rows are all kept. A row without a doc_id has no component, is linked
+    with nothing and kept. An empty table gives no rows; extra columns aren't read.
 
-    All pairs whose signatures differ in at most 15 of 40 symbols are certain to be compared; of pairs
-    at a similarity of just 0.8 about one in 5,000 isn't.
+    All pairs whose signatures differ in at most DISTANCE of SYMBOLS symbols are certain to be compared: all
+    but one in 46,000 of the pairs at a similarity of just 0.8 (see `miss_rate`). Links are confirmed on full sets.
     """
-    docs = small_batches(docs).select(F.col("doc_id").cast("long"), "text")
-    rows = stash(docs.mapInArrow(lambda b: _sign(shingle, b), "doc_id long, n_shingles long, set_a long, set_b long, signature binary, brief binary"), "signatures")
-    same = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(
-        F.min("doc_id").alias("leader"), F.min_by("signature", "doc_id").alias("signature"), F.min_by("brief", "doc_id").alias("brief")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long"), "text", text_key().alias("key"))
+    rows = stash(docs.mapInArrow(lambda b: _sign(shingle, b), "doc_id long, key long, n_shingles long, set_a long, set_b long, signature binary, brief binary"), "signatures")
+    worded = rows.where("n_shingles > 0 and doc_id is not null")
+    sets = worded.groupBy("set_a", "set_b", "n_shingles").agg(
+        F.min("doc_id").alias("leader"), F.min_by("key", "doc_id").alias("key"), F.min_by("signature", "doc_id").alias("signature"), F.min_by("brief", "doc_id").alias("brief")
     )
-    leaders = stash(same, "leaders")
+    # a node for every different set; the number is fixed by the write
+    nodes = stash(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    same = ["set_a", "set_b", "n_shingles"]
 
     # merge joins throughout: what Spark guesses of these tables' sizes is far too low
-    entries = leaders.select("leader", "signature").mapInArrow(_index, "group long, doc_id long")
-    counted = entries.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    briefs = leaders.select(F.col("leader").alias("doc_id"), "n_shingles", "brief")
-    crowd = entries.hint("merge").join(counted, "group").hint("merge").join(briefs, "doc_id")
-    near = _blocked(crowd, F.ceil(F.col("size") / BLOCK)).select("group", "low", "high", "doc_id", "n_shingles", "brief")
-    edges = stash(near.mapInArrow(lambda b: _near(percent, b), "a long, b long").distinct(), "near")
-    families = components(edges)
-
-    members = families.hint("merge").join(leaders.select(F.col("leader").alias("id"), "n_shingles"), "id")
+    entries = nodes.select("node", "signature").mapInArrow(_index, "group long, node long")
+    counted = entries.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    counted = stash(counted, "entries")
+    crowd = entries.hint("merge").join(counted, "group").hint("merge").join(nodes.select("node", "n_shingles", F.col("brief").alias("data")), "node")
+    near = _linked(crowd.select("group", "node", "n_shingles", "data", "blocks"), counted, lambda b: _near(percent, b), "near")
+    families = components(near)
+
+    members = families.withColumnRenamed("id", "node").hint("merge").join(nodes.select("node", "n_shingles", "leader", "key"), "node")
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    members = stash(families.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("group"), "blocks"), "families")
-    sets = docs.hint("merge").join(members, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "group", "blocks")
-    sets = sets.mapInArrow(lambda b: _sets(shingle, b), "doc_id long, shingles binary, group long, blocks long")
-    links = _blocked(sets, F.col("blocks")).select("group", "low", "high", "doc_id", "shingles").mapInArrow(lambda b: _link(percent, b), "a long, b long")
-    found = components(links)
-
-    ends = leaders.select("leader", "set_a", "set_b", "n_shingles").join(found.withColumnRenamed("id", "leader"), "leader", "left")
-    ends = ends.select("set_a", "set_b", "n_shingles", F.coalesce("component", "leader").alias("component"))
-    out = rows.drop("signature", "brief").hint("merge").join(ends, ["set_a", "set_b", "n_shingles"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+    members = stash(members.join(sizes, "component").select("node", F.col("leader").alias("doc_id"), "key", F.col("component").alias("group"), "blocks"), "families")
+    full = docs.hint("merge").join(members, ["doc_id", "key"]).dropDuplicates(["node"]).select("node", "text", "group", "blocks")
+    full = full.mapInArrow(lambda b: _sets(shingle, b), "group long, node long, n_shingles long, data binary, blocks long")
+    links = _linked(full, members, lambda b: _link(percent, b), "links")
+
+    # the texts of one doc_id are one document
+    of = stash(worded.select("doc_id", *same).distinct().hint("merge").join(nodes.select("node", *same), same).select("doc_id", "node"), "holders")
+    own = of.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
+    own = of.hint("merge").join(own, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
+    found = components(links.union(own)).withColumnRenamed("id", "node")
+
+    ends = nodes.select("node", "leader", *same).hint("merge").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = ends.groupBy("component").agg(F.min("leader").alias("component_id"))
+    ends = ends.hint("merge").join(least, "component").select(*same, "component_id")
+    out = rows.select("doc_id", *same).hint("merge").join(ends, same, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def miss_rate(similarity: float) -> float:
+    """The share of pairs of a similarity whose signatures differ in more than DISTANCE symbols: these alone may be missed."""
+    return sum(comb(SYMBOLS, k) * (1 - similarity) ** k * similarity ** (SYMBOLS - k) for k in range(DISTANCE + 1, SYMBOLS + 1))

@@ -48,15 +48,42 @@ def test_matches_brute_force(documents, shingle):
     assert found == brute(rows, shingle, 80)
 
 
-def test_large_groups_are_cut_into_blocks(documents, monkeypatch):
+@pytest.mark.parametrize("changes", [8, 30])
+def test_large_groups_are_cut_into_blocks(documents, monkeypatch, changes):
     monkeypatch.setattr(neardup, "BLOCK", 7)
     rng = random.Random(3)
     base = prose(rng, 150).split()
-    rows = [(i, " ".join(near(rng, base, rng.randrange(8)))) for i in range(80)] + [(100 + i, " ".join(base)) for i in range(30)]
+    rows = [(i, " ".join(near(rng, base, rng.randrange(changes)))) for i in range(80)] + [(100 + i, " ".join(base)) for i in range(30)]
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents(rows), 2).collect()}
     assert found == brute(rows, 2, 80)
 
 
+def test_rows_of_one_id_are_one_document(documents):
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 60).split() for _ in range(3))
+    one = lambda w: " ".join(near(rng, w, 1))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, one(b)), (3, one(a)), (5, " ".join(c)), (7, one(c)), (9, one(c)), (9, one(a)), (20, "alone"), (20, "alone"), (None, " ".join(a))]
+    out = neardup.near_duplicates(documents(rows), 2).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in out if r.doc_id) == sorted((i, 20 if i == 20 else 1, i in (1, 20)) for i, _ in rows if i)
+
+
+def test_recall_where_pairs_are_just_similar_enough():
+    """Against all pairs: of those at 0.80 to 0.85 none is missed here, as the stated rate has it."""
+    rng = np.random.default_rng(2)
+    distances = []
+    for _ in range(2000):
+        n = int(rng.integers(50, 400))
+        own = int(n * rng.uniform(0.15, 0.2) / 2 / 0.9)
+        both, *apart = (rng.integers(0, 2**63, k, dtype=np.uint64) for k in (n - own, own, own))
+        sets = [np.unique(np.concatenate([both, x])) for x in apart]
+        similarity = len(np.intersect1d(*sets)) / len(np.union1d(*sets))
+        if 0.8 <= similarity < 0.85:
+            s = neardup.signatures(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]))
+            distances.append((s[0] != s[1]).sum())
+    assert len(distances) > 200 and np.mean(np.array(distances) <= neardup.DISTANCE) > 0.999
+    assert 1 / neardup.miss_rate(0.8) == pytest.approx(46_100, rel=0.01) and neardup.miss_rate(0.85) < 1e-6
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     common, own = rng.integers(0, 2**63, 800, dtype=np.uint64), rng.integers(0, 2**63, (2, 100), dtype=np.uint64)
@@ -71,13 +98,13 @@ def test_the_index_meets_whenever_a_chunk_has_one_error():
 
     a = rng.integers(0, 65536, (1, neardup.SYMBOLS), dtype=np.uint16)
     b = a.copy()
-    for place in range(0, 40, 5):  # two errors in every chunk but the last, which has one
+    for place in range(0, neardup.SYMBOLS, neardup.PER_CHUNK):  # two errors in every chunk but the last, which has one
         b[0, place] ^= 1
-        b[0, place + 1] ^= 1 if place < 35 else 0
+        b[0, place + 1] ^= 1 if place < neardup.SYMBOLS - neardup.PER_CHUNK else 0
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([a.tobytes(), b.tobytes()], pa.binary())], names=["leader", "signature"])
     (keys,) = neardup._index([batch])
     keys = keys["group"].to_numpy().reshape(2, -1)
-    assert len(set(keys[0]) & set(keys[1])) == 1 and (a != b).sum() == 15
+    assert len(set(keys[0]) & set(keys[1])) == 1 and (a != b).sum() == neardup.DISTANCE
 
 
 def test_components_of_paths_and_stars(spark):
