@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again."""
+"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again.
+
+Each stage takes any documents table: rows of null or wordless text have no language and go in the first stage, an
+empty table stays empty, and further columns aren't read. Rows without a doc_id are documents of their own in all stages:
+they are never earlier or later than others in line dedup, linked with nothing in near-dedup, and have their share in the
+mix. Rows of one doc_id and different texts are told apart throughout; of wholly repeated rows near-dedup keeps one.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.llm import decontam, langid, line_dedup, mixing, neardup
-from quillstream.llm.common import shared_dir, stash, table
+from quillstream.llm.common import scratch, stash, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose language is less certain than this is rejected.
 MIN_LANGUAGE_SCORE = 0.5
+#: Words of a shingle in the near-dedup stage: those of op5's contract.
+SHINGLE = 2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +39,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: of the smallest doc_id. Rows without a doc_id all stay."""
+    """One row of each group of near-duplicates, in the sense of op5: of the smallest doc_id. Of repeated rows one
+    stays; of rows of one doc_id and different texts, each is a document. Rows without a doc_id all stay."""
     rows = stash(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
     # rows are compared under their own numbers, so that those of one doc_id are told apart
     numbered = rows.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text")
-    found = neardup.near_duplicates(numbered).where("doc_id <> component_id")
+    found = neardup.near_duplicates(numbered, SHINGLE).where("doc_id <> component_id")
     found = stash(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), "linked")
     linked = found.union(found.select(F.col("group").alias("row"), "group").distinct())
     linked = stash(linked.hint("merge").join(rows.select("row", "doc_id"), "row"), "groups")
@@ -71,7 +80,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
