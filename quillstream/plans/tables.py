@@ -13,12 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder of spark.checkpoint.dir, which driver and executors share (a local one where that is unset, as in tests)."""
+    """A new path in the folder of spark.checkpoint.dir, which driver and executors share; what is there goes when the application ends.
+
+    Only a local session, as in tests, gets a folder of its own where that is unset.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quillstream-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/quillstream/table-{uuid.uuid4().hex}"
+    own = f"{folder.rstrip('/')}/quillstream/{spark.sparkContext.applicationId}"
+    path, store = _hadoop(spark, own)
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return f"{own}/table-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -27,3 +36,19 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or shared_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path, store = _hadoop(spark, folder)
+    return store.exists(path)
+
+
+def modified_ms(spark: SparkSession, file: str) -> int:
+    """When a file was last written, in milliseconds."""
+    path, store = _hadoop(spark, file)
+    return store.getFileStatus(path).getModificationTime()
+
+
+def _hadoop(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())

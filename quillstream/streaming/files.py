@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..plans.tables import exists
+
 
 def stream_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, size, modified_ms, content) of files, each once; Spark's checkpoint remembers which were read."""
@@ -24,13 +26,8 @@ def analyse_new(spark: SparkSession, folder: str, out: str, checkpoint: str, ana
 def shift_in_batches(queue: DataFrame, take: Callable[[DataFrame], DataFrame], state: str) -> DataFrame:
     """The next batch of a work queue, whose ids are appended to the state table before it is handed out."""
     spark = queue.sparkSession
-    done = spark.read.schema("id string").parquet(state) if _exists(spark, state) else None
+    done = spark.read.schema("id string").parquet(state) if exists(spark, state) else None
     left = queue if done is None else queue.join(done, "id", "left_anti").select(*queue.columns)
     batch = take(left)
     batch.select("id").write.mode("append").parquet(f"{state}")
     return batch
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

@@ -1,92 +1,123 @@
 """Keyed ingest: duplicates by key are answered, stale sequence numbers skipped, all else saved, in order of arrival.
 
 Events: id, seq (null: no order is asked for), key (null: no check), payload, arrival. The checks are one state
-machine in this order: a key that was seen before, in any conversation, is a duplicate; a seq that isn't above the
+machine in this order: a key that was saved before, in any conversation, is a duplicate; a seq that isn't above the
 saved one is stale, and leaves no key; else the payload is saved with its seq, null or not.
+
+Keys tie all conversations together, so the events can't be dealt out and walked. They are settled in rounds of
+joins instead: given what is known of duplicates, each conversation's saved numbers follow by running maxima; given
+these, each key belongs to its first event that isn't stale, and what comes after that one is a duplicate. A round
+settles at least the next event of every chain of ids and keys; rounds end when nothing changes any more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StreamingQuery
+
+from ..plans.tables import exists, materialize, shared_folder
 
-OUTCOME = "id string, arrival long, seq long, key string, payload_sha256 string, outcome string"
+#: Events of a conversation whose running maximum one task works out; those of a longer one are cut into ranges of arrival.
+CHUNK = 65_536
+_KEYS, _SEQS = "key string, batch long", "id string, seq long, batch long"
 
 
-def prepared(events: DataFrame, group: Column | None = None) -> DataFrame:
-    """events in the operator's columns. Keys are unique across the ids of one group, by default the id itself. seq goes as text: pandas would round a nullable long."""
+def prepared(events: DataFrame) -> DataFrame:
+    """events in the operator's columns. A null id is a conversation like any other. arrival is a whole number, unique and about dense."""
     return events.select(
-        F.col("id").cast("string"), F.col("arrival").cast("long"), F.col("seq").cast("long").cast("string"), F.col("key").cast("string"),
-        F.sha2(F.col("payload").cast("string"), 256).alias("payload_sha256"), F.coalesce(F.col("id").cast("string") if group is None else group.cast("string"), F.lit("")).alias("group"),
+        F.col("id").cast("string").alias("id"), F.col("arrival").cast("long").alias("arrival"), F.col("seq").cast("long").alias("seq"), F.col("key").cast("string").alias("key"),
+        F.sha2(F.col("payload").cast("string"), 256).alias("payload_sha256"),
     )
 
 
-def judge(rows: pd.DataFrame, seqs: dict, keys: set) -> pd.DataFrame:
-    """The outcome of each row in turn, with what is known of sequences and keys before (both are updated)."""
-    rows = rows.sort_values("arrival", kind="stable")
-    out, numbers = [], [None if x is None else int(x) for x in rows["seq"]]
-    for name, seq, key in zip(rows["id"], numbers, rows["key"]):
-        if key is not None and key in keys:
-            out.append("duplicate")
-        elif seq is not None and seqs.get(name) is not None and seq <= seqs[name]:
-            out.append("stale")
-        else:
-            seqs[name] = seq
-            if key is not None:
-                keys.add(key)
-            out.append("saved")
-    done = rows.assign(outcome=out, seq=pd.Series(numbers, index=rows.index, dtype="Int64"))
-    return done[["id", "arrival", "seq", "key", "payload_sha256", "outcome"]]
-
-
-def ingest_batch(events: DataFrame, group: Column | None = None) -> DataFrame:
-    """The outcome of every event of a table.
-
-    A group's events (one conversation's, by default) are walked in order of arrival, batch by batch: a task holds what is
-    known of the group it is at, never the group.
+def _with_stale(rows: DataFrame, start: DataFrame) -> DataFrame:
+    """rows(id, arrival, seq, dup) with stale: whether the event, if its key is new, is at or below what its conversation saved last.
+
+    What is saved last is the highest number since the last event without one that is no duplicate: stale numbers are
+    never above it. start(id, saved) is what each conversation saved before. Maxima are taken within chunks of arrivals
+    and then over the chunks, so a very long conversation is no task's alone.
+    """
+    own = ["conversation", "chunk"]
+    rows = rows.withColumns({"conversation": F.coalesce(F.concat(F.lit("="), F.col("id")), F.lit("")), "chunk": F.floor(F.col("arrival") / CHUNK)})
+    live = rows.withColumns({"reset": ~F.col("dup") & F.col("seq").isNull(), "live": F.when(~F.col("dup"), F.col("seq"))})
+    resets = F.sum(F.col("reset").cast("int")).over(Window.partitionBy(*own).orderBy("arrival"))
+    live = live.withColumn("since", resets)
+    before = Window.partitionBy(*own, "since").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    live = live.withColumn("inside", F.max("live").over(before))
+
+    # what each chunk hands on: its maximum since its last reset, and whether it had one
+    runs = live.groupBy(*own, "since").agg(F.max("live").alias("most"))
+    chunks = runs.groupBy(*own).agg(F.max("since").alias("resets"), F.max_by("most", "since").alias("most"))
+    chunks = chunks.withColumn("segment", F.sum((F.col("resets") > 0).cast("int")).over(Window.partitionBy("conversation").orderBy("chunk")))
+    chunks = chunks.withColumn("out", F.max("most").over(Window.partitionBy("conversation", "segment").orderBy("chunk")))
+    earlier = Window.partitionBy("conversation").orderBy("chunk")
+    chunks = chunks.select(*own, F.lag("out").over(earlier).alias("carried"), (F.coalesce(F.lag("segment").over(earlier), F.lit(0)) == 0).alias("fresh"))
+    begun = start.select(F.coalesce(F.concat(F.lit("="), F.col("id")), F.lit("")).alias("conversation"), "saved")
+    chunks = chunks.join(begun, "conversation", "left").select(*own, F.when(F.col("fresh"), F.greatest("carried", "saved")).otherwise(F.col("carried")).alias("carried"))
+    rows = live.hint("merge").join(chunks, own)
+    last = F.when(F.col("since") == 0, F.greatest("inside", "carried")).otherwise(F.col("inside"))
+    # an event without a number is itself the first of its run and never stale
+    return rows.withColumn("stale", F.coalesce(F.col("seq") <= last, F.lit(False))).drop("conversation", "chunk", "reset", "live", "since", "inside", "carried")
+
+
+def ingest_batch(events: DataFrame, keys: DataFrame | None = None, saved_before: DataFrame | None = None) -> DataFrame:
+    """(id, arrival, seq, key, payload_sha256, outcome) of every event of a table: saved, duplicate or stale.
+
+    keys(key) and saved_before(id, seq) are what was saved earlier. Every round is written to the shared folder.
+    """
+    spark = events.sparkSession
+    none = lambda schema: spark.createDataFrame([], schema)
+    keys = (none("key string") if keys is None else keys).select("key").distinct()
+    start = (none("id string, seq long") if saved_before is None else saved_before).select("id", F.col("seq").alias("saved"))
+    rows = prepared(events).join(keys.withColumn("known", F.lit(True)), "key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    rows = materialize(rows.withColumn("dup", F.col("known")).withColumn("moved", F.lit(True)))
+    while True:
+        judged = materialize(_with_stale(rows.drop("moved"), start))
+        # partial minima first, so that a very common key is no task's alone
+        first = judged.where("key is not null and not stale").groupBy("key").agg(F.min("arrival").alias("first"))
+        dup = F.col("known") | F.coalesce(F.col("arrival") > F.col("first"), F.lit(False))
+        found = judged.hint("merge").join(first, "key", "left").withColumn("new", dup).withColumn("moved", F.col("new") != F.col("dup"))
+        rows = materialize(found.drop("dup", "first").withColumnRenamed("new", "dup"))
+        if rows.where("moved").isEmpty():
+            break
+        rows = rows.drop("stale")
+    outcome = F.when(F.col("dup"), "duplicate").when(F.col("stale"), "stale").otherwise("saved")
+    return rows.select("id", "arrival", "seq", "key", "payload_sha256", outcome.alias("outcome"))
+
+
+def ingest_stream(events: DataFrame, folder: str, **options: str) -> StreamingQuery:
+    """The same over a stream, batch by batch: outcomes, keys and saved numbers are tables below folder, written once for each batch.
+
+    A batch reads what the batches before it left, and overwrites its own part if it runs again after a failure. options go to
+    the query (such as a trigger is, by trigger=); the source's own options bound a batch (maxFilesPerTrigger, maxBytesPerTrigger).
     """
+    spark = events.sparkSession
+
+    def batch(rows: DataFrame, number: int) -> None:
+        session = rows.sparkSession
+        keys, seqs = (_state(session, f"{folder}/{name}", schema, number) for name, schema in (("keys", _KEYS), ("seqs", _SEQS)))
+        last = seqs.groupBy("id").agg(F.max_by("seq", "batch").alias("seq"))
+        done = materialize(ingest_batch(rows, keys, last))
+        new = done.where("outcome = 'saved'")
+        new.where("key is not null").select("key").write.mode("overwrite").parquet(f"{folder}/keys/batch={number}")
+        new.groupBy("id").agg(F.max_by("seq", "arrival").alias("seq")).write.mode("overwrite").parquet(f"{folder}/seqs/batch={number}")
+        done.write.mode("overwrite").parquet(f"{folder}/outcomes/batch={number}")
+
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(**(options or {"availableNow": True})).start()
+
+
+def _state(spark: SparkSession, path: str, schema: str, number: int) -> DataFrame:
+    """What the batches before this one left."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).where(F.col("batch") < number)
+
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, seqs, keys = None, {}, set()
-        for batch in batches:
-            for name, part in batch.groupby("group", sort=False):
-                if name != last:
-                    last, seqs, keys = name, {}, set()
-                yield judge(part, seqs, keys)
-
-    rows = prepared(events, group).repartition("group").sortWithinPartitions("group", "arrival")
-    return rows.mapInPandas(walk, OUTCOME)
-
-
-class _Ingest(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seqs = handle.getMapState("seqs", "id string", "seq long")
-        self.keys = handle.getMapState("keys", "key string", "seen boolean")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows)
-        seqs = {n: s[0] for n in set(batch["id"]) if (s := self.seqs.getValue((n,))) is not None}
-        known = {k for k in set(batch["key"].dropna()) if self.keys.containsKey((k,))}
-        before = set(known)
-        done = judge(batch, seqs, known)
-        for n, s in seqs.items():
-            self.seqs.updateValue((n,), (s,))
-        for k in known - before:
-            self.keys.updateValue((k,), (True,))
-        yield done
-
-    def close(self) -> None:
-        pass
-
-
-def ingest_stream(events: DataFrame, group: Column | None = None) -> DataFrame:
-    """The same over a stream: state is kept in RocksDB, a value for each conversation and key, so it outlives executors."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return prepared(events, group).groupBy("group").transformWithStateInPandas(_Ingest(), OUTCOME, "append", "none")
+def outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """The outcomes of all batches of a stream."""
+    schema = "id string, arrival long, seq long, key string, payload_sha256 string, outcome string"
+    return spark.read.schema(schema).parquet(f"{folder}/outcomes").drop("batch") if exists(spark, f"{folder}/outcomes") else spark.createDataFrame([], schema)
 
 
 def saved(outcomes: DataFrame) -> DataFrame:

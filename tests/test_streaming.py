@@ -1,4 +1,7 @@
 import json
+import random
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -13,31 +16,57 @@ def events(spark):
     return spark.createDataFrame(ROWS, SCHEMA).withColumn("payload", F.col("arrival").cast("string"))
 
 
+def walk(rows):
+    """The state machine, one event after the other."""
+    keys, seqs, out = set(), {}, {}
+    for id_, arrival, seq, key in sorted(rows, key=lambda r: r[1]):
+        if key is not None and key in keys:
+            out[arrival] = "duplicate"
+        elif seq is not None and seqs.get(id_) is not None and seq <= seqs[id_]:
+            out[arrival] = "stale"
+        else:
+            out[arrival] = "saved"
+            seqs[id_] = seq
+            if key is not None:
+                keys.add(key)
+    return out
+
+
+def made(seed, n=300):
+    rng = random.Random(seed)
+    return [(rng.choice(["a", "b", "c", None]), i, rng.choice([None, i, i - 3, rng.randrange(n)]), rng.choice([None, f"k{rng.randrange(60)}"])) for i in range(n)]
+
+
 def test_batch(spark):
     out = ingest.ingest_batch(events(spark)).orderBy("arrival").collect()
-    assert [r.outcome for r in out] == WANTED
+    assert [r.outcome for r in out] == WANTED == [walk(ROWS)[i] for i in range(1, 10)]
     kept = {r.id: r.seq for r in ingest.saved(ingest.ingest_batch(events(spark))).collect()}
     assert kept == {"a": 20, "b": 1}
 
 
-def test_large_numbers_and_small_batches(spark):
-    rows = [("a", n, 2**60 + n, f"k{n}") for n in range(50)] + [(None, 1, 5, None), (None, 2, 5, None)]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        out = ingest.ingest_batch(spark.createDataFrame(rows, SCHEMA).withColumn("payload", F.lit("p"))).collect()
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert sorted(r.seq for r in out if r.id)[-1] == 2**60 + 49 and sum(r.outcome == "saved" for r in out) == 51
+@pytest.mark.parametrize("seed", range(2))
+def test_keys_are_global_and_chunks_change_nothing(spark, monkeypatch, seed):
+    monkeypatch.setattr(ingest, "CHUNK", [7, 65_536][seed % 2])
+    rows = made(seed)
+    found = ingest.ingest_batch(spark.createDataFrame(rows, SCHEMA).withColumn("payload", F.lit("p"))).collect()
+    assert {r.arrival: r.outcome for r in found} == walk(rows) and set(walk(rows).values()) == {"saved", "duplicate", "stale"}
+
+
+def test_a_key_of_another_conversation_is_a_duplicate(spark):
+    rows = [("a", 1, 1, "k"), ("b", 2, 1, "k"), ("b", 3, 2**60, "m"), ("b", 4, 2**60 - 1, "n"), ("c", 5, None, "n")]
+    found = ingest.ingest_batch(spark.createDataFrame(rows, SCHEMA).withColumn("payload", F.lit("p"))).orderBy("arrival").collect()
+    assert [r.outcome for r in found] == ["saved", "duplicate", "saved", "stale", "saved"]
+    assert ingest.ingest_batch(spark.createDataFrame([], SCHEMA).withColumn("payload", F.lit("p"))).count() == 0
 
 
 def test_stream_equals_batch_over_several_runs(spark, tmp_path):
-    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
-    parts = [events(spark).where("arrival <= 3"), events(spark).where("arrival > 3")]
-    for part in parts:  # the state carries over
-        part.coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(parts[0].schema).parquet(source)
-        ingest.ingest_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
-    assert [r.outcome for r in spark.read.parquet(out).orderBy("arrival").collect()] == WANTED
+    source, folder = (str(tmp_path / x) for x in ("in", "state"))
+    rows = made(5, 120)
+    for part in (rows[:50], rows[50:90], rows[90:]):  # the state carries over
+        spark.createDataFrame(part, SCHEMA).withColumn("payload", F.lit("p")).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SCHEMA + ", payload string").parquet(source)
+        ingest.ingest_stream(stream, folder).awaitTermination()
+    assert {r.arrival: r.outcome for r in ingest.outcomes(spark, folder).collect()} == walk(rows)
 
 
 def test_new_files_alone_are_analysed(spark, tmp_path):
