@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -91,6 +92,26 @@ def display_highlights(text: Column, ops: Column, titled: Column, ranges: Column
     return F.when(F.size(titled) > 0, titled).when(F.size(ranges) > 0, untitled(ranges)).otherwise(merge_highlights(text, untitled(highlight_ranges(ops))))
 
 
+#: Texts are compared line by line first; only what differs is compared word by word, and within that by characters.
+_PARTS = (re.compile(r"[^\n]*\n|[^\n]+"), re.compile(r"\s+|[^\s]+"), re.compile(r"(?s)."))
+#: Changed words of more characters than this, before and after multiplied, are replaced as a whole.
+CHARACTER_PAIRS = 250_000
+
+
+def _differences(a: str, b: str, level: int = 0) -> list[tuple[int, int, int, int]]:
+    """The ranges of a and b that differ, in order."""
+    if not a or not b or level == len(_PARTS) or (level == len(_PARTS) - 1 and len(a) * len(b) > CHARACTER_PAIRS):
+        return [(0, len(a), 0, len(b))] if a or b else []
+    left, right = _PARTS[level].findall(a), _PARTS[level].findall(b)
+    i, j = ([0, *accumulate(map(len, x))] for x in (left, right))
+    out = []
+    for tag, i0, i1, j0, j1 in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
+        if tag != "equal":
+            inner = _differences(a[i[i0] : i[i1]], b[j[j0] : j[j1]], level + 1)
+            out += [(i[i0] + p, i[i0] + q, j[j0] + r, j[j0] + s) for p, q, r, s in inner]
+    return out
+
+
 def edits(before: str, after: str) -> list[dict]:
     """The edits from one text to another, collapsed to one where they amount to a replacement."""
     if before == after:
@@ -99,11 +120,7 @@ def edits(before: str, after: str) -> list[dict]:
     most = min(len(before), len(after)) - head
     tail = next((i for i in range(most) if before[-1 - i] != after[-1 - i]), most)
     a, b = before[head : len(before) - tail], after[head : len(after) - tail]
-    ops = [
-        {"start": head + i, "end": head + j, "text": b[k:m]}
-        for tag, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
-        if tag != "equal"
-    ]
+    ops = [{"start": head + i, "end": head + j, "text": b[k:m]} for i, j, k, m in _differences(a, b)]
     if len(ops) >= COLLAPSE_OPS and max(len(a) / max(len(before), 1), len(b) / max(len(after), 1)) >= COLLAPSE_SHARE:
         return [{"start": head, "end": len(before) - tail, "text": b}]
     return ops

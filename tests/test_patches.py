@@ -97,3 +97,23 @@ def test_dictionary_and_deduplication(spark):
     (r,) = C.dictionary(rows).collect()
     assert r.match == "بد" and r.observations == ["f#P1", "g#P2", "f#P3"] and r.responses == ["one", "two"]
     assert C.first_of_each(rows.withColumn("id", F.lit("P1"))).count() == 4
+
+
+def test_edits_of_long_texts_are_small_and_right():
+    import random
+    import time
+
+    rng = random.Random(1)
+    text = "\n".join(" ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(1, 40))) for _ in range(1500))
+    words = text.split(" ")
+    for _ in range(40):
+        words[rng.randrange(len(words))] = rng.choice(["new", "", "other words"])
+    after = "start " + " ".join(words) + " end"
+    began = time.perf_counter()
+    ops = P.edits(text, after)
+    assert time.perf_counter() - began < 20
+    out, at = [], 0
+    for o in ops:
+        out += [text[at : o["start"]], o["text"]]
+        at = o["end"]
+    assert "".join(out) + text[at:] == after and sum(len(o["text"]) for o in ops) < 2000
