@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,18 @@ def matching(files: DataFrame, model: str = "all", status: str = "all", thinking
     return rows
 
 
+# fixed values: the filters' own words
+STATUSES, THINKING_TIMES = ("all", "valid", "invalid"), ("all", "lt_10s", "10_to_30s", "30_to_60s", "1m_plus")
+
+
+def filters(given: Mapping[str, str | None], saved: Mapping[str, str | None] | None = None) -> dict[str, str]:
+    """model, status and thinking_time for matching(): what is given, else what was saved; blanks and words that aren't known count as `all`."""
+    merged = {k: str(given.get(k) or (saved or {}).get(k) or "all").strip() or "all" for k in ("model", "status", "thinking_time")}
+    for key, known in (("status", STATUSES), ("thinking_time", THINKING_TIMES)):
+        merged[key] = merged[key] if merged[key] in known else "all"
+    return merged
+
+
 def folders(path: Column) -> Column:
     """All folders above a file, outermost first."""
     parts = F.split(path, "/")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trim
 from ..functions.values import Estimator, estimate_tokens
-from .running import positions, running_sum
+from .running import CHUNK, positions, running_sum
 
 # fixed values: the groups of the token limits and the defaults of the pages and payloads
 TOKEN_LIMITS = (("5k", 5_000), ("11k", 11_000), ("16k", 16_000), ("all", None))
@@ -100,11 +100,35 @@ def head_ids(queue: DataFrame, max_ids: int = MAX_IDS) -> DataFrame:
     return queue.orderBy("collection_order", "idx").limit(min(max_ids, MAX_MAX_IDS)).select("id")
 
 
+def picked(queue: DataFrame, end_index: int | None, max_ids: int = MAX_IDS) -> DataFrame:
+    """(position, id, nass) of the displayed ids up to and including end_index, from 0; of a repeated id the last item's nass. None picks nothing."""
+    shown = positions(queue.orderBy("collection_order", "idx").limit(min(max_ids, MAX_MAX_IDS)), **_ORDER).select("position", "id")
+    picked_ids = shown.where(F.col("position") <= (-1 if end_index is None else end_index) + 1)
+    items = queue.groupBy("id").agg(F.max_by("nass", F.struct("collection_order", "idx")).alias("nass"))
+    return picked_ids.join(items, "id").select("position", "id", "nass")
+
+
+def whole_number(value: str | None, default: int, most: int | None = None, least: int = 1) -> int:
+    """A parameter as a whole number; the default where it is none or below least, and never above most."""
+    try:
+        number = int(str(value).strip())
+    except ValueError:
+        number = default
+    number = default if number < least else number
+    return number if most is None else min(number, most)
+
+
 def neighbours(queue: DataFrame) -> DataFrame:
-    """(id, prev_id, next_id) in queue order, by a join on positions."""
-    placed = positions(queue, **_ORDER).select("position", "id")
-    side = lambda step, name: placed.select((F.col("position") + step).alias("position"), F.col("id").alias(name))
-    return placed.join(side(1, "prev_id"), "position", "left").join(side(-1, "next_id"), "position", "left").select("id", "prev_id", "next_id")
+    """(id, prev_id, next_id) in queue order: within chunks of the order, and over the chunks' first and last rows."""
+    keys = ["collection_order", "_chunk"]
+    rows = queue.select("collection_order", "idx", "id").withColumn("_chunk", F.floor(F.col("idx") / CHUNK))
+    inside = Window.partitionBy(*keys).orderBy("idx")
+    rows = rows.withColumns({"prev": F.lag(F.struct("id")).over(inside), "next": F.lead(F.struct("id")).over(inside)})
+    ends = rows.groupBy(*keys).agg(F.min_by("id", "idx").alias("first"), F.max_by("id", "idx").alias("last"))
+    order = Window.orderBy(*keys)  # one row for each chunk of CHUNK places
+    ends = ends.select(*keys, F.lag("last").over(order).alias("before"), F.lead("first").over(order).alias("after"))
+    side = lambda own, border: F.when(F.col(own).isNotNull(), F.col(f"{own}.id")).otherwise(F.col(border))
+    return rows.join(ends, keys).select("id", side("prev", "before").alias("prev_id"), side("next", "after").alias("next_id"))
 
 
 def chunks(rows: DataFrame, size: int, *, place: str, within: Sequence[str] = ()) -> DataFrame:

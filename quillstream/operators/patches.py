@@ -94,12 +94,14 @@ def display_highlights(text: Column, ops: Column, titled: Column, ranges: Column
 
 #: Texts are compared line by line first; only what differs is compared word by word, and within that by characters.
 _PARTS = (re.compile(r"[^\n]*\n|[^\n]+"), re.compile(r"\s+|[^\s]+"), re.compile(r"(?s)."))
-#: Changed words of more characters than this, before and after multiplied, are replaced as a whole.
+#: Up to so many characters, before and after multiplied, are compared one by one at once; changed words of more are replaced as a whole.
 CHARACTER_PAIRS = 250_000
 
 
 def _differences(a: str, b: str, level: int = 0) -> list[tuple[int, int, int, int]]:
     """The ranges of a and b that differ, in order."""
+    if len(a) * len(b) <= CHARACTER_PAIRS:
+        level = max(level, len(_PARTS) - 1)
     if not a or not b or level == len(_PARTS) or (level == len(_PARTS) - 1 and len(a) * len(b) > CHARACTER_PAIRS):
         return [(0, len(a), 0, len(b))] if a or b else []
     left, right = _PARTS[level].findall(a), _PARTS[level].findall(b)

@@ -22,15 +22,18 @@ def classify(candidates: DataFrame, segments: DataFrame) -> DataFrame:
     rows = candidates.join(target_states(segments), "id", "left")
     state = F.when(F.col("places").isNull(), "unknown").when(F.col("full"), "already_translated").otherwise("playable")
     rows = rows.withColumn("state", state)
-    rank = F.row_number().over(Window.partitionBy("id", "state").orderBy("file_order", "pos"))
+    # rows that aren't playable share no rank: they are spread by their own place
+    spread = F.when(F.col("state") == "playable", F.lit(0)).otherwise(F.xxhash64("file_order", "pos"))
+    rank = F.row_number().over(Window.partitionBy("id", spread).orderBy("file_order", "pos"))
     return rows.withColumn("nth", F.when(F.col("state") == "playable", rank)).drop("places", "full")
 
 
 def issues(classified: DataFrame) -> DataFrame:
     """(kind, id, paths): the files, sorted, behind unknown, already translated and duplicate ids."""
-    twice = F.max("nth").over(Window.partitionBy("id"))
-    kind = F.when(F.col("state") != "playable", F.col("state")).when(F.col("most") > 1, "duplicate")
-    found = classified.withColumn("most", twice).withColumn("kind", kind).where("kind is not null")
+    # partial sums first, and a join that splits a very common id
+    twice = classified.where("nth = 2").select("id", F.lit(True).alias("twice"))
+    kind = F.when(F.col("state") != "playable", F.col("state")).when(F.col("twice"), "duplicate")
+    found = classified.join(twice, "id", "left").withColumn("kind", kind).where("kind is not null")
     return found.groupBy("kind", "id").agg(F.array_join(F.array_sort(F.collect_set("path")), ",").alias("paths"))
 
 

@@ -76,7 +76,7 @@ def analyse(conversations: DataFrame, config: Config = Config()) -> DataFrame:
     rows = rows.withColumn("patches", F.map_from_entries("_found")).withColumn("patched_ids", ids(F.col("_found")))
     rows = rows.withColumn("translated", apply_to_segments(F.col("_base"), F.col("patches")))
     left = lambda a: F.filter(a, lambda s: ~F.array_contains("skips", s["id"]))
-    rows = rows.withColumns({"source": left("source"), "_rebuilt": serialize(left("translated"))})
+    rows = rows.withColumns({"all_source": F.col("source"), "source": left("source"), "_rebuilt": serialize(left("translated"))})
     rows = _with_errors(rows, "_rebuilt", config)
     hidden = F.array_union("patched_ids", "skips")
     visible = F.filter("errors", lambda e: e["id"].isNull() | ~F.array_contains(hidden, e["id"]))
@@ -93,7 +93,7 @@ def analyse(conversations: DataFrame, config: Config = Config()) -> DataFrame:
     })
     read = lambda c: F.when(F.col("_error").isNull(), F.col(c)).alias(c)
     return rows.select(
-        *conversations.columns, *map(read, ("skips", "source", "base_texts", "translated", "patches", "patches_applied", "errors", "visible_errors")), "is_valid", "playable",
+        *conversations.columns, *map(read, ("skips", "source", "all_source", "base_texts", "translated", "patches", "patches_applied", "errors", "visible_errors")), "is_valid", "playable",
         F.col("_edits.patchMetadata").alias("patch_metadata"),
     )
 
@@ -161,9 +161,9 @@ def fixable(rows: DataFrame, error_type: str | None = None) -> DataFrame:
 
 
 def review_rows(analyses: DataFrame) -> DataFrame:
-    """A row for each source segment: path, pos, id, arabic, base_translation, translation, has_patch, is_skipped, is_missing, messages."""
+    """A row for each source segment, skipped ones too: path, pos, id, arabic, base_translation, translation, has_patch, is_skipped, is_missing, messages."""
     shown = F.filter("errors", lambda e: e["id"].isNull() | ~F.array_contains("skips", e["id"]))
-    rows = analyses.where("errors is not null").select("path", "base_texts", "translated", "patches", "skips", shown.alias("shown"), F.posexplode("source").alias("pos", "s"))
+    rows = analyses.where("errors is not null").select("path", "base_texts", "translated", "patches", "skips", shown.alias("shown"), F.posexplode("all_source").alias("pos", "s"))
     base = _text_of(F.col("base_texts"), F.col("s.id"), False)
     return rows.select(
         "path", "pos", F.col("s.id").alias("id"), F.col("s.text").alias("arabic"), base.alias("base_translation"), _text_of(F.col("translated"), F.col("s.id"), False).alias("translation"),

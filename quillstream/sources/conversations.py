@@ -42,10 +42,13 @@ def read_files(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFr
 
 
 def in_tree_order(files: DataFrame, by: str = "path") -> DataFrame:
-    """files with file_order: of each folder its folders first, then its files, both by name."""
+    """files with file_order: of each folder its folders first, then its files, both by name in the order of the root collation.
+
+    Names that the collation takes for equal are told apart by their bytes.
+    """
     parts = F.split(by, "/")
     # a folder's name sorts before any file's beside it
-    key = F.array_join(F.transform(parts, lambda x, i: F.concat(F.when(i == F.size(parts) - 1, "1").otherwise("0"), x)), "/")
+    key = F.transform(parts, lambda x, i: F.struct((i == F.size(parts) - 1).alias("file"), F.collate(x, "UNICODE").alias("name"), x.alias("bytes")))
     return files.withColumn("file_order", key)
 
 

@@ -110,10 +110,11 @@ def test_edits_of_long_texts_are_small_and_right():
         words[rng.randrange(len(words))] = rng.choice(["new", "", "other words"])
     after = "start " + " ".join(words) + " end"
     began = time.perf_counter()
-    ops = P.edits(text, after)
+    found = P._differences(text, after)
     assert time.perf_counter() - began < 20
     out, at = [], 0
-    for o in ops:
-        out += [text[at : o["start"]], o["text"]]
-        at = o["end"]
-    assert "".join(out) + text[at:] == after and sum(len(o["text"]) for o in ops) < 2000
+    for i, j, k, m in found:
+        out += [text[at:i], after[k:m]]
+        at = j
+    assert "".join(out) + text[at:] == after and sum(m - k for _, _, k, m in found) < 2000
+    assert len(P.edits(text, after)) == 1  # so many edits over all of a text are one replacement

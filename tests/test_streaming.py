@@ -85,3 +85,24 @@ def test_shift_in_batches(spark, tmp_path):
     state = str(tmp_path / "state")
     assert [[r.id for r in files.shift_in_batches(queue, take, state).collect()] for _ in range(3)] == [["P0", "P1"], ["P2", "P3"], ["P4"]]
     assert spark.read.parquet(state).count() == 5
+    status = files.shift_status(spark, state).first()
+    assert (status.shifted_count, status.last_shifted_id, status.has_checkpoint, status.checkpoint_valid) == (5, "P4", True, True)
+    changed = files.shift_status(spark, state, 123_456).first()
+    assert (changed.shifted_count, changed.last_shifted_id, changed.has_checkpoint, changed.checkpoint_valid) == (0, None, True, False)
+    assert [r.id for r in files.shift_in_batches(queue, take, state, 123_456).collect()] == ["P0", "P1"]  # another source begins anew
+    assert files.shift_status(spark, str(tmp_path / "none")).first().has_checkpoint is False
+
+
+def test_changed_files_are_analysed_again(spark, tmp_path):
+    table = str(tmp_path / "analyses")
+    seen = []
+
+    def analyse(rows):
+        seen.append(sorted(r.path for r in rows.collect()))
+        return rows.select("path", "modified_ms", "size", F.length("content").alias("n"))
+
+    make = lambda rows: spark.createDataFrame(rows, "path string, modified_ms long, size long, content string")
+    first = files.reanalyse(make([("a", 1, 1, "x"), ("b", 1, 1, "y")]), table, analyse)
+    assert {r.path: r.n for r in first.collect()} == {"a": 1, "b": 1}
+    second = files.reanalyse(make([("a", 2, 3, "xyz"), ("b", 1, 1, "y"), ("c", 1, 1, "z")]), table, analyse)
+    assert {r.path: r.n for r in second.collect()} == {"a": 3, "b": 1, "c": 1} and seen == [["a", "b"], ["a", "c"]]
