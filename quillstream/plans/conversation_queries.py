@@ -16,8 +16,8 @@ from ..operators.rules import validate
 from ..sources import conversations as S
 from ..streaming.files import changed_files, shift_in_batches, shift_status
 from . import edits, validity
-from .queries import _QUEUE, _RESPONSES, _table, corpus_view, query, responses_view
-from .tables import materialize, shared_folder
+from .queries import _CORPUS, _QUEUE, _RESPONSES, _table, corpus_view, query, responses_view
+from .tables import materialize, shared_folder, snapshot
 
 # ---- files made of the conversations table ----
 
@@ -410,6 +410,33 @@ def files_deleted(spark, sf_dir):
     return files.without(rows, ["f1", "f7", "f/none"])
 
 
+@query("SELECT 'k=n' || n_nationkey AS folder, octet_length(encode('{\"name\":\"' || n_name || '\"}')) + 1 AS size, '{\"name\":\"' || n_name || '\"}' AS content, true AS dated FROM nation")
+def files_read(spark, sf_dir):
+    """A file for each nation, each in a folder of its own, read back with its path, size and time."""
+    folder = shared_folder(spark)
+    rows = _table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("k"), F.to_json(F.struct(F.col("n_name").alias("name"))).alias("value"))
+    rows.write.partitionBy("k").text(folder)
+    found = S.read_files(spark, folder, "*.txt")
+    return found.select(F.split("path", "/")[0].alias("folder"), F.col("size").cast("long").alias("size"), "content", (F.col("modified_ms") > 1_600_000_000_000).alias("dated"))
+
+
+@query(f"WITH {_CORPUS} SELECT collection, count(*) AS total, count(*) FILTER (coalesce(length(text), 0) > 0) AS translated FROM corpus GROUP BY collection")
+def stats_snapshot(spark, sf_dir):
+    """Counts kept as a snapshot of their source; the second call reads what the first wrote."""
+    folder, source = shared_folder(spark), f"{sf_dir}/orders.parquet"
+    snapshot(spark, folder, source, lambda: corpus.counts(corpus_view(spark, sf_dir)))
+    return snapshot(spark, folder, source, lambda: spark.range(0)).select("collection", "total", "translated")
+
+
+@query("SELECT doc_id, 3 AS labels, 2 AS at_starts FROM documents WHERE text IS NOT NULL")
+def label_patterns(spark, sf_dir):
+    """Labels with signs in them, anywhere and at the start of a line, behind a marker or not."""
+    names = ["A. (b)", "Zayd"]
+    text = F.concat(F.lit("P1 - Zayd: a A. (b) : b\nA. (b): c "), F.col("doc_id").cast("string"))
+    rows = _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.alias("t"))
+    return rows.select("doc_id", F.regexp_count("t", F.lit(T.label_pattern(names))).alias("labels"), F.regexp_count("t", F.lit("(?m)" + T.line_start_label_pattern(names))).alias("at_starts"))
+
+
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'm' || CASE WHEN c_custkey % 3 = 1 THEN ' (v1)' ELSE '' END END AS model, CASE WHEN c_custkey % 3 <> 0 THEN 1704164645 ELSE 0 END::BIGINT AS applied_at, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'ChatGPT' ELSE 'Grok' END AS platform,
  strftime(make_timestamp(c_custkey * 86400000000), '%Y-%m-%d %H:%M:%S UTC') AS at, coalesce(nullif(CASE WHEN c_custkey // 1440 > 0 THEN (c_custkey // 1440) || 'd' || CASE WHEN c_custkey % 1440 > 0 THEN ' ' ELSE '' END ELSE '' END || CASE WHEN c_custkey % 1440 >= 60 THEN (c_custkey % 1440 // 60) || 'h' || CASE WHEN c_custkey % 60 > 0 THEN ' ' ELSE '' END ELSE '' END || CASE WHEN c_custkey % 60 > 0 THEN (c_custkey % 60) || 'm' ELSE '' END, ''), '0m') AS took FROM customer""")
 def provenance_and_times(spark, sf_dir):

@@ -8,10 +8,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The version of snapshots' tables.
+VERSION = 1
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder of spark.checkpoint.dir, which driver and executors share; what is there goes when the application ends.
 
@@ -38,6 +43,45 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def snapshot(spark: SparkSession, folder: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of make(), kept below folder for as long as the source file, or folder, has the same time of change.
+
+    A snapshot of another time or version isn't read; one that was broken off is written again.
+    """
+    path = f"{folder.rstrip('/')}/version={VERSION}/modified_ms={modified_ms(spark, source)}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_version(df: DataFrame, folder: str) -> str:
+    """Write df as the next version of a table; earlier ones stay, and readers see it when it is whole."""
+    spark = df.sparkSession
+    path = f"{folder.rstrip('/')}/{_last_version(spark, folder) + 1:09d}"
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
+def read_version(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The last whole version of a table; None if there is none."""
+    last = _last_version(spark, folder)
+    return spark.read.parquet(f"{folder.rstrip('/')}/{last:09d}") if last else None
+
+
+def _last_version(spark: SparkSession, folder: str) -> int:
+    if not exists(spark, folder):
+        return 0
+    path, store = _hadoop(spark, folder)
+    names = [s.getPath().getName() for s in store.listStatus(path)]
+    return max((int(n) for n in names if n.isdigit() and exists(spark, f"{folder.rstrip('/')}/{n}/_SUCCESS")), default=0)
+
+
+def delete(spark: SparkSession, file: str) -> bool:
+    """Delete one file; whether it was there."""
+    path, store = _hadoop(spark, file)
+    return store.delete(path, False)
+
+
 def exists(spark: SparkSession, folder: str) -> bool:
     path, store = _hadoop(spark, folder)
     return store.exists(path)

@@ -13,13 +13,18 @@ from ..functions.values import Estimator, estimate_tokens
 from ..operators import corpus, corrections, files, packing, patches, playback
 from ..operators.rules import Config
 from ..sources import conversations, corpus_files
-from . import validity
-from .tables import materialize
+from ..functions.text import normalize, segments
+from ..streaming import ingest
+from . import edits, validity
+from .tables import delete, materialize, read_version, snapshot, write_version
 
 
 @dataclass
 class Workspace:
-    """spark, the Parquet table of segments, the folder of conversation files, and the keys of their own edits and metadata."""
+    """spark, the Parquet table of segments, the folder of conversation files, and the keys of their own edits and metadata.
+
+    What users write goes to tables below state_path: edits and the prompt in versions, and snapshots of statistics.
+    """
 
     spark: SparkSession
     segments_path: str
@@ -28,6 +33,7 @@ class Workspace:
     capture_key: str = "__capture"
     config: Config = field(default_factory=Config)
     estimate: Estimator = estimate_tokens
+    state_path: str | None = None
     _analyses: DataFrame | None = None
 
     @classmethod
@@ -46,6 +52,23 @@ class Workspace:
     def stats(self, created_at: int | None = None, last_updated_at: int | None = None) -> DataFrame:
         return corpus.stats(self.segments, created_at, last_updated_at)
 
+    def stats_snapshot(self, created_at: int | None = None, last_updated_at: int | None = None) -> DataFrame:
+        """stats(), kept until the table of segments is written anew."""
+        return snapshot(self.spark, f"{self.state_path}/stats", self.segments_path, lambda: self.stats(created_at, last_updated_at))
+
+    def prompt(self) -> DataFrame | None:
+        """(created_at, last_updated_at, prompt, prompt_id) as set last."""
+        return read_version(self.spark, f"{self.state_path}/prompt")
+
+    def set_prompt(self, prompts: DataFrame, prompt_id: str, now: int) -> None:
+        """Keep one of read_prompts() as the prompt; an unknown id is an error."""
+        chosen = prompts.where(F.col("id") == prompt_id).select("content").first()
+        if chosen is None:
+            raise ValueError(f"no prompt {prompt_id}")
+        old = self.prompt()
+        old = self.spark.createDataFrame([(None, None, None, None)], "created_at long, last_updated_at long, prompt string, prompt_id string") if old is None else old
+        write_version(corpus_files.with_prompt(old, prompt_id, chosen["content"], now), f"{self.state_path}/prompt")
+
     def analytics(self) -> dict[str, DataFrame]:
         s = self.segments
         return {"timeline": corpus.timeline(s), "translators": corpus.translator_shares(s), "alternatives": corpus.alternatives(s), "patch_types": corpus.patch_types(s), "counts": corpus.counts(s)}
@@ -69,8 +92,37 @@ class Workspace:
     # ---- conversation files ----
 
     def read(self) -> DataFrame:
+        """The conversations, with the edits that were saved last in place of the files' own."""
         raw = conversations.read_files(self.spark, self.conversations_path)
-        return conversations.to_common(raw, self.edits_key, self.capture_key)
+        rows = conversations.to_common(raw, self.edits_key, self.capture_key)
+        saved = read_version(self.spark, f"{self.state_path}/edits") if self.state_path else None
+        if saved is None:
+            return rows
+        saved = saved.select("path", F.struct(F.col("edits").alias("saved")).alias("new"))
+        edited = F.when(F.col("new").isNotNull(), F.col("new.saved")).otherwise(F.col("edits"))
+        return rows.join(saved, "path", "left").select(*(edited.alias(c) if c == "edits" else c for c in rows.columns))
+
+    def save_edits(self, changes: DataFrame) -> None:
+        """Write patches and skips, changes(path, id, ops, metadata, skip), as edits.apply_changes() has them; files without changes keep theirs."""
+        known = F.transform(segments(normalize(F.coalesce("prompt", F.lit("")))), lambda s: s["id"])
+        rows = self.read().select("path", "edits", known.alias("known"))
+        old = read_version(self.spark, f"{self.state_path}/edits")
+        paths = changes.select("path") if old is None else changes.select("path").union(old.select("path"))
+        rows = materialize(rows.join(paths.distinct(), "path", "left_semi"))
+        write_version(edits.apply_changes(rows, changes).select("path", "edits"), f"{self.state_path}/edits")
+        self.refresh()
+
+    def delete(self, paths: list[str]) -> int:
+        """Delete conversation files; how many there were. Paths that leave the folder are an error before anything is deleted."""
+        if bad := [p for p in paths if not files.is_safe(p)]:
+            raise ValueError(f"Invalid file path: {bad[0]}")
+        gone = sum(delete(self.spark, f"{self.conversations_path.rstrip('/')}/{p}") for p in paths)
+        self.refresh()
+        return gone
+
+    def ingest(self, events: DataFrame) -> DataFrame:
+        """The outcomes of a table of keyed writes; see streaming.ingest."""
+        return ingest.ingest_batch(events)
 
     @property
     def analyses(self) -> DataFrame:
