@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash
@@ -11,11 +11,16 @@ from .common import stash
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in edges(a, b): component is the smallest id reachable.
 
-    Each round takes the least label among neighbours, then the label's own label (pointer jumping), so
-    stars end after two rounds and paths after about the logarithm of their length. Every round is
+    An id's edges to smaller ones become one edge to the least of these, and edges from it to the others; as many ids share
+    theirs, few edges are left. Each round then takes the least label among neighbours, then the label's own label (pointer
+    jumping), so stars end after two rounds and paths after about the logarithm of their length. Every round is
     written to the shared folder. Repeated edges and loops do no harm; no edges give no rows.
     """
-    both = stash(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    least = F.min("a").over(Window.partitionBy("b"))
+    edges = edges.withColumn("least", least).select(F.col("least").alias("a"), F.when(F.col("a") == F.col("least"), F.col("b")).otherwise(F.col("a")).alias("b"))
+    edges = stash(edges.distinct(), "stars")
+    both = edges.union(edges.select("b", "a"))
     labels = stash(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("component")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("least"))
