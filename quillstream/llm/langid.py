@@ -26,6 +26,8 @@ MAX_ENTRIES = 200_000
 #: Entries times languages, four bytes each: with very many languages there are fewer entries.
 MAX_CELLS = 25_000_000
 MAX_LANGUAGES = 1_000
+#: Parts of a language's entries of one length that are ranked on their own first.
+PARTS = 16
 LONGEST = 5
 UNDETERMINED = "und"
 #: The score is the posterior of a text of so many words with the same average evidence (or fewer, if it has fewer).
@@ -80,9 +82,13 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_entries: int =
     every = counts.select("lang", F.lit(0).alias("size"), F.concat(F.lit("="), F.col("word")).alias("entry"), "n").unionByName(grams)
     width = max(1, len(languages))
     most = max(1, min(max_entries, MAX_CELLS // width) // (width * (LONGEST + 1)))
-    rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "entry"))
-    totals = Window.partitionBy("lang", "size")
-    kept = every.withColumns({"total": F.sum("n").over(totals), "kinds": F.count(F.lit(1)).over(totals), "rank": rank}).where((F.col("rank") <= most) & ((F.col("n") >= 2) | (F.col("size") > 0)))
+    # the most frequent of each part first, so that the commonest language is no task's alone
+    totals = every.groupBy("lang", "size").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    rank = lambda *keys: F.row_number().over(Window.partitionBy("lang", "size", *keys).orderBy(F.desc("n"), "entry"))
+    kept = every.where((F.col("n") >= 2) | (F.col("size") > 0)).withColumn("part", F.pmod(F.xxhash64("entry"), F.lit(PARTS)))
+    kept = kept.withColumn("rank", rank("part")).where(F.col("rank") <= most)
+    kept = kept.withColumn("rank", rank()).where(F.col("rank") <= most)
+    kept = kept.join(F.broadcast(totals), ["lang", "size"])  # six rows for each of at most MAX_LANGUAGES
     found = kept.select("lang", "size", "entry", "n", "total", "kinds").toPandas()
     counts.unpersist()
     return _model(languages, found)
