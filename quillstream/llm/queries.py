@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_text, langid, line_dedup, lm_score, mixing, neardup, quality, secrets, substring_dedup
+from . import decontam, html_text, infill, langid, licenses, line_dedup, lm_score, mixing, neardup, quality, secrets, substring_dedup, whitening
 from .common import table
 
 
@@ -53,7 +53,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_html_extraction, op4_benchmark_decontamination, op5_minhash_near_dedup, op6_line_dedup, op7_language_id, op8_lm_scoring, op9_secret_scan, op10_quality_rules)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_substring_dedup, op3_html_extraction, op4_benchmark_decontamination, op5_minhash_near_dedup, op6_line_dedup, op7_language_id, op8_lm_scoring, op9_secret_scan,
+        op10_quality_rules, op11_fill_in_middle, op12_embedding_whitening, op13_license_scan,
+    )
+}
 
 #: Words of a line or text, for DuckDB.
 _W = r"[^\x20\x09-\x0D]+"
@@ -150,4 +168,19 @@ r AS (SELECT d.doc_id, len(ws) AS n, coalesce(len(gone), 0) AS g,
 SELECT doc_id, n::BIGINT AS n_words, g::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM r
 """
 
-ORACLES: dict[str, str] = {"op1_mixing": _MIXING, "op4_benchmark_decontamination": _DECONTAM, "op5_minhash_near_dedup": _NEAR_DUP, "op2_substring_dedup": _SUBSTRING, "op10_quality_rules": _QUALITY}
+_INFILL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+r AS (SELECT doc_id, t, u, len(u) AS n, [('0x' || substr(h, 1 + 8 * k, 8))::BIGINT for k in range(4)] AS h FROM d),
+c AS (SELECT doc_id, t, u, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_mixing": _MIXING, "op2_substring_dedup": _SUBSTRING, "op4_benchmark_decontamination": _DECONTAM, "op5_minhash_near_dedup": _NEAR_DUP, "op10_quality_rules": _QUALITY,
+    "op11_fill_in_middle": _INFILL,
+}
