@@ -186,7 +186,7 @@ BASE_WEIGHT = 0.5
 
 @dataclass(frozen=True)
 class Rule:
-    """needs: for each group, one of its pieces of text must occur before the pattern is tried. A lower priority number wins;
+    """needs: of each group of words, one must occur before the pattern is tried. A lower priority number wins;
     weight: how sure a finding makes one that the text is under, or tells of, the license."""
 
     name: str
@@ -199,31 +199,31 @@ class Rule:
 
 def _names():
     """(label, words that must occur, findings by themselves, names that need a frame)."""
-    yield from ((label, (f" {word} ",), alone, framed) for label, word, alone, framed in NAMES)
+    yield from ((label, (word,), alone, framed) for label, word, alone, framed in NAMES)
     for terms, short, long in CREATIVE_COMMONS:
         # the abbreviation without a version is a finding of the license family; more specific terms contain the plainer ones
-        yield f"cc-{terms}", (" cc ",), f"cc {short}(?: {LICENSE})?" if terms != "by" else "", ""
-        yield f"cc-{terms}", (" commons ",), f"creative commons {long}(?: {LICENSE})?", ""
+        yield f"cc-{terms}", ("cc",), f"cc {short}(?: {LICENSE})?" if terms != "by" else "", ""
+        yield f"cc-{terms}", ("commons",), f"creative commons {long}(?: {LICENSE})?", ""
         for version in CC_VERSIONS:
             v = version.replace(".", " ")
-            yield f"cc-{terms}-{version}", (" cc ",), f"cc {short} (?:v|version )?{v}", ""
-            yield f"cc-{terms}-{version}", (" commons ",), f"creative commons {long}(?: (?:international|generic|unported))?(?: public)?(?: {LICENSE})?(?: version)? {v}", ""
-            yield f"cc-{terms}-{version}", (" creativecommons ",), f"creativecommons org licenses {short} {v}", ""
+            yield f"cc-{terms}-{version}", ("cc",), f"cc {short} (?:v|version )?{v}", ""
+            yield f"cc-{terms}-{version}", ("commons",), f"creative commons {long}(?: (?:international|generic|unported))?(?: public)?(?: {LICENSE})?(?: version)? {v}", ""
+            yield f"cc-{terms}-{version}", ("creativecommons",), f"creativecommons org licenses {short} {v}", ""
 
 
 def rules() -> list[Rule]:
     """All rules in their order: notices, tags, grants, grants in other languages, names alone."""
-    found = [Rule(f"notice {k}", label, pattern, tuple((f" {w} ",) for w in words), 1, 1.0) for k, (label, words, pattern) in enumerate(NOTICES)]
+    found = [Rule(f"notice {k}", label, pattern, tuple((w,) for w in words), 1, 1.0) for k, (label, words, pattern) in enumerate(NOTICES)]
     for k, (label, words, alone, framed) in enumerate(_names()):
         name = "|".join(x for x in (alone, framed) if x)
         if name:
-            found.append(Rule(f"grant {k}", label, f"{GRANT}(?:{name})", (words, (" under ", " to ")), 3, 0.95))
-            found.append(Rule(f"foreign grant {k}", label, f"{GRANT_OTHERS}(?:{name})", (words, (" unter ", " lizenz ", " sous ", " licence ", " bajo ", " sotto ")), 3, 0.9))
+            found.append(Rule(f"grant {k}", label, f"{GRANT}(?:{name})", (words, ("under", "to")), 3, 0.95))
+            found.append(Rule(f"foreign grant {k}", label, f"{GRANT_OTHERS}(?:{name})", (words, ("unter", "lizenz", "sous", "licence", "bajo", "sotto")), 3, 0.9))
         if alone:
             found.append(Rule(f"name {k}", label, alone, (words,), 4, 0.7))
     for label in dict.fromkeys(label for label, *_ in _names()):
         tag = label.replace("-", " ").replace(".", " ")
-        found.append(Rule(f"tag {label}", label, f"spdx licen[cs]e identifier {tag}", ((" spdx ",),), 2, 1.0))
-        found.append(Rule(f"tag {label} only", f"{label}-only", f"spdx licen[cs]e identifier {tag} only", ((" spdx ",), (" only ",)), 2, 1.0))
-        found.append(Rule(f"tag {label} or later", f"{label}-or-later", f"spdx licen[cs]e identifier {tag} or later", ((" spdx ",), (" later ",)), 2, 1.0))
+        found.append(Rule(f"tag {label}", label, f"spdx licen[cs]e identifier {tag}", (("spdx",),), 2, 1.0))
+        found.append(Rule(f"tag {label} only", f"{label}-only", f"spdx licen[cs]e identifier {tag} only", (("spdx",), ("only",)), 2, 1.0))
+        found.append(Rule(f"tag {label} or later", f"{label}-or-later", f"spdx licen[cs]e identifier {tag} or later", (("spdx",), ("later",)), 2, 1.0))
     return sorted(found, key=lambda r: r.priority)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, slices, small_batches
+from .common import ALNUM_WORDS, Tokens, columns, slices, small_batches
 from .license_rules import BASE, BASE_WEIGHT, Rule, rules
 
 #: Bytes outside words become spaces, A-Z become a-z.
@@ -27,9 +27,35 @@ def folded(text: str) -> bytes:
 
 @lru_cache(maxsize=1)
 def compiled() -> tuple[list[tuple[Rule, re.Pattern, tuple[tuple[int, ...], ...]]], list[bytes]]:
-    """The rules with their patterns and, for each, which keywords it needs; and the keywords."""
-    words = {w: k for k, w in enumerate(dict.fromkeys(w for r in rules() for group in r.needs for w in group))}
-    return [(r, re.compile(f" (?:{r.pattern})(?= )".encode()), tuple(tuple(words[w] for w in group) for group in r.needs)) for r in rules()], [w.encode() for w in words]
+    """The rules (those of the base phrases last) with their patterns and, for each, which keywords it needs; and the keywords."""
+    every = rules() + [Rule(f"base {phrase}", label, phrase, tuple((w,) for w in phrase.split()), 9, BASE_WEIGHT) for label, phrase in BASE]
+    words = {w: k for k, w in enumerate(dict.fromkeys(w for r in every for group in r.needs for w in group))}
+    return [(r, re.compile(f" (?:{r.pattern})(?= )".encode()), tuple(tuple(words[w] for w in group) for group in r.needs)) for r in every], list(words)
+
+
+@lru_cache(maxsize=4096)
+def tried(there: frozenset[int]) -> tuple[tuple[Rule, re.Pattern], ...]:
+    """The rules whose needs a text with these keywords meets."""
+    return tuple((r, pattern) for r, pattern, needs in compiled()[0] if all(any(k in there for k in group) for group in needs))
+
+
+@lru_cache(maxsize=1)
+def _keyword_hashes() -> tuple[np.ndarray, np.ndarray]:
+    hashes = Tokens(pa.array(compiled()[1]), ALNUM_WORDS).hashes()
+    order = np.argsort(hashes)
+    return hashes[order], order
+
+
+def keywords_in(tokens: Tokens) -> dict[int, frozenset[int]]:
+    """For each document of a slice that holds any: the keywords among its words."""
+    table, keyword = _keyword_hashes()
+    hashes = tokens.hashes()
+    place = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
+    hit = np.flatnonzero(table[place] == hashes)
+    pairs = np.unique((np.searchsorted(tokens.first, hit, side="right") - 1) * len(table) + keyword[place[hit]])
+    doc, word = np.divmod(pairs, len(table))
+    cuts = np.flatnonzero(np.diff(doc)) + 1
+    return {int(d[0]): frozenset(w.tolist()) for d, w in zip(np.split(doc, cuts), np.split(word, cuts)) if len(d)}
 
 
 def survivors(start: np.ndarray, end: np.ndarray, priority: np.ndarray) -> np.ndarray:
@@ -48,38 +74,29 @@ def survivors(start: np.ndarray, end: np.ndarray, priority: np.ndarray) -> np.nd
     return keep
 
 
-def scan_text(words: bytes) -> list[tuple[int, int, str, str, float, bool]]:
-    """The findings in folded words as (start, end, label, rule, weight, base), by start; positions count words from 0."""
-    found, base = [], []
-    for label, phrase in BASE:
-        base += [(m.start(), m.end(), label, phrase) for m in re.finditer(f" {phrase}(?= )".encode(), words)]
-    patterns, keywords = compiled()
-    there = [w in words for w in keywords]
-    for rule, pattern, needs in patterns:
-        if all(any(there[k] for k in group) for group in needs):
-            found += [(m.start(), m.end(), rule) for m in pattern.finditer(words)]
-    if not found and not base:
+def scan_text(words: bytes, there: frozenset[int]) -> list[tuple[int, int, str, str, float, bool]]:
+    """The findings in folded words that hold the keywords there, as (start, end, label, rule, weight, base), by start; positions count words from 0."""
+    found = [(m.start(), m.end(), rule) for rule, pattern in tried(there) for m in pattern.finditer(words)]
+    if not found:
         return []
     space = np.flatnonzero(np.frombuffer(words, np.uint8) == 0x20)  # the space before word k is the k-th
-    at = lambda chars: np.searchsorted(space, np.array(chars, np.int64)).tolist()
-    out = [(s, e, label, f"base {phrase}", BASE_WEIGHT, True) for (_, _, label, phrase), s, e in zip(base, at([x[0] for x in base]), at([x[1] for x in base]))]
-    if found:
-        start, end = at([x[0] for x in found]), at([x[1] for x in found])
-        keep = survivors(np.array(start), np.array(end), np.array([x[2].priority for x in found]))
-        out += [(s, e, r.label, r.name, r.weight, False) for (_, _, r), s, e, k in zip(found, start, end, keep) if k]
-    return sorted(out)
+    start, end = (np.searchsorted(space, np.array([x[k] for x in found])) for k in (0, 1))
+    base = np.array([x[2].name.startswith("base ") for x in found])
+    keep = base.copy()
+    keep[~base] = survivors(start[~base], end[~base], np.array([x[2].priority for x in found])[~base])
+    return sorted((s, e, r.label, r.name, r.weight, b) for (_, _, r), s, e, b, k in zip(found, start.tolist(), end.tolist(), base.tolist(), keep) if k)
 
 
 def _scan(keep: Sequence[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("rule", pa.string()), ("weight", pa.float64()), ("base", pa.bool_())]))
     names = [f.name for f in kind.value_type]
     for batch in slices(batches):
-        n, found = [], []
-        for text in batch.column(1):
-            words = folded(text.as_py() or "")
-            n.append(words.count(b" ") - 1 if len(words) > 2 else 0)
-            found.append([dict(zip(names, x)) for x in scan_text(words)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(found, kind), *batch.columns[2:]], names=["doc_id", "n_words", "found", *keep])
+        tokens = Tokens(batch.column(1), ALNUM_WORDS, fold=True)
+        there, found = keywords_in(tokens), [[] for _ in range(batch.num_rows)]
+        for i, words in there.items():
+            if tried(words):
+                found[i] = [dict(zip(names, x)) for x in scan_text(folded(batch.column(1)[i].as_py()), words)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(tokens.first), pa.int64()), pa.array(found, kind), *batch.columns[2:]], names=["doc_id", "n_words", "found", *keep])
 
 
 def scan(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
