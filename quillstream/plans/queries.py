@@ -597,29 +597,37 @@ def ingest_latest_seq(spark, sf_dir):
     return ingest.latest_by_seq(events_view(spark, sf_dir).where("seq is not null"))
 
 
-#: Rounds after which nothing changes any more on these tables.
-_ROUNDS = 8
-
-
-def _ingest_sql() -> str:
-    rounds = "".join(f""",
-s{n} AS (SELECT id, arrival, seq, key, dup, sum(CASE WHEN NOT dup AND seq IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY arrival) AS since FROM d{n - 1}),
-t{n} AS (SELECT *, coalesce(seq <= max(CASE WHEN NOT dup THEN seq END) OVER (PARTITION BY id, since ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stale FROM s{n}),
-d{n} AS (SELECT id, arrival, seq, key, stale, key IS NOT NULL AND coalesce(arrival > min(CASE WHEN NOT stale THEN arrival END) OVER (PARTITION BY key), false) AS dup FROM t{n})""" for n in range(1, _ROUNDS + 1))
-    return f"WITH {_EVENTS}, d0 AS (SELECT *, false AS dup FROM ev){rounds} SELECT id, arrival, CASE WHEN dup THEN 'duplicate' WHEN stale THEN 'stale' ELSE 'saved' END AS outcome FROM d{_ROUNDS}"
-
-
-@query(_ingest_sql())
+#: A walk over the events in order of arrival, one a step, with what is saved under each key and conversation beside it.
+_WALK = f"""WITH RECURSIVE {_EVENTS},
+line AS (SELECT *, row_number() OVER (ORDER BY arrival) AS step FROM ev),
+walk(k, step, seq, outcome) USING KEY (k) AS (
+  SELECT 'now', 0::BIGINT, NULL::BIGINT, NULL::VARCHAR
+  UNION
+  SELECT u.row.k, u.row.step, u.row.seq, u.row.outcome
+  FROM (SELECT l.*, CASE WHEN seen.k IS NOT NULL THEN 'duplicate' WHEN l.seq <= kept.seq THEN 'stale' ELSE 'saved' END AS outcome
+        FROM walk w JOIN line l ON l.step = w.step + 1
+        LEFT JOIN recurring.walk seen ON seen.k = 'key ' || l.key LEFT JOIN recurring.walk kept ON kept.k = 'id ' || l.id WHERE w.k = 'now') e,
+    unnest([{{k: 'now', step: e.step, seq: NULL::BIGINT, outcome: NULL::VARCHAR}}, {{k: 'event ' || e.arrival, step: e.arrival, seq: NULL::BIGINT, outcome: e.outcome}},
+      {{k: 'id ' || e.id, step: 0::BIGINT, seq: e.seq, outcome: 'saved'}}, {{k: 'key ' || e.key, step: 0::BIGINT, seq: NULL::BIGINT, outcome: 'saved'}}]) u(row)
+  WHERE u.row.k IS NOT NULL AND (u.row.k = 'now' OR starts_with(u.row.k, 'event ') OR e.outcome = 'saved')
+)
+SELECT id, arrival, outcome FROM walk JOIN ev ON k = 'event ' || arrival"""
+
+
+@query(_WALK)
 def ingest_idempotent(spark, sf_dir):
     return ingest.ingest_batch(events_view(spark, sf_dir)).select("id", "arrival", "outcome")
 
 
-@query(_ingest_sql())
+@query(_WALK)
 def stream_ingest(spark, sf_dir):
-    """The same by the stream, over what is there now; its tables go to the shared folder."""
-    folder = shared_folder(spark)
-    events = spark.readStream.schema(_table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    ingest.ingest_stream(events_of(events), folder).awaitTermination()
+    """The same by the stream, which is started and stopped for each quarter of the arrivals; its tables go to the shared folder."""
+    events, folder = _table(spark, sf_dir, "events"), shared_folder(spark)
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    quarter = F.when(F.lit(high == low), 0).otherwise(F.least(F.lit(3), F.floor((F.col("event_id") - F.lit(low)) * 4 / F.lit((high or 0) - (low or 0)))))
+    for k in range(4):
+        events.where(quarter == k).write.mode("append").parquet(f"{folder}/in")
+        ingest.ingest_available(events_of(spark.readStream.schema(events.schema).parquet(f"{folder}/in")), folder)
     return ingest.outcomes(spark, folder).select("id", "arrival", "outcome")
 
 

@@ -87,6 +87,11 @@ def exists(spark: SparkSession, folder: str) -> bool:
     return store.exists(path)
 
 
+def make_folder(spark: SparkSession, folder: str) -> None:
+    path, store = _hadoop(spark, folder)
+    store.mkdirs(path)
+
+
 def modified_ms(spark: SparkSession, file: str) -> int:
     """When a file was last written, in milliseconds."""
     path, store = _hadoop(spark, file)

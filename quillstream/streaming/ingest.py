@@ -4,23 +4,32 @@ Events: id, seq (null: no order is asked for), key (null: no check), payload, ar
 machine in this order: a key that was saved before, in any conversation, is a duplicate; a seq that isn't above the
 saved one is stale, and leaves no key; else the payload is saved with its seq, null or not.
 
-Keys tie all conversations together, so the events can't be dealt out and walked. They are settled in rounds of
-joins instead: given what is known of duplicates, each conversation's saved numbers follow by running maxima; given
-these, each key belongs to its first event that isn't stale, and what comes after that one is a duplicate. A round
-settles at least the next event of every chain of ids and keys; rounds end when nothing changes any more.
+Keys tie all conversations together, so the events can't be dealt out and walked. A table, or a micro-batch, is settled in
+rounds of joins: given what is known of duplicates, each conversation's saved numbers follow by running maxima; given
+these, each key belongs to its first event that isn't stale, and what comes after that one is a duplicate. After a round
+the events that nothing unsettled precedes, in their conversation or under their key, are done and leave; rounds end when
+nothing changes among the rest.
+
+A stream keeps what was saved, a number for each conversation and a flag for each key, in a state store (`Kept`). A micro-batch
+asks only for the state of its own conversations and keys, so its cost doesn't grow with what came before. What it saves comes
+back to the state as input of the next micro-batch, from a folder of updates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..plans.tables import exists, materialize
+from ..plans.tables import exists, make_folder, materialize
 
 #: Events of a conversation whose running maximum one task works out; those of a longer one are cut into ranges of arrival.
 CHUNK = 65_536
-_KEYS, _SEQS = "key string, batch long", "id string, seq long, batch long"
+#: Copies of each state, so that the events of a very common conversation or key are dealt to as many tasks.
+SALTS = 8
 
 
 def prepared(events: DataFrame) -> DataFrame:
@@ -64,54 +73,146 @@ def _with_stale(rows: DataFrame, start: DataFrame) -> DataFrame:
 def ingest_batch(events: DataFrame, keys: DataFrame | None = None, saved_before: DataFrame | None = None) -> DataFrame:
     """(id, arrival, seq, key, payload_sha256, outcome) of every event of a table: saved, duplicate or stale.
 
-    keys(key) and saved_before(id, seq) are what was saved earlier. Every round is written to the shared folder.
+    keys(key) and saved_before(id, seq) are what was saved earlier. Every round writes the events that are still unsettled
+    to the shared folder, once.
     """
-    spark = events.sparkSession
-    none = lambda schema: spark.createDataFrame([], schema)
-    keys = (none("key string") if keys is None else keys).select("key").distinct()
-    start = (none("id string, seq long") if saved_before is None else saved_before).select("id", F.col("seq").alias("saved"))
-    rows = prepared(events).join(keys.withColumn("known", F.lit(True)), "key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    rows = materialize(rows.withColumn("dup", F.col("known")).withColumn("moved", F.lit(True)))
+    none = lambda schema: events.sparkSession.createDataFrame([], schema)
+    return _judged(prepared(events), none("key string") if keys is None else keys, none("id string, seq long") if saved_before is None else saved_before)
+
+
+def _judged(rows: DataFrame, keys: DataFrame, saved_before: DataFrame) -> DataFrame:
+    """The outcomes of prepared events."""
+    keys = keys.select("key").distinct()
+    start = saved_before.select("id", F.col("seq").alias("saved"))
+    rows = rows.select("id", "arrival", "seq", "key", "payload_sha256").hint("merge").join(keys.withColumn("known", F.lit(True)), "key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    rows = materialize(rows.withColumn("dup", F.col("known")))
+    done = []
     while True:
-        judged = materialize(_with_stale(rows.drop("moved"), start))
+        # an event that no other unsettled one of its key precedes is a duplicate only if the key is known
+        lead = rows.where("key is not null and not known").groupBy("key").agg(F.min("arrival").alias("lead"))
+        rows = rows.hint("merge").join(lead, "key", "left").withColumn("sure", F.coalesce(F.col("arrival") == F.col("lead"), F.lit(True)))
+        # of a conversation, all up to and with the first event that is unsure have their last word
+        doubt = rows.where("not sure").groupBy("id").agg(F.min("arrival").alias("doubt"))
+        rows = rows.alias("r").hint("merge").join(doubt.alias("d"), F.col("r.id").eqNullSafe(F.col("d.id")), "left")
+        rows = rows.select("r.*", (F.col("sure") & F.coalesce(F.col("arrival") <= F.col("doubt"), F.lit(True))).alias("settled"))
+        judged = materialize(_with_stale(rows, start))
+        done.append(judged.where("settled"))
         # partial minima first, so that a very common key is no task's alone
-        first = judged.where("key is not null and not stale").groupBy("key").agg(F.min("arrival").alias("first"))
-        dup = F.col("known") | F.coalesce(F.col("arrival") > F.col("first"), F.lit(False))
-        found = judged.hint("merge").join(first, "key", "left").withColumn("new", dup).withColumn("moved", F.col("new") != F.col("dup"))
-        rows = materialize(found.drop("dup", "first").withColumnRenamed("new", "dup"))
-        if rows.where("moved").isEmpty():
+        first = judged.where("key is not null and not stale and not known").groupBy("key").agg(F.min("arrival").alias("first"), F.min_by("settled", "arrival").alias("claimed"))
+        left = judged.where("not settled").hint("merge").join(first, "key", "left")
+        later = F.coalesce(F.col("arrival") > F.col("first"), F.lit(False))
+        left = left.withColumns({"next": F.col("known") | later, "known": F.col("known") | later & F.col("claimed")})
+        left = materialize(left.select("id", "arrival", "seq", "key", "payload_sha256", "known", F.col("next").alias("dup"), (F.col("next") != F.col("dup")).alias("moved"), "stale"))
+        if left.where("moved").isEmpty():
+            done.append(left)
             break
-        rows = rows.drop("stale")
+        start = _newest(start, judged.where("settled and not dup and not stale").groupBy("id").agg(F.max_by("seq", "arrival").alias("saved")))
+        rows = left.drop("moved", "stale")
     outcome = F.when(F.col("dup"), "duplicate").when(F.col("stale"), "stale").otherwise("saved")
-    return rows.select("id", "arrival", "seq", "key", "payload_sha256", outcome.alias("outcome"))
+    parts = [x.select("id", "arrival", "seq", "key", "payload_sha256", outcome.alias("outcome")) for x in done]
+    while len(parts) > 1:
+        parts = [a.union(b) for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) - len(parts) % 2 :]
+    return parts[0]
+
 
+def _newest(start: DataFrame, saved: DataFrame) -> DataFrame:
+    """start(id, saved) with the conversations of saved replaced."""
+    rows = start.withColumn("place", F.lit(0)).union(saved.withColumn("place", F.lit(1)))
+    return materialize(rows.groupBy("id").agg(F.max_by("saved", "place").alias("saved")))
 
-def ingest_stream(events: DataFrame, folder: str, **options: str) -> StreamingQuery:
-    """The same over a stream, batch by batch: outcomes, keys and saved numbers are tables below folder, written once for each batch.
 
-    A batch reads what the batches before it left, and overwrites its own part if it runs again after a failure. options go to
-    the query (such as a trigger is, by trigger=); the source's own options bound a batch (maxFilesPerTrigger, maxBytesPerTrigger).
+class Kept(StatefulProcessor):
+    """What is saved under one conversation, or one key, in one of its copies.
+
+    Of a group's rows, updates (of a batch: the last counts) go to the state and events pass through; behind them goes one row that
+    tells the state, which holds all updates that came along. Nothing but one batch of rows is in memory.
     """
-    spark = events.sparkSession
 
-    def batch(rows: DataFrame, number: int) -> None:
-        session = rows.sparkSession
-        keys, seqs = (_state(session, f"{folder}/{name}", schema, number) for name, schema in (("keys", _KEYS), ("seqs", _SEQS)))
-        last = seqs.groupBy("id").agg(F.max_by("seq", "batch").alias("seq"))
-        done = materialize(ingest_batch(rows, keys, last))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("kept", "seq long, batch long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seq, newest, asked = None, -1, False
+        for part in rows:
+            updates, events = part[part["what"] == "update"], part[part["what"] == "event"]
+            asked = asked or len(events) > 0
+            if len(updates):
+                last = updates.loc[updates["batch"].astype("int64").idxmax()]
+                if int(last["batch"]) > newest:
+                    seq, newest = None if pd.isna(last["seq"]) else int(last["seq"]), int(last["batch"])
+            passed = events[events["kind"] == "id"]  # an event's row for its key only asks
+            if len(passed):
+                yield passed
+        old = self.kept.get() if self.kept.exists() else None
+        if newest >= 0 and (old is None or newest >= old[1]):
+            self.kept.update((seq, newest))
+            old = (seq, newest)
+        if asked and old is not None:
+            row = {c: None for c in _COLUMNS} | {"what": "state", "kind": key[0], "value": key[1], "seq": old[0]}
+            yield pd.DataFrame([row]).astype({c: "Int64" for c in ("seq", "batch", "arrival", "salt")})
+
+    def close(self) -> None:
+        pass
+
+
+_SCHEMA = "what string, kind string, value string, salt long, seq long, batch long, id string, arrival long, key string, payload_sha256 string"
+_COLUMNS = [c.split()[0] for c in _SCHEMA.split(", ")]
+_UPDATE = "kind string, value string, seq long, batch long"
+
+
+def _asked(events: DataFrame) -> DataFrame:
+    """Two rows for each event: it with its conversation, and the question for its key."""
+    rows = prepared(events)
+    no_seq, salt = F.lit(None).cast("long"), F.pmod(F.xxhash64("arrival"), F.lit(SALTS))
+    own = F.struct(F.lit("id").alias("kind"), F.col("id").alias("value"), F.col("seq").alias("seq"))
+    ask = F.struct(F.lit("key").alias("kind"), F.col("key").alias("value"), no_seq.alias("seq"))
+    rows = rows.withColumn("row", F.explode(F.when(F.col("key").isNotNull(), F.array(own, ask)).otherwise(F.array(own))))
+    return rows.select(F.lit("event").alias("what"), "row.kind", "row.value", salt.alias("salt"), "row.seq", no_seq.alias("batch"), "id", "arrival", "key", "payload_sha256")
+
+
+def ingest_stream(events: DataFrame, folder: str, every: str = "0 seconds") -> StreamingQuery:
+    """The same over a stream, micro-batch by micro-batch: outcomes are a table below folder, a part for each micro-batch.
+
+    A micro-batch's events are judged in order of arrival, after all of earlier micro-batches, whatever their numbers. One that runs
+    again after a failure reads the same events and the same state, and overwrites its part. The source's own
+    options bound a micro-batch (maxFilesPerTrigger, maxBytesPerTrigger); the query looks for new events at the interval `every`
+    until it is stopped (ingest_available() ends by itself). The state is in RocksDB state stores, with the checkpoint below folder.
+    """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    make_folder(spark, f"{folder}/updates")
+    # read without a bound, so that a micro-batch has all updates of those before it; files go when they are in the state
+    source = spark.readStream.schema(_UPDATE).option("recursiveFileLookup", True).option("cleanSource", "delete").parquet(f"{folder}/updates")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    updates = source.withColumn("salt", copies).select(F.lit("update").alias("what"), "kind", "value", "salt", "seq", "batch", *none("string", "id"), *none("long", "arrival"), *none("string", "key", "payload_sha256"))
+    rows = _asked(events).union(updates.select(*_COLUMNS)).groupBy("kind", "value", "salt")
+    told = rows.transformWithStateInPandas(statefulProcessor=Kept(), outputStructType=_SCHEMA, outputMode="Append", timeMode="None")
+
+    def batch(told: DataFrame, number: int) -> None:
+        told = materialize(told)  # once: reading it works the state
+        rows = told.where("what = 'event'")
+        if rows.isEmpty():
+            return
+        state = told.where("what = 'state'").select("kind", "value", "seq").distinct()
+        keys, seqs = state.where("kind = 'key'").select(F.col("value").alias("key")), state.where("kind = 'id'").select(F.col("value").alias("id"), "seq")
+        done = materialize(_judged(rows, keys, seqs))
         new = done.where("outcome = 'saved'")
-        new.where("key is not null").select("key").write.mode("overwrite").parquet(f"{folder}/keys/batch={number}")
-        new.groupBy("id").agg(F.max_by("seq", "arrival").alias("seq")).write.mode("overwrite").parquet(f"{folder}/seqs/batch={number}")
+        by_id = new.groupBy("id").agg(F.max_by("seq", "arrival").alias("seq")).select(F.lit("id").alias("kind"), F.col("id").alias("value"), "seq")
+        by_key = new.where("key is not null").select(F.lit("key").alias("kind"), F.col("key").alias("value"), F.lit(None).cast("long").alias("seq"))
+        by_id.union(by_key).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/updates/{number:012d}")
         done.write.mode("overwrite").parquet(f"{folder}/outcomes/batch={number}")
 
-    return events.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(**(options or {"availableNow": True})).start()
+    return told.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(processingTime=every).start()
 
 
-def _state(spark: SparkSession, path: str, schema: str, number: int) -> DataFrame:
-    """What the batches before this one left."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).where(F.col("batch") < number)
+def ingest_available(events: DataFrame, folder: str) -> None:
+    """ingest_stream() over the events there are now."""
+    query = ingest_stream(events, folder)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
 
 
 def outcomes(spark: SparkSession, folder: str) -> DataFrame:

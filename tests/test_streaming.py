@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 
@@ -59,14 +60,95 @@ def test_a_key_of_another_conversation_is_a_duplicate(spark):
     assert ingest.ingest_batch(spark.createDataFrame([], SCHEMA).withColumn("payload", F.lit("p"))).count() == 0
 
 
-def test_stream_equals_batch_over_several_runs(spark, tmp_path):
+def walk_in_order(batches):
+    """The state machine over micro-batches one after the other, each in order of arrival."""
+    place = {(k, r[1]): n for n, (k, r) in enumerate(sorted(((k, r) for k, rows in enumerate(batches) for r in rows), key=lambda x: (x[0], x[1][1])))}
+    rows = [(r[0], place[k, r[1]], r[2], r[3]) for k, rows in enumerate(batches) for r in rows]
+    by_place = {p: (k, a) for (k, a), p in place.items()}
+    return {by_place[p]: o for p, o in walk(rows).items()}
+
+
+def write_events(spark, rows, source):
+    spark.createDataFrame(rows, SCHEMA).withColumn("payload", F.lit("p")).coalesce(1).write.mode("append").parquet(source)
+
+
+def stream_of(spark, source, **options):
+    return spark.readStream.schema(SCHEMA + ", payload string").options(**options).parquet(source)
+
+
+def test_stream_over_several_micro_batches_and_restarts(spark, tmp_path):
+    source, folder = (str(tmp_path / x) for x in ("in", "state"))
+    rows = made(5, 160)
+    batches = [rows[:50], rows[50:90], rows[90:120], rows[120:]]
+    for part in batches[:2]:  # two files are two micro-batches of one run
+        write_events(spark, part, source)
+        time.sleep(0.02)
+    ingest.ingest_available(stream_of(spark, source, maxFilesPerTrigger=1), folder)
+    for part in batches[2:]:  # each further run takes up the checkpoint
+        write_events(spark, part, source)
+        ingest.ingest_available(stream_of(spark, source, maxFilesPerTrigger=1), folder)
+    found = {r.arrival: r.outcome for r in ingest.outcomes(spark, folder).collect()}
+    assert found == walk(rows) and set(found.values()) == {"saved", "duplicate", "stale"}
+    assert spark.read.parquet(f"{folder}/outcomes").select("batch").distinct().count() == 4
+
+
+def test_events_that_come_late_and_twice(spark, tmp_path):
+    """Arrival numbers of later micro-batches may be lower, and a replayed file's events are judged anew: their keys are duplicates."""
+    source, folder = (str(tmp_path / x) for x in ("in", "state"))
+    rows = made(9, 120)
+    batches = [rows[60:], rows[:60], rows[60:]]
+    for part in batches:
+        write_events(spark, part, source)
+        time.sleep(0.02)
+        ingest.ingest_available(stream_of(spark, source), folder)
+    got = {(k, r.arrival): r.outcome for k, r in enumerate_batches(spark, folder)}
+    assert got == walk_in_order(batches)
+    assert all(got[2, r[1]] != "saved" for r in rows[60:] if r[3] and got[0, r[1]] == "saved")
+
+
+def enumerate_batches(spark, folder):
+    """The outcomes with the number of their micro-batch among those that had events."""
+    rows = spark.read.parquet(f"{folder}/outcomes").collect()
+    order = {b: k for k, b in enumerate(sorted({r.batch for r in rows}))}
+    return [(order[r.batch], r) for r in rows]
+
+
+def test_a_micro_batch_that_failed_runs_again(spark, tmp_path, monkeypatch):
+    """The sink breaks off between its two tables; the restarted query judges the same events from the same state."""
+    source, folder = (str(tmp_path / x) for x in ("in", "state"))
+    rows = made(11, 90)
+    write_events(spark, rows[:45], source)
+    ingest.ingest_available(stream_of(spark, source), folder)
+    write_events(spark, rows[45:], source)
+    real, calls = ingest._judged, []
+
+    def breaks(*args):
+        calls.append(1)
+        found = real(*args)
+        if len(calls) == 1:
+            raise RuntimeError("lost")
+        return found
+
+    monkeypatch.setattr(ingest, "_judged", breaks)
+    with pytest.raises(Exception, match="lost"):
+        ingest.ingest_available(stream_of(spark, source), folder)
+    ingest.ingest_available(stream_of(spark, source), folder)
+    assert len(calls) == 2 and {r.arrival: r.outcome for r in ingest.outcomes(spark, folder).collect()} == walk(rows)
+
+
+def test_cost_of_a_micro_batch_does_not_grow_with_history(spark, tmp_path):
     source, folder = (str(tmp_path / x) for x in ("in", "state"))
-    rows = made(5, 120)
-    for part in (rows[:50], rows[50:90], rows[90:]):  # the state carries over
-        spark.createDataFrame(part, SCHEMA).withColumn("payload", F.lit("p")).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(SCHEMA + ", payload string").parquet(source)
-        ingest.ingest_stream(stream, folder).awaitTermination()
-    assert {r.arrival: r.outcome for r in ingest.outcomes(spark, folder).collect()} == walk(rows)
+    sizes = []
+    query = None
+    for k in range(4):
+        write_events(spark, [(f"c{k}-{i}", 1000 * k + i, i, f"k{k}-{i}") for i in range(40)], source)
+        query = ingest.ingest_stream(stream_of(spark, source), folder)
+        query.processAllAvailable()
+        sizes.append(max(p["numInputRows"] for p in query.recentProgress))
+        kept = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+        query.stop()
+    assert kept == 4 * 80 * ingest.SALTS, "a state for each conversation and key, and no event"
+    assert max(sizes) <= 80 * ingest.SALTS, "the events of one file, or the updates of one batch"
 
 
 def test_new_files_alone_are_analysed(spark, tmp_path):
