@@ -6,15 +6,16 @@ A patch is array<struct<start, end, text>>: replace [start, end) by text. Offset
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
-from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from ..functions.diff import code_points, differences, repeats_run, shares_run
+
 OPS = "array<struct<start:int,end:int,text:string>>"
 _OPS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]))
 #: A patch of at least so many edits that changes at least this share of a text becomes one replacement.
@@ -92,40 +93,50 @@ def display_highlights(text: Column, ops: Column, titled: Column, ranges: Column
     return F.when(F.size(titled) > 0, titled).when(F.size(ranges) > 0, untitled(ranges)).otherwise(merge_highlights(text, untitled(highlight_ranges(ops))))
 
 
-#: Texts are compared line by line first; only what differs is compared word by word, and within that by characters.
-_PARTS = (re.compile(r"[^\n]*\n|[^\n]+"), re.compile(r"\s+|[^\s]+"), re.compile(r"(?s)."))
-#: Up to so many characters, before and after multiplied, are compared one by one at once; changed words of more are replaced as a whole.
-CHARACTER_PAIRS = 250_000
+#: Characters from which on it pays to prove that a search isn't needed.
+LONG = 20_000
+
 
+def _surely_many(a: str, b: str, tail: str) -> bool:
+    """Whether every shortest script from a + tail to b + tail has COLLAPSE_OPS edits or more; a and b begin and end unlike.
 
-def _differences(a: str, b: str, level: int = 0) -> list[tuple[int, int, int, int]]:
-    """The ranges of a and b that differ, in order."""
-    if len(a) * len(b) <= CHARACTER_PAIRS:
-        level = max(level, len(_PARTS) - 1)
-    if not a or not b or level == len(_PARTS) or (level == len(_PARTS) - 1 and len(a) * len(b) > CHARACTER_PAIRS):
-        return [(0, len(a), 0, len(b))] if a or b else []
-    left, right = _PARTS[level].findall(a), _PARTS[level].findall(b)
-    i, j = ([0, *accumulate(map(len, x))] for x in (left, right))
-    out = []
-    for tag, i0, i1, j0, j1 in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
-        if tag != "equal":
-            inner = _differences(a[i[i0] : i[i1]], b[j[j0] : j[j1]], level + 1)
-            out += [(i[i0] + p, i[i0] + q, j[j0] + r, j[j0] + s) for p, q, r, s in inner]
-    return out
+    With fewer edits, at most COLLAPSE_OPS - 2 runs stay beside that at the end, which is no longer than the tail. They must make up for
+    the rest of the longest common subsequence, in which one character alone has as many places as the text with fewer of it. A run that isn't in
+    the tail of both lies in b, in a, or pairs the tail with another place of it; where none of these parts can be long enough, there are more edits.
+    """
+    x, y, t = (code_points(s) for s in (a, b, tail))
+    here, counts = np.unique(x, return_counts=True)
+    there, others = np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(here, there, return_indices=True)
+    most = int(np.minimum(counts[i], others[j]).max(initial=0))
+    size = most // ((COLLAPSE_OPS - 2) * (3 if tail else 1))
+    if size < 1:
+        return False
+    if not tail:
+        return not shares_run(x, y, size)
+    return not (shares_run(np.append(x, t), y, size) or shares_run(x, np.append(y, t), size) or repeats_run(t, size))
 
 
 def edits(before: str, after: str) -> list[dict]:
-    """The edits from one text to another, collapsed to one where they amount to a replacement."""
+    """The edits of a shortest script from one text to another, collapsed to one where they amount to a replacement.
+
+    Long texts without much in common would take a long search only to be collapsed: there it is proved first that the script has that many edits.
+    """
     if before == after:
         return []
-    head = next((i for i, (x, y) in enumerate(zip(before, after)) if x != y), min(len(before), len(after)))
-    most = min(len(before), len(after)) - head
-    tail = next((i for i in range(most) if before[-1 - i] != after[-1 - i]), most)
+    x, y = code_points(before), code_points(after)
+    most = min(len(x), len(y))
+    unlike = np.flatnonzero(x[:most] != y[:most])
+    head = int(unlike[0]) if len(unlike) else most
+    unlike = np.flatnonzero(x[len(x) - most + head :][::-1] != y[len(y) - most + head :][::-1])
+    tail = int(unlike[0]) if len(unlike) else most - head
     a, b = before[head : len(before) - tail], after[head : len(after) - tail]
-    ops = [{"start": head + i, "end": head + j, "text": b[k:m]} for i, j, k, m in _differences(a, b)]
-    if len(ops) >= COLLAPSE_OPS and max(len(a) / max(len(before), 1), len(b) / max(len(after), 1)) >= COLLAPSE_SHARE:
-        return [{"start": head, "end": len(before) - tail, "text": b}]
-    return ops
+    replaces = max(len(a) / max(len(before), 1), len(b) / max(len(after), 1)) >= COLLAPSE_SHARE
+    whole = [{"start": head, "end": len(before) - tail, "text": b}]
+    if replaces and a and b and len(a) + len(b) > LONG and _surely_many(a, b, before[len(before) - tail :]):
+        return whole
+    ops = [{"start": i, "end": j, "text": after[k:m]} for i, j, k, m in differences(before, after)]
+    return whole if replaces and len(ops) >= COLLAPSE_OPS else ops
 
 
 @pandas_udf(_OPS)
@@ -134,30 +145,77 @@ def create_patch(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([edits(a, b) or None if a is not None and b is not None else None for a, b in zip(before, after)])
 
 
-_HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+\d+(?:,\d+)? @@")
+_HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+\d+(?:,(\d+))? @@")
 
 
-def apply_unified(text: str, diff: str) -> str | None:
-    """text after a unified diff; None if a hunk doesn't fit where it says."""
-    lines, out, at = text.split("\n"), [], 0
-    rows = iter(diff.split("\n"))
-    left, fresh = 0, None
-    for row in rows:
-        if m := _HUNK.match(row):
-            start = int(m[1]) - (m[2] != "0")
-            if start < at or start > len(lines):
-                return None
-            out += lines[at:start]
-            at, fresh = start, True
-        elif fresh and row[:1] in (" ", "-"):
-            if at >= len(lines) or lines[at] != row[1:]:
+def _hunks(diff: list[str]) -> list[tuple[int, list[str]]] | None:
+    """The hunks of a unified diff as (first line that goes or is passed, from 0; marked lines); None if a hunk hasn't the lines it tells of."""
+    found, k = [], 0
+    while k < len(diff):
+        head = _HUNK.match(diff[k])
+        k += 1
+        if not head:
+            continue
+        old, new = (1 if n is None else int(n) for n in head.group(2, 3))
+        rows, gone, made = [], 0, 0
+        while k < len(diff) and (gone < old or made < new or diff[k][:1] == "\\"):
+            row = diff[k] or (" " if k < len(diff) - 1 else "")
+            if row[:1] not in (" ", "-", "+", "\\"):
                 return None
-            if row[0] == " ":
-                out.append(lines[at])
-            at += 1
-        elif fresh and row[:1] == "+":
-            out.append(row[1:])
-    return "\n".join(out + lines[at:]) if fresh else None
+            gone, made = gone + (row[0] in " -"), made + (row[0] in " +")
+            rows.append(row)
+            k += 1
+        # a side told as one line may have none
+        if (gone, made) != (old, new) and (gone or 0 if old == 1 and not gone else old, made or 0 if new == 1 and not made else new) != (gone, made):
+            return None
+        found.append((int(head[1]) - (gone > 0), rows))
+    return found
+
+
+def _place(lines: list[str], where: dict[str, list[int]], old: list[str], start: int, low: int) -> int | None:
+    """Where from low on a hunk's old lines stand, nearest to start; of two as near the later."""
+    high = len(lines) - len(old)
+    if not old:
+        return min(max(start, low), high) if low <= high else None
+    near = sorted((p for p in where.get(old[0], ()) if low <= p <= high), key=lambda p: (abs(p - start), p < start))
+    return next((p for p in near if lines[p : p + len(old)] == old), None)
+
+
+def apply_unified(text: str, diff: str) -> str | None:
+    """text after a unified diff; None if the diff is malformed, has no hunk or a hunk fits nowhere.
+
+    A hunk that doesn't fit at the line it tells, moved as the hunk before it was, goes to the nearest place where it fits, behind that hunk. A diff with
+    \r\n ends fits a text with \n ends. Where the diff says so, the last line's end is added or taken away.
+    """
+    rows = diff.split("\n")
+    if "\r" not in text and any(r.endswith("\r") for r in rows) and all(r.endswith("\r") or r == "" for r in rows):
+        rows = [r.removesuffix("\r") for r in rows]
+    hunks = _hunks(rows)
+    if not hunks:
+        return None
+    lines, ends = text.split("\n"), {a[:1] for a, b in zip(hunks[-1][1], hunks[-1][1][1:]) if b[:1] == "\\"}
+    if {"+", "-"} <= ends:
+        if lines[-1] == "":
+            return None
+    elif "+" in ends:
+        if lines.pop() != "":
+            return None
+    elif "-" in ends:
+        if lines[-1] == "":
+            return None
+        lines.append("")
+    where: dict[str, list[int]] = {}
+    for k, line in enumerate(lines):
+        where.setdefault(line, []).append(k)
+    out, at, moved = [], 0, 0
+    for start, marked in hunks:
+        old = [r[1:] for r in marked if r[0] in " -"]
+        place = _place(lines, where, old, start + moved, at)
+        if place is None:
+            return None
+        out += lines[at:place] + [r[1:] for r in marked if r[0] in " +"]
+        at, moved = place + len(old), place - start
+    return "\n".join(out + lines[at:])
 
 
 @pandas_udf(T.ArrayType(_OPS))

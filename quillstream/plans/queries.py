@@ -513,6 +513,29 @@ def patch_create_roundtrip(spark, sf_dir):
     return rows.select("doc_id", (patches.apply_patch(F.col("text"), F.col("ops")) == F.col("edited")).alias("same"))
 
 
+@query(r"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+n AS (SELECT *, len(ls) AS n, (doc_id * 7) % len(ls) + 1 AS "at", doc_id % 9 - 4 AS off FROM d),
+h AS (SELECT *, greatest(1, "at" - 1) AS head, least(n, "at" + 1) AS tail, greatest(1, greatest(1, "at" - 1) + off) AS told FROM n),
+p AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY abs(i - told), i < told) AS nth FROM h, unnest(range(1, n - (tail - head) + 1)) u(i) WHERE ls[i:i + tail - head] = ls[head:tail])
+SELECT h.doc_id, i::BIGINT AS line, sha256(array_to_string(list_concat(ls[1:i + "at" - head - 1], [ls["at"] || ' (changed)'], ls[i + "at" - head + 1:]), chr(10))) AS patched FROM h JOIN p ON p.doc_id = h.doc_id AND nth = 1""")
+def legacy_patch(spark, sf_dir):
+    """An old unified diff of one line for every text, with the lines around it, that tells another line than where it fits."""
+    rows = _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", F.split("text", "\n").alias("ls"))
+    rows = rows.withColumn("n", F.size("ls")).withColumns({"at": F.expr("int(doc_id * 7 % n + 1)"), "off": F.expr("int(doc_id % 9 - 4)")})
+    rows = rows.withColumns({"first": F.expr("greatest(1, at - 1)"), "last": F.expr("least(n, at + 1)")}).withColumn("told", F.expr("greatest(1, first + off)"))
+    line = lambda mark, k: F.concat(F.lit(mark), F.get("ls", F.col(k) - 1 if isinstance(k, str) else k))
+    size = F.expr("last - first + 1").cast("string")
+    head = F.concat(F.lit("@@ -"), F.col("told").cast("string"), F.lit(","), size, F.lit(" +"), F.col("told").cast("string"), F.lit(","), size, F.lit(" @@"))
+    before, after = F.when(F.col("first") < F.col("at"), F.array(line(" ", "first"))), F.when(F.col("last") > F.col("at"), F.array(line(" ", "last")))
+    none = F.expr("cast(array() as array<string>)")
+    body = F.concat(F.array(head), F.coalesce(before, none), F.array(line("-", "at"), F.concat(line("+", "at"), F.lit(" (changed)"))), F.coalesce(after, none))
+    rows = rows.withColumn("ops", F.get(patches.legacy_patches(F.array("text"), F.array(F.array_join(body, "\n"))), F.lit(0)))
+    # the line that the patch's one place is on
+    rows = rows.withColumn("patched", patches.apply_patch(F.col("text"), F.col("ops")))
+    changed = F.size(F.split(F.substring(F.col("text"), F.lit(1), F.get("ops", F.lit(0))["start"]), "\n"))
+    return rows.select("doc_id", (changed - (F.col("at") - F.col("first"))).cast("long").alias("line"), F.sha2("patched", 256).alias("patched"))
+
+
 @query("""SELECT doc_id, sha256(replace(text, 'E', 'Ee')) AS text, contains(text, 'E') AS changed, (length(text) - length(replace(text, 'E', '')))::INT AS marks,
   'Skipping non-ALL-CAPS correction "the" in excerpt P' || doc_id || '.' || CASE WHEN contains(text, 'E') THEN '' ELSE '|Could not find "E" in excerpt P' || doc_id || '.' END AS issues FROM documents WHERE text IS NOT NULL""")
 def corrections_apply(spark, sf_dir):

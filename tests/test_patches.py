@@ -37,7 +37,7 @@ def test_edits_lead_from_one_text_to_the_other(a, b):
 
 def test_create_and_collapse(spark):
     made = lambda a, b: [(o["start"], o["end"], o["text"]) for o in P.edits(a, b)]
-    assert made("same", "same") == [] and len(made("one two three four five six seven", "oXe two thrXe four five siX seven")) == 3
+    assert made("same", "same") == [] and len(made("one two three four five six seven", "oXe two thXee four five siX seven")) == 3
     assert len(made("abc def ghi jkl", "xbc yef zhi wkl")) == 1  # four edits that change most of it
     rows = spark.createDataFrame([("a b", "a c"), ("x", "x"), (None, "y")], "a string, b string").select(P.create_patch("a", "b").alias("p")).collect()
     assert rows[0].p[0].text == "c" and rows[1].p is None and rows[2].p is None
@@ -58,6 +58,30 @@ def test_unified_diffs():
     assert P.apply_unified(text, "@@ -1,1 +1,1 @@\n-zero\n+x\n") is None and P.apply_unified(text, "no diff") is None
 
 
+def test_hunks_go_to_the_nearest_place_where_they_fit():
+    text = "a\nb\nc\na\nb\nc\na\nb\nc"
+    hunk = "@@ -{},2 +1,2 @@\n a\n-b\n+B\n"
+    at = lambda line: [k for k, x in enumerate((P.apply_unified(text, hunk.format(line)) or "").split("\n")) if x == "B"]
+    assert [at(n) for n in (1, 2, 3, 4, 5, 6, 7, 99)] == [[1], [1], [4], [4], [4], [7], [7], [7]]
+    # as near before as behind: the later one
+    assert P.apply_unified("x\no\nx", "@@ -2 +2 @@\n-x\n+y") == "x\no\ny"
+    # a second hunk moves as the first one did, and never before it
+    two = "@@ -1 +1 @@\n-c\n+C\n@@ -2 +2 @@\n-a\n+A\n"
+    assert P.apply_unified(text, two) == "a\nb\nC\nA\nb\nc\na\nb\nc"
+    assert P.apply_unified("a\nb", "@@ -1 +1 @@\n-b\n+B\n@@ -1 +1 @@\n-a\n+A\n") is None
+
+
+def test_hunks_that_add_alone_ends_of_lines_and_malformed_diffs():
+    assert P.apply_unified("a\nb", "@@ -1,0 +2 @@\n+x\n") == "a\nx\nb" and P.apply_unified("a\nb", "@@ -0,0 +1 @@\n+x\n") == "x\na\nb"
+    assert P.apply_unified("a\nb\n", "@@ -2 +2 @@\n-b\n+c\n\\ No newline at end of file") == "a\nc"
+    assert P.apply_unified("a\nb", "@@ -2 +2 @@\n-b\n\\ No newline at end of file\n+c\n") == "a\nc\n"
+    assert P.apply_unified("a\nb", "@@ -2 +2 @@\n-b\n\\ No newline at end of file\n+c\n\\ No newline at end of file") == "a\nc"
+    assert P.apply_unified("a\nb\n", "@@ -2 +2 @@\n-b\n\\ No newline at end of file\n+c\n\\ No newline at end of file") is None
+    assert P.apply_unified("a\nb", "@@ -1,2 +1,2 @@\r\n a\r\n-b\r\n+c\r\n") == "a\nc"
+    assert P.apply_unified("a\nb", "@@ -1,2 +1,1 @@\n-a\n") is None and P.apply_unified("a\nb", "@@ -1,2 +1,2 @@\n a\n?b\n") is None
+    assert P.apply_unified("a\n\nb", "@@ -1,3 +1,3 @@\n-a\n+A\n\n b\n") == "A\n\nb"
+
+
 def test_upsert_prune_and_skips(spark):
     kind = f"map<string,{P.OPS}>"
     out = run(spark, P.upsert(F.col("m"), F.lit("P1"), F.col("o"), F.lit("a"), F.lit("b")), m=({"P2": []}, kind), o=ops((0, 1, "b")))
@@ -110,7 +134,7 @@ def test_edits_of_long_texts_are_small_and_right():
         words[rng.randrange(len(words))] = rng.choice(["new", "", "other words"])
     after = "start " + " ".join(words) + " end"
     began = time.perf_counter()
-    found = P._differences(text, after)
+    found = P.differences(text, after)
     assert time.perf_counter() - began < 20
     out, at = [], 0
     for i, j, k, m in found:
