@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import count, find, index, let, running_sums
+
 # fixed values: the white space of the data's own rules (Unicode's, without U+0085, with U+FEFF), and the shape of a segment marker
 WS = r"\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 WS_CHARS = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -22,11 +24,6 @@ _BREAK = r"[\n\x{2028}\x{2029}]"
 _SPECIAL = r".*+?^${}()|[]\/"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value worked out once however often body reads it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def trim(c: Column) -> Column:
     """Without white space (WS) at both ends."""
     return F.btrim(c, F.lit(WS_CHARS))
@@ -64,26 +61,31 @@ def segments(normalized: Column) -> Column:
     chunks = F.split(normalized, f"{_BREAK}(?={MARKER})", -1)
     header = f"\\A({MARKER_ID})[{WS}]?{DASH}[{WS}]*"
 
-    def add(acc: Column, chunk: Column) -> Column:
-        name = F.regexp_extract(chunk, header, 1)
+    def parts(chunk: Column) -> Column:
         head = F.length(F.regexp_extract(chunk, header, 0))
-        text = F.rtrim(F.substr(chunk, head + 1), F.lit(WS_CHARS))
-        # an empty text is where the next marker begins, or the whole text ends
-        start = acc["at"] + head + F.when((text == "") & (acc["left"] > 1), 1).otherwise(0)
-        row = F.struct(
-            F.size(acc["out"]).alias("pos"), name.alias("id"), text.alias("text"), acc["at"].alias("head"),
-            start.alias("start"), (start + F.length(text)).alias("end"),
-        )
-        return F.struct((acc["at"] + F.length(chunk) + 1).alias("at"), (acc["left"] - 1).alias("left"), F.when(name == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(row))).alias("out"))
+        return let(head, lambda h: F.struct(
+            F.regexp_extract(chunk, header, 1).alias("id"), F.rtrim(F.substr(chunk, h + 1), F.lit(WS_CHARS)).alias("text"), h.alias("head"), (F.length(chunk) + 1).alias("size")))
+
+    def placed(a: Column, ends: Column) -> Column:
+        def row(c: Column, i: Column) -> Column:
+            at = F.get(ends, i) - c["size"]
+            # an empty text is where the next marker begins, or the whole text ends
+            start = at + c["head"] + F.when((c["text"] == "") & (i < F.size(a) - 1), 1).otherwise(0)
+            return F.struct(c["id"].alias("id"), c["text"].alias("text"), at.alias("head"), start.alias("start"), (start + F.length(c["text"])).alias("end"))
+
+        named = F.filter(F.transform(a, row), lambda r: r["id"] != "")
+        return F.transform(named, lambda r, i: F.struct(i.alias("pos"), *(r[k].alias(k) for k in ("id", "text", "head", "start", "end"))))
 
-    empty = F.expr("cast(array() as array<struct<pos:int,id:string,text:string,head:int,start:int,end:int>>)")
-    return let(chunks, lambda a: F.aggregate(a, F.struct(F.lit(0).alias("at"), F.size(a).alias("left"), empty.alias("out")), add, lambda acc: acc["out"]))
+    return let(F.transform(chunks, parts), lambda a: let(running_sums(F.transform(a, lambda c: c["size"])), lambda ends: placed(a, ends)))
 
 
 def segment_map(parsed: Column) -> Column:
     """map<id, text> of segments(); the last of a repeated id wins."""
-    last = F.filter(parsed, lambda s: ~F.exists(parsed, lambda t: (t["id"] == s["id"]) & (t["pos"] > s["pos"])))
-    return F.map_from_entries(F.transform(last, lambda s: F.struct(s["id"], s["text"])))
+    def last(parsed: Column, ids: Column) -> Column:
+        return F.filter(parsed, lambda s, i: find(ids, s["id"], last=True) == i)
+
+    kept = let(parsed, lambda p: let(index(F.transform(p, lambda s: s["id"])), lambda ids: last(p, ids)))
+    return F.map_from_entries(F.transform(kept, lambda s: F.struct(s["id"], s["text"])))
 
 
 def spans(c: Column, pattern: str) -> Column:
@@ -92,18 +94,13 @@ def spans(c: Column, pattern: str) -> Column:
     What split() leaves between the matches, and the matches, add up to the text: their running length is
     each match's place.
     """
-    empty = F.expr("cast(array() as array<struct<text:string,start:int,end:int>>)")
-
-    def add(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
-        end = start + F.length(p["match"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(p["match"].alias("text"), start.alias("start"), end.alias("end")))).alias("out"))
-
     def placed(found: Column) -> Column:
-        pairs = F.zip_with(F.slice(F.split(c, pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-        return F.when(F.size(found) == 0, empty).otherwise(F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"]))
+        pairs = F.zip_with(F.slice(F.split(c, pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(m.alias("match"), (F.length(g) + F.length(m)).alias("size")))
+        return let(running_sums(F.transform(pairs, lambda p: p["size"])), lambda ends: F.transform(found, lambda m, i: F.struct(
+            m.alias("text"), (F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"))))
 
-    return let(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), placed)
+    empty = F.expr("cast(array() as array<struct<text:string,start:int,end:int>>)")
+    return let(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, empty).otherwise(placed(found)))
 
 
 def occurrences(c: Column, literal: Column) -> Column:
@@ -142,4 +139,4 @@ def line_start_label_pattern(labels: list[str]) -> str:
 def speaker_labels(c: Column) -> Column:
     """Labels that stand twice or more before a colon, in order of first appearance."""
     found = F.regexp_extract_all(c, F.lit(SPEAKER_LABEL), F.lit(1))
-    return F.filter(F.array_distinct(found), lambda x: F.size(F.filter(found, lambda y: y == x)) >= 2)
+    return let(found, lambda f: let(index(f), lambda names: F.filter(F.array_distinct(f), lambda x: count(names, x) >= 2)))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from ..functions.arrays import among, count, index, let
+from ..functions.overlap import best_overlap
+
 
 def ids(parsed: Column) -> Column:
     return F.transform(parsed, lambda s: s["id"])
@@ -15,17 +18,17 @@ def ids(parsed: Column) -> Column:
 
 def duplicate_ids(found: Column) -> Column:
     """array<struct<id, n>> of ids that stand more than once, by first appearance."""
-    counted = F.transform(F.array_distinct(found), lambda x: F.struct(x.alias("id"), F.size(F.filter(found, lambda y: y == x)).alias("n")))
-    return F.filter(counted, lambda c: c["n"] > 1)
+    counted = lambda names: F.transform(F.array_distinct(found), lambda x: F.struct(x.alias("id"), count(names, x).alias("n")))
+    return F.filter(let(index(found), counted), lambda c: c["n"] > 1)
 
 
 def invented_ids(expected: Column, found: Column) -> Column:
     """Every occurrence of an id that the source doesn't have."""
-    return F.filter(found, lambda x: ~F.array_contains(expected, x))
+    return among(found, expected, wanted=False)
 
 
 def missing_ids(expected: Column, found: Column) -> Column:
-    return F.filter(expected, lambda x: ~F.array_contains(found, x))
+    return among(expected, found, wanted=False)
 
 
 def first_out_of_order(expected: Column, found: Column) -> Column:
@@ -54,36 +57,19 @@ def alignment_errors(expected: Column, found: Column, odd: Column) -> Column:
 
 
 def exact_block(prompt: Column, found: Column) -> Column:
-    """Where, from 0, the prompt's ids last hold the response's in a row; null if nowhere."""
-    n, m = F.size(prompt), F.size(found)
-    starts = F.when((m > 0) & (n >= m), F.sequence(n - m, F.lit(0), F.lit(-1))).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.get(F.filter(starts, lambda i: F.slice(prompt, i + 1, m) == found), F.lit(0))
+    """Where, from 0, the prompt's ids last hold the response's in a row; null if nowhere. Ids have no line break in them.
 
+    The lists are compared as texts of one id a line, read from the back.
+    """
+    lines = lambda a: F.concat(F.lit("\n"), F.array_join(a, "\n"), F.lit("\n"))
 
-def best_overlap(prompt: list[str], found: list[str]) -> tuple[int, int] | None:
-    """The prompt range (from 0, end exclusive) with the most of the response's ids in order.
+    def before(texts: Column) -> Column:
+        at = F.call_function("locate", F.reverse(texts["found"]), F.reverse(texts["prompt"]))
+        head = F.substring(texts["prompt"], F.lit(1), F.length(texts["prompt"]) - (at - 1) - F.length(texts["found"]))
+        return F.when(at > 0, F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))))
 
-    From each place that has one of these ids, both lists are read in step: a prompt id that the response lacks is
-    passed over, and so is a response id that lies no more ahead. Of equal ranges the shortest, then the last, wins.
-    """
-    known, best = set(found), None
-    for start, name in enumerate(prompt):
-        if name not in known:
-            continue
-        ahead, p, r, hits, last = set(prompt[start:]), start, 0, 0, start - 1
-        while p < len(prompt) and r < len(found):
-            here = prompt[p]
-            if here == found[r]:
-                hits, last, r = hits + 1, p, r + 1
-            elif here in known and found[r] not in ahead:
-                r += 1
-                continue
-            ahead.discard(here)
-            p += 1
-        rank = (hits, -(last - start + 1), start, last)
-        if hits and (best is None or rank > best[0]):
-            best = rank, (start, last + 1)
-    return best and best[1]
+    texts = F.struct(lines(prompt).alias("prompt"), lines(found).alias("found"))
+    return F.when((F.size(found) > 0) & (F.size(prompt) >= F.size(found)), let(texts, before))
 
 
 @pandas_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))

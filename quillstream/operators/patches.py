@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from ..functions.arrays import find, index, let, running_sums
 from ..functions.diff import code_points, differences, repeats_run, shares_run
 
 OPS = "array<struct<start:int,end:int,text:string>>"
@@ -30,45 +31,47 @@ def ordered(ops: Column) -> Column:
 
 def checked(ops: Column) -> Column:
     """The patch in order; null if it is empty or malformed, or edits overlap."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok"), F.expr(f"cast(array() as {OPS})").alias("out"))
+    def right(a: Column) -> Column:
+        fits = lambda o, i: (o["start"] >= F.when(i > 0, F.get(a, i - 1)["end"]).otherwise(0)) & (o["start"] <= o["end"]) & o["text"].isNotNull()
+        return (F.size(a) > 0) & ~F.exists(F.transform(a, lambda o, i: F.coalesce(fits(o, i), F.lit(False))), lambda ok: ~ok)
 
-    def add(acc: Column, o: Column) -> Column:
-        ok = acc["ok"] & F.coalesce((o["start"] >= acc["at"]) & (o["start"] <= o["end"]) & o["text"].isNotNull(), F.lit(False))
-        return F.struct(F.coalesce(o["end"], F.lit(0)).alias("at"), ok.alias("ok"), F.array_append(acc["out"], o).cast(OPS).alias("out"))
-
-    return F.aggregate(ordered(ops), start, add, lambda acc: F.when(acc["ok"] & (F.size(acc["out"]) > 0), acc["out"]))
+    return let(ordered(ops), lambda a: F.when(right(a), a.cast(OPS)))
 
 
 def apply_patch(text: Column, ops: Column) -> Column:
     """The patched text; null if the patch doesn't fit it."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(True).alias("ok"))
-
-    def add(acc: Column, o: Column) -> Column:
-        fits = acc["ok"] & (o["start"] >= acc["at"]) & (o["end"] >= o["start"]) & (o["end"] <= F.length(text))
-        return F.struct(o["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, o["start"] - acc["at"]), o["text"]).alias("out"), fits.alias("ok"))
+    def patched(a: Column) -> Column:
+        since = lambda i: F.when(i > 0, F.get(a, i - 1)["end"]).otherwise(0)
+        pieces = F.transform(a, lambda o, i: F.concat(F.substring(text, since(i) + 1, o["start"] - since(i)), o["text"]))
+        end = F.get(a, F.size(a) - 1)["end"]
+        return F.when(end <= F.length(text), F.concat(F.array_join(pieces, ""), F.substring(text, end + 1, F.length(text))))
 
-    return F.aggregate(checked(ops), start, add, lambda acc: F.when(acc["ok"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+    return let(checked(ops), patched)
 
 
 def apply_to_segments(parsed: Column, patches: Column) -> Column:
     """Segments (structs with id and text) with their patches from map<id, ops> applied where they fit."""
-    patched = lambda s: F.coalesce(apply_patch(s["text"], F.try_element_at(patches, s["id"])), s["text"])
-    return F.transform(parsed, lambda s: F.struct(s["id"].alias("id"), patched(s).alias("text")))
+    def each(own: Column) -> Column:
+        patched = lambda s: F.coalesce(apply_patch(s["text"], F.get(own["ops"], find(own["ids"], s["id"]))), s["text"])
+        return F.transform(parsed, lambda s: F.struct(s["id"].alias("id"), patched(s).alias("text")))
+
+    own = F.coalesce(patches, F.expr(f"cast(map() as map<string,{OPS}>)"))
+    return let(F.struct(index(F.map_keys(own)).alias("ids"), F.map_values(own).alias("ops")), each)
 
 
 def highlight_ranges(ops: Column) -> Column:
     """array<struct<start, end>> of the inserted texts in the patched text."""
-    empty = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    def ranges(a: Column) -> Column:
+        grown = F.transform(a, lambda o: F.length(o["text"]) - (o["end"] - o["start"]))
+
+        def placed(sums: Column) -> Column:
+            at = lambda o, i: o["start"] + F.get(sums, i) - (F.length(o["text"]) - (o["end"] - o["start"]))
+            every = F.transform(a, lambda o, i: F.struct(at(o, i).alias("start"), (at(o, i) + F.length(o["text"])).alias("end")))
+            return F.filter(every, lambda r: r["start"] < r["end"])
 
-    def add(acc: Column, o: Column) -> Column:
-        at = acc["shift"] + o["start"]
-        n = F.length(o["text"])
-        return F.struct(
-            (acc["shift"] + n - (o["end"] - o["start"])).alias("shift"),
-            F.when(n > 0, F.concat(acc["out"], F.array(F.struct(at.alias("start"), (at + n).alias("end"))))).otherwise(acc["out"]).alias("out"),
-        )
+        return let(running_sums(grown), placed)
 
-    return F.coalesce(F.aggregate(checked(ops), F.struct(F.lit(0).alias("shift"), empty.alias("out")), add, lambda acc: acc["out"]), empty)
+    return F.coalesce(let(checked(ops), ranges), F.expr("cast(array() as array<struct<start:int,end:int>>)"))
 
 
 def merge_highlights(text: Column, highlights: Column) -> Column:

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import count_before, find, index, let
 from ..functions.text import DASH, MARKER_ID, MARKER_LETTERS, WS, marker_ids, normalize, segments, spans, trim, utf16_length
 
 ERROR = "struct<type:string,message:string,match:string,start:int,end:int,id:string,segment_start:int,segment_end:int>"
@@ -52,20 +53,34 @@ class Context:
     segments: Column  # of the response: array<struct<pos, id, text, head, start, end>>
     source: Column  # array<struct<id, text>>
     config: Config = field(default_factory=Config)
+    # the ids of both, as functions.arrays.index() has them; columns, as rules read them inside lambdas
+    segment_ids: Column | None = None
+    source_ids: Column | None = None
+
+    def home(self, start: Column, end: Column, name: Column | None = None) -> Column:
+        """The segment that is named, the first of its id, or else holds [start, end)."""
+        if name is not None:
+            found = index(F.transform(self.segments, lambda s: s["id"])) if self.segment_ids is None else self.segment_ids
+            return F.get(self.segments, find(found, name))
+        last = F.get(self.segments, count_before(self.segments, lambda s: s["start"] <= start) - 1)
+        return F.when(last["end"] >= end, last)
 
     def error(self, kind: str, message: Column, match: Column, start: Column, end: Column, name: Column | None = None) -> Column:
         """An error at [start, end) of the normalized response, within the segment that is named or else holds it."""
-        inside = lambda s: (start >= s["start"]) & (end <= s["end"])
-        home = F.get(F.filter(self.segments, inside if name is None else lambda s: s["id"] == name), F.lit(0))
-        place = lambda x: F.when(home.isNotNull(), F.greatest(home["start"], x) - home["start"])
-        return F.struct(
-            F.lit(kind).alias("type"), message.alias("message"), match.alias("match"), start.alias("start"), end.alias("end"),
-            (home["id"] if name is None else name).alias("id"), place(start).alias("segment_start"), place(end).alias("segment_end"),
-        ).cast(ERROR)
+        def row(x: Column) -> Column:
+            place = lambda at: F.when(x["home"].isNotNull(), F.greatest(x["home"]["start"], at) - x["home"]["start"])
+            return F.struct(
+                F.lit(kind).alias("type"), x["message"].alias("message"), x["match"].alias("match"), x["start"].alias("start"), x["end"].alias("end"),
+                (x["home"]["id"] if name is None else name).alias("id"), place(x["start"]).alias("segment_start"), place(x["end"]).alias("segment_end"),
+            ).cast(ERROR)
+
+        parts = F.struct(message.alias("message"), match.alias("match"), start.alias("start"), end.alias("end"), self.home(start, end, name).alias("home"))
+        return let(parts, row)
 
     def source_text(self, name: Column) -> Column:
         """The source text of an id, the last if there are more; null if there is none."""
-        return F.get(F.reverse(F.filter(self.source, lambda s: s["id"] == name)), F.lit(0))["text"]
+        found = index(F.transform(self.source, lambda s: s["id"])) if self.source_ids is None else self.source_ids
+        return F.get(self.source, find(found, name, last=True))["text"]
 
     def matches(self, kind: str, pattern: str, message: Callable[[Column], Column]) -> Column:
         """An error for each match in the whole response."""
@@ -218,13 +233,14 @@ def validate(df: DataFrame, *, response: str = "response", source: str = "source
     chosen = [(r, RULES[r]) if isinstance(r, str) else r for r in (rules if rules is not None else RULES)]
     df = df.withColumn("normalized", normalize(F.coalesce(F.col(response), F.lit(""))))
     df = df.withColumn("segments", segments(F.col("normalized")))
-    context = Context(F.col("normalized"), F.col("segments"), F.col(source), config)
+    df = df.withColumns({"_segment_ids": index(F.transform("segments", lambda s: s["id"])), "_source_ids": index(F.transform(source, lambda s: s["id"]))})
+    context = Context(F.col("normalized"), F.col("segments"), F.col(source), config, F.col("_segment_ids"), F.col("_source_ids"))
     named = lambda found, name: F.transform(found, lambda e: F.struct(F.lit(name).alias("rule"), e.alias("error")))
     flat = lambda found: F.transform(found, lambda x: F.struct(x["rule"].alias("rule"), *(x["error"][k].alias(k) for k in _FIELDS)))
     every = F.concat(*(named(f(context), name) for name, f in chosen)) if chosen else F.expr(f"cast(array() as array<struct<rule:string,error:{ERROR}>>)")
     raw = F.coalesce(F.col(response), F.lit(""))
     none = F.struct(F.lit("no_valid_markers").alias("type"), F.lit("No valid translation markers found").alias("message"), raw.alias("match"), F.lit(0).alias("start"), F.length(raw).alias("end"), *(F.lit(None).alias(k) for k in _FIELDS[5:])).cast(ERROR)
-    return df.withColumn("errors", flat(F.when(F.size("segments") == 0, named(F.array(none), "no_valid_markers")).otherwise(every)))
+    return df.withColumn("errors", flat(F.when(F.size("segments") == 0, named(F.array(none), "no_valid_markers")).otherwise(every))).drop("_segment_ids", "_source_ids")
 
 
 _FIELDS = ("type", "message", "match", "start", "end", "id", "segment_start", "segment_end")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import find, index, let, places
 from ..functions.text import normalize, segments, serialize, trim
 from ..functions.values import iso_seconds, translator_id
 from ..operators.alignment import align, alignment_errors, first_out_of_order, ids
@@ -22,9 +23,13 @@ EDITS = f"""patches map<string,variant>, skip array<string>, patchMetadata map<s
 _ERROR = "struct<rule:string,type:string,message:string,match:string,start:int,end:int,id:string,segment_start:int,segment_end:int>"
 
 
-def _text_of(parsed: Column, name: Column, last: bool) -> Column:
-    found = F.filter(parsed, lambda s: s["id"] == name)
-    return F.get(F.reverse(found) if last else found, F.lit(0))["text"]
+def _ids_of(parsed: Column) -> Column:
+    return index(F.transform(parsed, lambda s: s["id"]))
+
+
+def _text_of(parsed: Column, indexed: Column, name: Column, last: bool) -> Column:
+    """The text of an id in parsed, whose ids are indexed."""
+    return F.get(parsed, find(indexed, name, last))["text"]
 
 
 def segment_pairs(conversations: DataFrame) -> DataFrame:
@@ -64,22 +69,23 @@ def analyse(conversations: DataFrame, config: Config = Config()) -> DataFrame:
     rows = segment_pairs(conversations.withColumnRenamed("error", "_error")).withColumn("_edits", F.from_json("edits", EDITS))
     skips = clean_skips(F.col("_edits.skip"))
     rows = rows.withColumn("skips", F.array_distinct(skips))
-    base = F.transform("source", lambda s: F.struct(s["id"].alias("id"), F.coalesce(_text_of(F.col("segments"), s["id"], True), F.lit("")).alias("text")))
+    rows = rows.withColumn("_own", _ids_of(F.col("segments")))
+    base = F.transform("source", lambda s: F.struct(s["id"].alias("id"), F.coalesce(_text_of(F.col("segments"), F.col("_own"), s["id"], True), F.lit("")).alias("text")))
     rows = rows.withColumn("_base", base).withColumn("base_texts", F.col("segments"))
+    rows = rows.withColumns({"_keys": index(F.map_keys("_edits.patches")), "_values": F.map_values("_edits.patches"), "_skipped": index(F.col("skips")), "_places": _ids_of(F.col("_base"))})
     kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
-    own = lambda s: F.try_element_at(F.col("_edits.patches"), s["id"])
+    own = lambda s: F.get(F.col("_values"), find(F.col("_keys"), s["id"]))
     ops = lambda s: F.when(kind(own(s)).startswith("OBJECT"), checked(F.from_json(F.to_json(F.struct(own(s).alias("p"))), f"p struct<ops:{OPS}>")["p"]["ops"]))
     rows = rows.withColumn("_each", F.transform("_base", lambda s: F.struct(s["id"].alias("id"), ops(s).alias("ops"))))
-    repeated = lambda x, i: F.exists(F.slice("_each", F.lit(1), i), lambda y: y["id"] == x["id"])
-    rows = rows.withColumn("_found", F.filter("_each", lambda x, i: x["ops"].isNotNull() & ~repeated(x, i)))
+    rows = rows.withColumn("_found", F.filter("_each", lambda x, i: x["ops"].isNotNull() & (find(F.col("_places"), x["id"]) == i)))
     rows = _legacy(rows, kind)
     rows = rows.withColumn("patches", F.map_from_entries("_found")).withColumn("patched_ids", ids(F.col("_found")))
     rows = rows.withColumn("translated", apply_to_segments(F.col("_base"), F.col("patches")))
-    left = lambda a: F.filter(a, lambda s: ~F.array_contains("skips", s["id"]))
+    left = lambda a: F.filter(a, lambda s: find(F.col("_skipped"), s["id"]).isNull())
     rows = rows.withColumns({"all_source": F.col("source"), "source": left("source"), "_rebuilt": serialize(left("translated"))})
     rows = _with_errors(rows, "_rebuilt", config)
-    hidden = F.array_union("patched_ids", "skips")
-    visible = F.filter("errors", lambda e: e["id"].isNull() | ~F.array_contains(hidden, e["id"]))
+    rows = rows.withColumn("_hidden", index(F.array_union("patched_ids", "skips")))
+    visible = F.filter("errors", lambda e: e["id"].isNull() | find(F.col("_hidden"), e["id"]).isNull())
     rows = rows.withColumns({"visible_errors": visible, "patches_applied": F.size("patched_ids"), "translator": translator_id(F.col("model"))})
     when = F.coalesce(iso_seconds(F.col("updated_at")), iso_seconds(F.col("created_at")))
     excerpt = lambda s, i: F.struct(i.alias("pos"), s["id"].alias("id"), s["text"].alias("nass"), F.get("segments", i)["text"].alias("text"), F.col("translator").alias("translator"), when.alias("last_updated_at"))
@@ -100,11 +106,11 @@ def analyse(conversations: DataFrame, config: Config = Config()) -> DataFrame:
 
 def _legacy(rows: DataFrame, kind) -> DataFrame:
     """Patches that are unified diffs, added to _found; files without one are null to the Python that reads them."""
-    diff = lambda s: F.try_element_at(F.col("_edits.patches"), s["id"])
-    rows = rows.withColumn("_old", F.filter("_base", lambda s: kind(diff(s)) == "STRING"))
+    own = F.transform("_base", lambda s: let(F.get(F.col("_values"), find(F.col("_keys"), s["id"])), lambda v: F.struct(
+        s["id"].alias("id"), s["text"].alias("text"), F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string")).alias("diff"))))
+    rows = rows.withColumn("_old", F.filter(own, lambda s: s["diff"].isNotNull()))
     some = F.size("_old") > 0
-    texts, diffs = F.transform("_old", lambda s: s["text"]), F.transform("_old", lambda s: F.try_variant_get(diff(s), "$", "string"))
-    rows = rows.withColumn("_made", legacy_patches(F.when(some, texts), F.when(some, diffs)))
+    rows = rows.withColumn("_made", legacy_patches(F.when(some, F.col("_old.text")), F.when(some, F.col("_old.diff"))))
     pairs = F.zip_with("_old", F.coalesce("_made", F.expr(f"cast(array() as array<{OPS}>)")), lambda s, o: F.struct(s["id"].alias("id"), o.alias("ops")))
     made = F.filter(pairs, lambda x: x["ops"].isNotNull())
     return rows.withColumn("_found", F.when(some, F.concat("_found", made)).otherwise(F.col("_found"))).drop("_old", "_made")
@@ -130,27 +136,34 @@ def invalid_excerpts(analyses: DataFrame) -> DataFrame:
     Rows: path, row_order, id, model, arabic, base_translation, translation, error_types, messages, leak_hints,
     caps_hints, ranges. Excerpts of the source come in its order, then other ids, then the file's own row.
     """
-    bad = F.col("visible_errors")
-    of = lambda name: F.filter(bad, lambda e: e["id"].eqNullSafe(name))
-    named = F.array_distinct(F.filter(ids(bad), lambda x: x.isNotNull()))
     hints = lambda found, kind: F.array_distinct(F.filter(F.transform(F.filter(found, lambda e: e["type"] == kind), lambda e: trim(e["match"])), lambda x: x != ""))
     ranges = lambda found: F.transform(F.filter(found, lambda e: e["segment_start"].isNotNull()), lambda e: F.struct(e["segment_start"].alias("start"), e["segment_end"].alias("end")))
-    listed = F.filter("source", lambda s: F.array_contains(named, s["id"]))
-    extra = F.filter(named, lambda x: ~F.array_contains(ids(F.col("source")), x))
-    rows = F.concat(
-        F.transform(listed, lambda s: F.struct(s["id"].alias("id"), s["text"].alias("arabic"))), F.transform(extra, lambda x: F.struct(x.alias("id"), F.lit(None).cast("string").alias("arabic"))),
-        F.filter(F.array(F.struct(F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("arabic"))), lambda _: F.exists(bad, lambda e: e["id"].isNull())),
+    bad = F.col("visible_errors")
+    rows = analyses.where(F.size("visible_errors") > 0).select(
+        "path", "model", "visible_errors", "source", "base_texts", "translated", _ids_of(bad).alias("_of"), _ids_of(F.col("source")).alias("_listed"), _ids_of(F.col("base_texts")).alias("_base"),
+        _ids_of(F.col("translated")).alias("_new"), F.array_distinct(F.filter(ids(bad), lambda x: x.isNotNull())).alias("_named"),
+    )
+    listed = F.filter("source", lambda s: find(F.col("_of"), s["id"]).isNotNull())
+    extra = F.filter("_named", lambda x: find(F.col("_listed"), x).isNull())
+    none = F.lit(None).cast("string")
+    shown = F.concat(
+        F.transform(listed, lambda s: F.struct(s["id"].alias("id"), s["text"].alias("arabic"))), F.transform(extra, lambda x: F.struct(x.alias("id"), none.alias("arabic"))),
+        F.filter(F.array(F.struct(none.alias("id"), none.alias("arabic"))), lambda _: F.exists(bad, lambda e: e["id"].isNull())),
     )
-    exploded = analyses.where(F.size("visible_errors") > 0).select("path", "model", "visible_errors", "base_texts", "translated", F.posexplode(rows).alias("row_order", "r"))
-    exploded = exploded.withColumn("_own", of(F.col("r.id"))).withColumn("id", F.col("r.id"))
-    known = F.col("id").isNotNull()
-    nothing = F.expr("cast(array() as array<string>)")
-    base, new = _text_of(F.col("base_texts"), F.col("id"), True), _text_of(F.col("translated"), F.col("id"), True)
+
+    def joined(r: Column) -> Column:
+        """A row with its texts and errors, so that no row carries those of others out of its file."""
+        own = F.when(r["id"].isNull(), F.filter(bad, lambda e: e["id"].isNull())).otherwise(F.transform(places(F.col("_of"), r["id"]), lambda k: F.get(bad, k)))
+        base, new = (_text_of(F.col(texts), F.col(of), r["id"], True) for texts, of in (("base_texts", "_base"), ("translated", "_new")))
+        return F.struct(r["id"].alias("id"), r["arabic"].alias("arabic"), own.alias("own"), base.alias("base"), new.alias("new"))
+
+    exploded = rows.select("path", "model", F.transform(shown, joined).alias("_rows")).select("path", "model", F.posexplode("_rows").alias("row_order", "r"))
+    nothing, known, own = F.expr("cast(array() as array<string>)"), F.col("r.id").isNotNull(), F.col("r.own")
     return exploded.select(
-        "path", "row_order", "id", "model", F.col("r.arabic").alias("arabic"), F.coalesce(base, F.when(F.col("r.arabic").isNull(), new)).alias("base_translation"), new.alias("translation"),
-        F.array_distinct(F.transform("_own", lambda e: e["type"])).alias("error_types"), F.transform("_own", lambda e: e["message"]).alias("messages"),
-        F.when(known, hints(F.col("_own"), "arabic_leak")).otherwise(nothing).alias("leak_hints"), F.when(known, hints(F.col("_own"), "all_caps")).otherwise(nothing).alias("caps_hints"),
-        F.when(known, ranges(F.col("_own"))).otherwise(F.expr(f"cast(array() as array<{_RANGE}>)")).alias("ranges"),
+        "path", "row_order", F.col("r.id").alias("id"), "model", F.col("r.arabic").alias("arabic"), F.coalesce("r.base", F.when(F.col("r.arabic").isNull(), F.col("r.new"))).alias("base_translation"),
+        F.col("r.new").alias("translation"), F.array_distinct(F.transform(own, lambda e: e["type"])).alias("error_types"), F.transform(own, lambda e: e["message"]).alias("messages"),
+        F.when(known, hints(own, "arabic_leak")).otherwise(nothing).alias("leak_hints"), F.when(known, hints(own, "all_caps")).otherwise(nothing).alias("caps_hints"),
+        F.when(known, ranges(own)).otherwise(F.expr(f"cast(array() as array<{_RANGE}>)")).alias("ranges"),
     )
 
 
@@ -162,11 +175,21 @@ def fixable(rows: DataFrame, error_type: str | None = None) -> DataFrame:
 
 def review_rows(analyses: DataFrame) -> DataFrame:
     """A row for each source segment, skipped ones too: path, pos, id, arabic, base_translation, translation, has_patch, is_skipped, is_missing, messages."""
-    shown = F.filter("errors", lambda e: e["id"].isNull() | ~F.array_contains("skips", e["id"]))
-    rows = analyses.where("errors is not null").select("path", "base_texts", "translated", "patches", "skips", shown.alias("shown"), F.posexplode("all_source").alias("pos", "s"))
-    base = _text_of(F.col("base_texts"), F.col("s.id"), False)
-    return rows.select(
-        "path", "pos", F.col("s.id").alias("id"), F.col("s.text").alias("arabic"), base.alias("base_translation"), _text_of(F.col("translated"), F.col("s.id"), False).alias("translation"),
-        F.map_contains_key("patches", F.col("s.id")).alias("has_patch"), F.array_contains("skips", F.col("s.id")).alias("is_skipped"), (F.coalesce(F.length(base), F.lit(0)) == 0).alias("is_missing"),
-        F.transform(F.filter("shown", lambda e: e["id"] == F.col("s.id")), lambda e: e["message"]).alias("messages"),
+    errors = F.filter("errors", lambda e: e["id"].isNotNull())
+    rows = analyses.where("errors is not null").select(
+        "path", "base_texts", "translated", "all_source", errors.alias("_errors"), index(F.col("skips")).alias("_skips"), index(F.map_keys("patches")).alias("_patches"), _ids_of(F.col("base_texts")).alias("_base"),
+        _ids_of(F.col("translated")).alias("_new"),
+    )
+    rows = rows.withColumn("_of", _ids_of(F.col("_errors")))
+
+    def joined(s: Column) -> Column:
+        base, new = (_text_of(F.col(texts), F.col(of), s["id"], False) for texts, of in (("base_texts", "_base"), ("translated", "_new")))
+        skipped = find(F.col("_skips"), s["id"]).isNotNull()
+        said = F.when(skipped, F.expr("cast(array() as array<string>)")).otherwise(F.transform(places(F.col("_of"), s["id"]), lambda k: F.get("_errors", k)["message"]))
+        return F.struct(s["id"].alias("id"), s["text"].alias("arabic"), base.alias("base"), new.alias("new"), find(F.col("_patches"), s["id"]).isNotNull().alias("has_patch"), skipped.alias("is_skipped"), said.alias("messages"))
+
+    exploded = rows.select("path", F.transform("all_source", joined).alias("_rows")).select("path", F.posexplode("_rows").alias("pos", "r"))
+    return exploded.select(
+        "path", "pos", "r.id", "r.arabic", F.col("r.base").alias("base_translation"), F.col("r.new").alias("translation"), "r.has_patch", "r.is_skipped",
+        (F.coalesce(F.length("r.base"), F.lit(0)) == 0).alias("is_missing"), "r.messages",
     )

@@ -1,6 +1,7 @@
 import pytest
 
-from quillstream.operators.alignment import align, best_overlap
+from quillstream.functions.overlap import best_overlap
+from quillstream.operators.alignment import align
 from pyspark.sql import functions as F
 
 
