@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.values import estimate_tokens, provider, sha256, thinking_bucket, translator_id
-from ..operators import alignment, corpus, corrections, files, packing, patches, playback
+from ..operators import alignment, corpus, corrections, files, packing, patches, playback, tree
 from ..operators.rules import RULES, caps_runs, validate
 from ..streaming import ingest
 from .tables import shared_folder
@@ -470,13 +470,29 @@ def align_fallback(spark, sf_dir):
 UNION ALL SELECT w.conv_id, w.turn - 1, depth + 1 FROM walk w JOIN conversations c ON c.conv_id = w.conv_id AND c.turn = w.turn - 1)
 SELECT conv_id, string_agg(turn::VARCHAR, '>' ORDER BY turn) AS chain, max(depth)::BIGINT AS depth FROM walk GROUP BY conv_id""")
 def conv_chain(spark, sf_dir):
-    from ..sources.conversations import chain_ids
+    from ..sources.conversations import chain_places
 
-    rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("turn").cast("string"), (F.col("turn") - 1).cast("string")))).alias("parents"), F.max("turn").cast("string").alias("start")
-    )
-    path = F.reverse(chain_ids(F.col("parents"), F.col("start")))
-    return rows.select("conv_id", F.array_join(path, ">").alias("chain"), F.size(path).cast("long").alias("depth"))
+    turns = F.array_sort(F.collect_list(F.col("turn")))
+    rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    rows = rows.withColumns({"nodes": F.transform("turns", lambda t: t.cast("string")), "parents": F.transform("turns", lambda t: (t - 1).cast("string")), "start": F.array_max("turns").cast("string")})
+    rows = rows.withColumn("path", F.transform(F.reverse(chain_places(F.col("nodes"), F.col("parents"), F.col("start"))), lambda p: F.get("nodes", p)))
+    return rows.select("conv_id", F.array_join("path", ">").alias("chain"), F.size("path").cast("long").alias("depth"))
+
+
+#: Each turn answers the one before, or the one before that; the first answers itself in every fifth conversation, a turn that isn't there in others.
+_PARENT = "CASE WHEN turn = 0 AND conv_id % 5 = 0 THEN turn ELSE turn - 1 - CASE WHEN turn % 4 = 3 OR length(text) % 7 = 0 THEN 1 ELSE 0 END END"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT conv_id, turn, {_PARENT} AS parent FROM conversations),
+walk AS (SELECT conv_id, max(turn) AS turn, 0::BIGINT AS steps FROM conversations GROUP BY conv_id
+UNION ALL SELECT w.conv_id, e.parent, steps + 1 FROM walk w JOIN e ON e.conv_id = w.conv_id AND e.turn = w.turn WHERE e.parent < w.turn AND EXISTS (SELECT 1 FROM e x WHERE x.conv_id = e.conv_id AND x.turn = e.parent))
+SELECT conv_id, turn, steps FROM walk""")
+def conv_ancestors(spark, sf_dir):
+    """The way from each conversation's last turn up, a row for each turn on it: no conversation is collected."""
+    turns = _table(spark, sf_dir, "conversations")
+    edges = turns.select(F.col("conv_id").alias("conversation"), F.col("turn").alias("node"), F.expr(_PARENT).alias("parent"))
+    found = tree.ancestors(edges, edges.groupBy("conversation").agg(F.max("node").alias("node")))
+    return found.select(F.col("conversation").alias("conv_id"), F.col("node").alias("turn"), "steps")
 
 
 @query("SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING') THEN 'ChatGPT' WHEN c_mktsegment = 'MACHINERY' THEN 'Grok' WHEN c_mktsegment = 'FURNITURE' THEN 'Gemini' ELSE 'Unknown' END AS provider, CASE c_mktsegment WHEN 'BUILDING' THEN 903 WHEN 'MACHINERY' THEN 895 WHEN 'FURNITURE' THEN 901 ELSE 0 END AS translator FROM customer")

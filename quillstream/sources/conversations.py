@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import find, index, let
 from ..functions.text import trim
 from ..functions.values import is_openai, iso_text, model_name, provider
 
@@ -131,17 +132,28 @@ def _fact(m: Column) -> Column:
     )
 
 
-def chain_ids(parents: Column, start: Column) -> Column:
-    """The node ids from start up to the root, by map<node, parent>; a cycle or an unknown node ends them."""
-    acc = F.struct(start.alias("next"), F.expr(_NONE).alias("out"))
+def chain_places(nodes: Column, parents: Column, start: Column) -> Column:
+    """The places in nodes from start up to the root; a cycle or an unknown node ends them.
 
-    def up(a: Column, _: Column) -> Column:
-        go = F.coalesce(F.map_contains_key(parents, a["next"]) & ~F.array_contains(a["out"], a["next"]), F.lit(False))
-        return F.struct(
-            F.when(go, F.try_element_at(parents, a["next"])).alias("next"), F.when(go, F.array_append(a["out"], a["next"])).otherwise(a["out"]).alias("out")
-        )
+    nodes and parents are columns with arrays of ids, start a column with one. Where each node's 1st, 2nd, 4th ... ancestor stands is worked out by doubling; the k-th
+    ancestor of the start is reached through these by the bits of k.
+    """
+    n = F.size(nodes)
+    bits = F.when(n > 1, F.sequence(F.lit(1), F.ceil(F.log2(n)).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+    doubled = lambda tables, _: let(F.get(tables, F.size(tables) - 1), lambda up: F.array_append(tables, F.transform(up, lambda p: F.get(up, p))))
+
+    def walk(tables: Column, first: Column) -> Column:
+        climb = lambda k: F.aggregate(F.sequence(F.lit(0), F.size(tables) - 1), first, lambda at, b: F.when(F.call_function("getbit", k, b) == 1, F.get(F.get(tables, b), at)).otherwise(at))
+        met = F.filter(F.transform(F.sequence(F.lit(0), n - 1), climb), lambda p: p.isNotNull())
+        # what is met again is on a cycle, and so is all behind it
+        return let(met, lambda m: let(index(m), lambda seen: F.filter(m, lambda p, i: find(seen, p) == i)))
+
+    def placed(ids: Column) -> Column:
+        up = F.transform(parents, lambda p: find(ids, p))
+        tables = F.aggregate(bits, F.array(up), doubled)
+        return let(find(ids, start), lambda first: F.when(first.isNull(), F.expr("cast(array() as array<int>)")).otherwise(let(tables, lambda t: walk(t, first))))
 
-    return F.aggregate(F.map_keys(parents), acc, up, lambda a: a["out"])
+    return F.when(n > 0, let(index(nodes), placed)).otherwise(F.expr("cast(array() as array<int>)"))
 
 
 def _tree_steps(rows: DataFrame) -> DataFrame:
@@ -154,11 +166,9 @@ def _tree_steps(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_newest", newest)
     current = F.exists("_nodes", lambda n: (n["node"] == tree["current_node"]) & n["some"])
     rows = rows.withColumn("_start", F.when(current, tree["current_node"]).otherwise(F.get("_newest", F.lit(0))["node"]))
-    rows = rows.withColumn("_parents", F.map_from_entries(F.transform("_nodes", lambda n: F.struct(n["node"], n["parent"]))))
-    rows = rows.withColumn("_path", F.reverse(chain_ids(F.col("_parents"), F.col("_start"))))
-    facts = F.map_from_entries(F.transform(F.filter("_nodes", lambda n: n["some"]), lambda n: F.struct(n["node"], n["m"])))
-    rows = rows.withColumn("_facts", facts)
-    rows = rows.withColumn("_chain", F.filter(F.transform("_path", lambda x: F.try_element_at("_facts", x)), lambda m: m.isNotNull()))
+    rows = rows.withColumns({"_ids": F.col("_nodes.node"), "_parents": F.col("_nodes.parent")})
+    rows = rows.withColumn("_path", F.reverse(chain_places(F.col("_ids"), F.col("_parents"), F.col("_start"))))
+    rows = rows.withColumn("_chain", F.transform(F.filter(F.transform("_path", lambda p: F.get("_nodes", p)), lambda n: n["some"]), lambda n: n["m"]))
     at = lambda cond: F.coalesce(F.array_max(F.transform("_chain", lambda m, i: F.when(cond(m, i), i))), F.lit(-1))
     rows = rows.withColumn("_last", at(lambda m, i: (m["role"] == "assistant") & ((m["text"] != "") | (F.size(m["fragments"]) > 0))))
     rows = rows.withColumn("_user", F.when(F.col("_last") >= 0, at(lambda m, i: (m["role"] == "user") & (i < F.col("_last")))).otherwise(-1))
@@ -178,7 +188,7 @@ def _tree_steps(rows: DataFrame) -> DataFrame:
     return rows.withColumn("common", _row(
         F.nullif(tree["conversation_id"], F.lit("")), F.nullif(tree["title"], F.lit("")), provider(F.col("_model")), F.col("_model"), prompt, response, reasoning, seconds,
         iso_text(tree["create_time"]), iso_text(tree["update_time"]),
-    )).drop("_nodes", "_newest", "_start", "_parents", "_path", "_facts", "_chain", "_last", "_user", "_turn", "_model")
+    )).drop("_nodes", "_newest", "_start", "_ids", "_parents", "_path", "_chain", "_last", "_user", "_turn", "_model")
 
 
 def _is_tree(v: Column, root: str) -> Column:
