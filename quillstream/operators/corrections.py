@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import trim
+from .running import ranks
 from .rules import ARABIC
 
 _CORRECTIONS = T.ArrayType(T.StructType([T.StructField(k, T.StringType()) for k in ("id", "match", "replacement")]))
@@ -113,8 +114,17 @@ def unmatched(rows: DataFrame, corrections: DataFrame) -> DataFrame:
     return corrections.join(rows.select("path", "id"), ["path", "id"], "left_anti")
 
 
+def sightings(observations: DataFrame) -> DataFrame:
+    """(match, position, path, id, replacement, is_new) of observations(pos, match, path, id, replacement): every sighting of a match in order, from 1, and whether its
+    replacement is the first of its kind. A match may have any number."""
+    rows = ranks(observations.withColumn("match", trim(F.col("match"))).where("match <> ''"), ["match"], ["pos", "path", "id", "replacement"], "position")
+    first = rows.groupBy("match", "replacement").agg(F.min("position").alias("position")).withColumn("is_new", F.lit(True))
+    rows = rows.alias("r").hint("merge").join(first.alias("f"), (F.col("r.match") == F.col("f.match")) & F.col("r.replacement").eqNullSafe(F.col("f.replacement")) & (F.col("r.position") == F.col("f.position")), "left")
+    return rows.select("r.match", "r.position", "r.path", "r.id", "r.replacement", F.coalesce("f.is_new", F.lit(False)).alias("is_new"))
+
+
 def dictionary(observations: DataFrame) -> DataFrame:
-    """(match, observations, responses) of observations(pos, match, path, id, replacement): all sightings, and each replacement once, in order."""
+    """(match, observations, responses) of observations(pos, match, path, id, replacement): all sightings, and each replacement once, in order, as arrays: for matches of a size to be read."""
     rows = observations.withColumn("match", trim(F.col("match"))).where("match <> ''")
     grouped = rows.groupBy("match").agg(F.array_sort(F.collect_list(F.struct("pos", "path", "id", "replacement"))).alias("seen"))
     return grouped.select(

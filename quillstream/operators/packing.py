@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trim
 from ..functions.values import Estimator, estimate_tokens
-from .running import CHUNK, positions, running_sum
+from .running import beside, positions, ranks, running_sums
 
 # fixed values: the groups of the token limits and the defaults of the pages and payloads
 TOKEN_LIMITS = (("5k", 5_000), ("11k", 11_000), ("16k", 16_000), ("all", None))
 PAGE_SIZE, MAX_PAGE_SIZE, MAX_IDS, MAX_MAX_IDS = 5, 100, 500, 2_000
 PAYLOAD_TOKENS, MAX_PAYLOAD_TOKENS, PAYLOAD_ITEMS, MAX_PAYLOAD_ITEMS = 4_000, 200_000, 10_000, 100_000
 _ORDER = {"place": "idx", "within": ["collection_order"]}
+_KEYS = ["collection_order", "idx"]
 
 
 def line(prefix: str = "id", text: str = "nass") -> Column:
@@ -32,7 +33,7 @@ def overhead(chars: int) -> Column:
 def token_groups(queue: DataFrame, base_tokens: int = 0, estimate: Estimator = estimate_tokens) -> DataFrame:
     """queue with tokens, running (from base_tokens) and group_no: the first limit that holds the running total."""
     cost = estimate(F.coalesce("nass", F.lit(""))) + overhead(5)
-    rows = positions(running_sum(queue.withColumn("tokens", cost.cast("long")), F.col("tokens"), "running", **_ORDER), **_ORDER)
+    rows = running_sums(queue.withColumn("tokens", cost.cast("long")), {"running": F.col("tokens"), "position": F.lit(1)}, _KEYS)
     rows = rows.withColumn("running", F.col("running") + base_tokens)
     number = F.lit(len(TOKEN_LIMITS) - 1)
     for i, (_, limit) in reversed(list(enumerate(TOKEN_LIMITS[:-1]))):
@@ -57,7 +58,7 @@ def budget(queue: DataFrame, max_tokens: int, prompt: str = "", estimate: Estima
     if max_items is not None:
         queue = queue.orderBy("collection_order", "idx").limit(max_items)
     cost = estimate(line()) if cost is None else cost
-    rows = positions(running_sum(queue.withColumn("tokens", cost.cast("long")), F.col("tokens"), "running", **_ORDER), **_ORDER)
+    rows = running_sums(queue.withColumn("tokens", cost.cast("long")), {"running": F.col("tokens"), "position": F.lit(1)}, _KEYS)
     return rows.withColumn("running", F.col("running") + base).where((F.col("running") <= max_tokens) & (base <= max_tokens))
 
 
@@ -104,7 +105,8 @@ def picked(queue: DataFrame, end_index: int | None, max_ids: int = MAX_IDS) -> D
     """(position, id, nass) of the displayed ids up to and including end_index, from 0; of a repeated id the last item's nass. None picks nothing."""
     shown = positions(queue.orderBy("collection_order", "idx").limit(min(max_ids, MAX_MAX_IDS)), **_ORDER).select("position", "id")
     picked_ids = shown.where(F.col("position") <= (-1 if end_index is None else end_index) + 1)
-    items = queue.groupBy("id").agg(F.max_by("nass", F.struct("collection_order", "idx")).alias("nass"))
+    # only items of the few ids that are shown
+    items = queue.join(F.broadcast(picked_ids.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.max_by("nass", F.struct("collection_order", "idx")).alias("nass"))
     return picked_ids.join(items, "id").select("position", "id", "nass")
 
 
@@ -119,16 +121,8 @@ def whole_number(value: str | None, default: int, most: int | None = None, least
 
 
 def neighbours(queue: DataFrame) -> DataFrame:
-    """(id, prev_id, next_id) in queue order: within chunks of the order, and over the chunks' first and last rows."""
-    keys = ["collection_order", "_chunk"]
-    rows = queue.select("collection_order", "idx", "id").withColumn("_chunk", F.floor(F.col("idx") / CHUNK))
-    inside = Window.partitionBy(*keys).orderBy("idx")
-    rows = rows.withColumns({"prev": F.lag(F.struct("id")).over(inside), "next": F.lead(F.struct("id")).over(inside)})
-    ends = rows.groupBy(*keys).agg(F.min_by("id", "idx").alias("first"), F.max_by("id", "idx").alias("last"))
-    order = Window.orderBy(*keys)  # one row for each chunk of CHUNK places
-    ends = ends.select(*keys, F.lag("last").over(order).alias("before"), F.lead("first").over(order).alias("after"))
-    side = lambda own, border: F.when(F.col(own).isNotNull(), F.col(f"{own}.id")).otherwise(F.col(border))
-    return rows.join(ends, keys).select("id", side("prev", "before").alias("prev_id"), side("next", "after").alias("next_id"))
+    """(id, prev_id, next_id) in queue order."""
+    return beside(queue.select(*_KEYS, "id"), "id", _KEYS).select("id", F.col("prev").alias("prev_id"), F.col("next").alias("next_id"))
 
 
 def chunks(rows: DataFrame, size: int, *, place: str, within: Sequence[str] = ()) -> DataFrame:
@@ -150,5 +144,5 @@ def checkpoint_matches(version: int | None, checkpoint_mtime_ms: float | None, s
 
 
 def first_seen(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """rows with is_first: the first of each key in the given order."""
-    return rows.withColumn("is_first", F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1)
+    """rows with is_first: the first of each key in the given order, which has no ties."""
+    return ranks(rows, [key], order, "_rank").withColumn("is_first", F.col("_rank") == 1).drop("_rank")

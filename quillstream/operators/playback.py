@@ -5,10 +5,11 @@ Candidates: file_order, path, pos, id, text, translator, last_updated_at. Target
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .corpus import is_translated
+from .running import ranks
 
 
 def target_states(segments: DataFrame) -> DataFrame:
@@ -21,38 +22,50 @@ def classify(candidates: DataFrame, segments: DataFrame) -> DataFrame:
     """candidates with state: unknown, already_translated or playable; and nth, a playable's rank of its id."""
     rows = candidates.join(target_states(segments), "id", "left")
     state = F.when(F.col("places").isNull(), "unknown").when(F.col("full"), "already_translated").otherwise("playable")
-    rows = rows.withColumn("state", state)
-    # rows that aren't playable share no rank: they are spread by their own place
-    spread = F.when(F.col("state") == "playable", F.lit(0)).otherwise(F.xxhash64("file_order", "pos"))
-    rank = F.row_number().over(Window.partitionBy("id", spread).orderBy("file_order", "pos"))
-    return rows.withColumn("nth", F.when(F.col("state") == "playable", rank)).drop("places", "full")
+    rows = ranks(rows.withColumn("state", state).drop("places", "full"), ["id"], ["file_order", "pos"], "nth")
+    return rows.withColumn("nth", F.when(F.col("state") == "playable", F.col("nth")))
 
 
-def issues(classified: DataFrame) -> DataFrame:
-    """(kind, id, paths): the files, sorted, behind unknown, already translated and duplicate ids."""
-    # partial sums first, and a join that splits a very common id
+def issue_rows(classified: DataFrame) -> DataFrame:
+    """(kind, id, path): each file behind an unknown, already translated or duplicate id, once."""
     twice = classified.where("nth = 2").select("id", F.lit(True).alias("twice"))
     kind = F.when(F.col("state") != "playable", F.col("state")).when(F.col("twice"), "duplicate")
-    found = classified.join(twice, "id", "left").withColumn("kind", kind).where("kind is not null")
-    return found.groupBy("kind", "id").agg(F.array_join(F.array_sort(F.collect_set("path")), ",").alias("paths"))
+    # a join that splits a very common id, and partial sums before its rows meet
+    found = classified.hint("merge").join(twice, "id", "left").withColumn("kind", kind).where("kind is not null")
+    return found.select("kind", "id", "path").distinct()
+
+
+def issues(classified: DataFrame) -> DataFrame:
+    """(kind, id, paths): issue_rows() with the files of an id as one text, sorted: for ids of a size to be read."""
+    return issue_rows(classified).groupBy("kind", "id").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("paths"))
+
+
+_ALT = "array<struct<text:string,translator:int,last_updated_at:bigint>>"
+
+
+def alternatives(classified: DataFrame) -> DataFrame:
+    """(id, position, path, text, translator, last_updated_at): the playable candidates behind the first of their id, in file order, from 1."""
+    return classified.where("nth > 1").select("id", (F.col("nth") - 1).alias("position"), "path", "text", "translator", "last_updated_at")
 
 
-def merge(segments: DataFrame, classified: DataFrame) -> DataFrame:
-    """segments with text, translator, last_updated_at of their first playable candidate, and alt of the others.
+def merge(segments: DataFrame, classified: DataFrame, arrays: bool = True) -> DataFrame:
+    """segments with text, translator, last_updated_at of their first playable candidate, and alt with the others added.
 
-    alt is array<struct<text, translator, last_updated_at>> in file order. A corpus with repeated ids stays as it is.
+    alt is array<struct<text, translator, last_updated_at>> in file order. Without arrays it stays as it is: alternatives() has the others as rows, for
+    ids with very many. A corpus with repeated ids stays as it is.
     """
     blocked = segments.groupBy("id").count().where("count > 1").limit(1).agg((F.count(F.lit(1)) > 0).alias("blocked"))
-    first = F.min_by(F.struct("text", "translator", "last_updated_at"), F.col("nth"))
-    rest = F.array_sort(F.collect_list(F.when(F.col("nth") > 1, F.struct("nth", "text", "translator", "last_updated_at"))))
-    found = classified.where("state = 'playable'").groupBy("id").agg(first.alias("first"), rest.alias("rest"))
-    rows = segments.join(found, "id", "left").join(F.broadcast(blocked))  # one row
+    firsts = classified.where("nth = 1").select("id", F.struct("text", "translator", "last_updated_at").alias("first"))
+    rows = segments.join(firsts, "id", "left").join(F.broadcast(blocked))  # one row
     use = F.col("first").isNotNull() & ~F.col("blocked")
+    if arrays:
+        rest = F.array_sort(F.collect_list(F.struct("position", "text", "translator", "last_updated_at")))
+        rows = rows.join(alternatives(classified).groupBy("id").agg(rest.alias("rest")), "id", "left")
     pick = lambda c: F.when(use, F.col(f"first.{c}")).otherwise(F.col(c)).alias(c)
-    alt = F.transform("rest", lambda x: F.struct(x["text"].alias("text"), x["translator"].alias("translator"), x["last_updated_at"].alias("last_updated_at")))
     kept = [c for c in segments.columns if c not in ("text", "translator", "last_updated_at", "alt")]
-    none = F.expr("cast(array() as array<struct<text:string,translator:int,last_updated_at:bigint>>)")
+    none = F.expr(f"cast(array() as {_ALT})")
     old = F.col("alt") if "alt" in segments.columns else none
+    alt = F.coalesce(F.transform("rest", lambda x: F.struct(x["text"].alias("text"), x["translator"].alias("translator"), x["last_updated_at"].alias("last_updated_at"))), none) if arrays else none
     return rows.select(*kept, *map(pick, ("text", "translator", "last_updated_at")), F.when(use, F.concat(old, alt)).otherwise(old).alias("alt"))
 
 

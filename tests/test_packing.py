@@ -45,16 +45,54 @@ def test_resume(spark, queue):
     assert packing.checkpoint_matches(1, 10.468, 10) and not packing.checkpoint_matches(1, 11, 10) and not packing.checkpoint_matches(2, 10, 10)
 
 
-@pytest.mark.parametrize("chunk", [1, 3, 1000])
-def test_running_sums_do_not_depend_on_chunks(spark, chunk):
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_running_sums_do_not_depend_on_parts(spark, parts):
     rows = spark.createDataFrame([(g, i * 7 % 20, i) for g in (2, 1) for i in range(20)], "g int, place long, v long")
-    out = running.running_sum(rows, F.col("v"), "total", place="place", within=["g"], chunk=chunk).orderBy("g", "place").collect()
+    out = running.running_sum(rows, F.col("v"), "total", place="place", within=["g"], parts=parts).orderBy("g", "place").collect()
     total = 0
     for r in out:
         total += r.v
         assert r.total == total
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sparse_places_need_no_window_over_everything(spark):
+    """Places of up to 2 ** 60, far apart: as many parts as any other table has, and every window has its part."""
+    rows = spark.range(5_000).select(((F.col("id") * 7_919) % 5_000 * (2**47)).alias("place"), F.lit(1).alias("g"), F.col("id"))
+    out = running.positions(rows, place="place", within=["g"])
+    assert "SinglePartition" not in plan_of(out) and "Window" in plan_of(out)
+    assert out.where(F.col("position") != F.col("place") / 2**47 + 1).count() == 0
+    near = running.beside(rows, "id", ["g", "place"])
+    assert "SinglePartition" not in plan_of(near)
+    assert near.where("prev is null").count() == near.where("next is null").count() == 1
+    back = near.select(F.col("id").alias("prev"), F.col("next").alias("same")).join(near.select("id", "prev"), "prev")
+    assert back.where("same <> id").count() == 0 and back.count() == 4_999
+
+
+def test_a_very_common_key_is_ranked_in_parts(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        n = 30_000
+        rows = spark.range(n).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 30 == 0, None).otherwise(F.col("id").cast("string")).alias("k"), F.hash("id").alias("o"), "id")
+        out = running.ranks(rows, ["k"], ["o", "id"], "rank", parts=12)
+        hot = out.where("k = 'hot'").orderBy("o", "id").select("rank").collect()
+        assert [r.rank for r in hot] == list(range(1, len(hot) + 1)) and len(hot) == n * 2 // 3
+        assert out.where("k is null").agg(F.max("rank"), F.countDistinct("rank")).first() == (n // 30, n // 30) and out.where("k <> 'hot' and rank > 1").count() == 0
+        sizes = [r["count"] for r in running.parted(rows, ["k", "o", "id"], 12).groupBy("_part").count().collect()]
+        assert max(sizes) < n / 6
+        candidates = rows.select(F.lit("P").alias("id"), F.col("id").alias("file_order"), F.lit(0).alias("pos"), F.concat(F.lit("f"), F.col("id") % 50).alias("path"), F.col("id").cast("string").alias("text"), F.lit(1).alias("translator"), F.lit(2).cast("long").alias("last_updated_at"))
+        targets = spark.createDataFrame([("P", None, 0, 0)], "id string, text string, translator int, last_updated_at long")
+        found = playback.classify(candidates, targets)
+        assert playback.issue_rows(found).count() == 50
+        merged = playback.merge(targets, found, arrays=False).first()
+        assert merged.text == "0" and merged.alt == [] and playback.alternatives(found).agg(F.max("position")).first()[0] == n - 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_corpus_rollups(spark):
     rows = [("excerpts", 0, "P1", "first", 879, 0), ("excerpts", 1, "P2", None, 890, 1), ("headings", 0, "T1", "heading", None, 2), ("footnotes", 0, "F1", "", 901, 1)]
     s = spark.createDataFrame([(*r[:3], "n", *r[3:5], 1_767_312_000 + r[1] * 86_400, r[5], None) for r in rows], "collection string, idx long, id string, nass string, text string, translator int, last_updated_at long, alt_count int, patch_type string")
