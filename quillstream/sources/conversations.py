@@ -7,17 +7,13 @@ can't be read gets its reason in error; it never stops the others.
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import find, index, let
 from ..functions.text import trim
 from ..functions.values import is_openai, iso_text, model_name, provider
+from .json_items import archive_pieces, items
 
 CHAT = """conversation struct<id:string,title:string,create_time:string,modify_time:string>,
  responses array<struct<response:struct<message:string,sender:string,model:string,metadata:struct<request_metadata:struct<model:string>>,
@@ -62,19 +58,17 @@ def mass_export(files: DataFrame) -> DataFrame:
     return rows.groupBy("conversation_id").agg(F.max_by("content", F.struct("path", "pos")).alias("content"))
 
 
+def mass_export_items(found: DataFrame, parts: int | None = None) -> DataFrame:
+    """The same of json_items.pieces() or archive_pieces(), by many tasks for one file: the conversations of all files, the last of each id."""
+    rows = items(found, parts).where("collection = 'conversations'").withColumn("conversation_id", F.get_json_object("json", "$.conversation.id")).where("conversation_id is not null")
+    return rows.groupBy("conversation_id").agg(F.max_by("json", F.struct("path", "idx")).alias("content"))
+
+
 def read_archives(spark: SparkSession, folder: str, member: str) -> DataFrame:
-    """(path, content) of every member of that name, in any folder, of the zip archives below a folder."""
-
-    def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with zipfile.ZipFile(io.BytesIO(data)) as archive:
-                    for name in archive.namelist():
-                        if name.rsplit("/", 1)[-1] == member:
-                            yield pa.RecordBatch.from_arrays([pa.array([f"{path}!{name}"]), pa.array([archive.read(name).decode()])], names=["path", "content"])
-
-    archives = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(folder)
-    return archives.select("path", "content").mapInArrow(unzip, "path string, content string")
+    """(path, content) of every member of that name, in any folder, of the zip archives below a folder, each as one row: for small members."""
+    found = archive_pieces(spark, folder, member)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda p: p["text"]), "}")
+    return found.groupBy("path").agg(text.alias("content"))
 
 
 # ---- the chat shape: a list of responses ----

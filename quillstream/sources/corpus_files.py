@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.corpus import COLLECTIONS
+from .json_items import items, members, pieces
 
 _ITEM = """struct<id:string,`from`:int,`to`:int,nass:string,text:string,translator:int,lastUpdatedAt:bigint,parent:string,
  meta:struct<alt:array<struct<text:string,translator:int,lastUpdatedAt:bigint>>,num:string,type:string,patched:struct<appliedAt:bigint,model:string,type:string>>>"""
@@ -13,7 +14,7 @@ SCHEMA = f"createdAt bigint, lastUpdatedAt bigint, promptForTranslation string,
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """The corpus file as one row. JSON of this kind can't be split: write segments() as Parquet once, and query that."""
+    """The corpus file as one row, by one task: for small files. read_segments() and read_meta() split a file of any size."""
     return spark.read.schema(SCHEMA).option("multiLine", True).json(path)
 
 
@@ -23,6 +24,24 @@ def segments(corpus: DataFrame) -> DataFrame:
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
+    return _segment_columns(rows)
+
+
+def read_segments(spark: SparkSession, path: str, parts: int | None = None) -> DataFrame:
+    """segments() of the corpus file at a path, or of all below it, by as many tasks as there are splits."""
+    rows = items(pieces(spark, path), parts).where(F.col("collection").isin(*COLLECTIONS))
+    return _segment_columns(rows.select("collection", F.col("idx").cast("int").alias("idx"), F.from_json("json", _ITEM).alias("s")))
+
+
+def read_meta(spark: SparkSession, path: str, parts: int | None = None) -> DataFrame:
+    """meta() of the corpus file at a path, by as many tasks as there are splits."""
+    found = members(pieces(spark, path), parts).select("path", F.from_json("json", SCHEMA).alias("m")).select("path", "m.*")
+    # each member stands in one run
+    names = ("createdAt", "lastUpdatedAt", "promptForTranslation", "promptId")
+    return meta(found.groupBy("path").agg(*(F.max(n).alias(n) for n in names)))
+
+
+def _segment_columns(rows: DataFrame) -> DataFrame:
     s = F.col("s")
     alt = F.transform(s["meta"]["alt"], lambda a: F.struct(a["text"].alias("text"), a["translator"].alias("translator"), a["lastUpdatedAt"].alias("last_updated_at")))
     return rows.select(
