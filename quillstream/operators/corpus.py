@@ -2,6 +2,9 @@
 
 Segments: collection (excerpts, headings, footnotes), idx, id, nass, text, translator, last_updated_at (epoch
 seconds), alt_count, patch_type. A text of '' counts as untranslated, though only null is queued for work.
+
+All statistics take facts() as well, in which segments that none of them tells apart are one row with their number as
+weight: facts of single files can be kept and added up.
 """
 
 from __future__ import annotations
@@ -25,18 +28,38 @@ def collection_order(c: str = "collection") -> Column:
     return F.array_position(F.array(*map(F.lit, COLLECTIONS)), F.col(c)).cast("int")
 
 
+def facts(segments: DataFrame, *by: str) -> DataFrame:
+    """(by ..., collection, text, translator, last_updated_at, alt_count, patch_type, weight): how many segments are alike in all that statistics read.
+
+    text is '' or one letter, times are cut to days. Facts of facts are their sums, so those of several files can be merged.
+    """
+    day = F.floor(F.col("last_updated_at") / 86_400).cast("long") * 86_400
+    rows = segments.select(*by, "collection", F.when(is_translated(), "x").otherwise("").alias("text"), "translator", day.alias("last_updated_at"), "alt_count", "patch_type", _weight(segments).alias("weight"))
+    return rows.groupBy(*(c for c in rows.columns if c != "weight")).agg(F.sum("weight").alias("weight"))
+
+
+def _weight(rows: DataFrame) -> Column:
+    return F.col("weight") if "weight" in rows.columns else F.lit(1).cast("long")
+
+
+def _count(rows: DataFrame, cond: Column | None = None) -> Column:
+    """The number of segments, or of those for which cond holds."""
+    if "weight" not in rows.columns:
+        return F.count(F.lit(1)) if cond is None else F.count_if(F.coalesce(cond, F.lit(False)))
+    return F.coalesce(F.sum("weight" if cond is None else F.when(cond, F.col("weight"))), F.lit(0).cast("long"))
+
+
 def counts(segments: DataFrame) -> DataFrame:
     """(collection, total, translated, untranslated)."""
-    return segments.groupBy("collection").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(is_translated()).alias("translated"), F.count_if(~is_translated()).alias("untranslated")
-    )
+    n = lambda cond=None: _count(segments, cond)
+    return segments.groupBy("collection").agg(n().alias("total"), n(is_translated()).alias("translated"), n(~is_translated()).alias("untranslated"))
 
 
 def stats(segments: DataFrame, created_at: int | None = None, last_updated_at: int | None = None) -> DataFrame:
     """One row: counts over excerpts and headings, distinct excerpt translators, and the work's duration in seconds."""
     both, excerpt = F.col("collection").isin("excerpts", "headings"), F.col("collection") == "excerpts"
     heading = F.col("collection") == "headings"
-    n = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
+    n = lambda cond: _count(segments, cond)
     times = (F.lit(created_at).cast("long"), F.lit(last_updated_at).cast("long"))
     return segments.agg(
         n(both).alias("total_segments"), n(both & is_translated()).alias("translated_segments"), n(both & ~is_translated()).alias("untranslated_segments"),
@@ -58,13 +81,13 @@ def distinct_translators(segments: DataFrame) -> DataFrame:
 def alternatives(segments: DataFrame) -> DataFrame:
     """(alt_count, label, segments): how many segments have so many alternative translations."""
     label = F.concat(F.col("alt_count").cast("string"), F.when(F.col("alt_count") == 1, " alt").otherwise(" alts"))
-    return segments.where("alt_count > 0").groupBy("alt_count").agg(F.count(F.lit(1)).alias("segments")).select("alt_count", label.alias("label"), "segments").orderBy("alt_count")
+    return segments.where("alt_count > 0").groupBy("alt_count").agg(_count(segments).alias("segments")).select("alt_count", label.alias("label"), "segments").orderBy("alt_count")
 
 
 def patch_types(segments: DataFrame) -> DataFrame:
     """(type, label, count) of the two kinds of correction."""
     label = F.element_at(F.create_map(*(F.lit(x) for pair in PATCH_LABELS.items() for x in pair)), F.col("type"))
-    found = segments.where(F.col("patch_type").isin(*PATCH_LABELS)).groupBy(F.col("patch_type").alias("type")).agg(F.count(F.lit(1)).alias("count"))
+    found = segments.where(F.col("patch_type").isin(*PATCH_LABELS)).groupBy(F.col("patch_type").alias("type")).agg(_count(segments).alias("count"))
     return found.select("type", label.alias("label"), "count").orderBy(F.desc("count"), "type")
 
 
@@ -72,7 +95,7 @@ def daily(segments: DataFrame) -> DataFrame:
     """(date, excerpts, headings) of translated excerpts and headings with a time."""
     use = is_translated() & F.col("collection").isin("excerpts", "headings") & F.col("last_updated_at").isNotNull()
     heading = F.col("collection") == "headings"
-    return segments.where(use).groupBy(day_key(F.col("last_updated_at")).alias("date")).agg(F.count_if(~heading).alias("excerpts"), F.count_if(heading).alias("headings"))
+    return segments.where(use).groupBy(day_key(F.col("last_updated_at")).alias("date")).agg(_count(segments, ~heading).alias("excerpts"), _count(segments, heading).alias("headings"))
 
 
 def timeline(segments: DataFrame) -> DataFrame:
@@ -85,7 +108,7 @@ def timeline(segments: DataFrame) -> DataFrame:
     span = days.agg(F.datediff(F.max(F.to_date("date")), F.min(F.to_date("date"))).alias("gap")).select(
         F.when(F.col("gap") + 1 > 365, "month").when(F.col("gap") + 1 > 90, "week").otherwise("day").alias("granularity")
     )
-    total = segments.agg(F.count_if(F.col("collection").isin("excerpts", "headings")).alias("total"))
+    total = segments.agg(_count(segments, F.col("collection").isin("excerpts", "headings")).alias("total"))
     start = F.when(F.col("granularity") == "day", F.col("date")).otherwise(
         F.date_format(F.when(F.col("granularity") == "week", F.date_trunc("week", "date")).otherwise(F.date_trunc("month", "date")), "yyyy-MM-dd")
     )
@@ -101,7 +124,7 @@ def timeline(segments: DataFrame) -> DataFrame:
 
 def translator_shares(segments: DataFrame, slices: int = MAX_SLICES) -> DataFrame:
     """(rank, id, label, count, percent): translators of translated segments; beyond `slices`, the least used are one row `other`."""
-    used = segments.where(is_translated() & F.col("translator").isNotNull()).groupBy(F.col("translator").cast("string").alias("id")).agg(F.count(F.lit(1)).alias("count"))
+    used = segments.where(is_translated() & F.col("translator").isNotNull()).groupBy(F.col("translator").cast("string").alias("id")).agg(_count(segments).alias("count"))
     everything = Window.partitionBy()  # as many rows as translators
     ranked = used.withColumns({
         "rank": F.row_number().over(Window.orderBy(F.desc("count"), "id")), "n": F.count(F.lit(1)).over(everything), "uses": F.sum("count").over(everything),

@@ -38,8 +38,8 @@ class Workspace:
 
     @classmethod
     def from_corpus_file(cls, spark: SparkSession, json_path: str, segments_path: str, **more: object) -> Workspace:
-        """Convert a corpus file once: JSON of one object can't be split, the table can."""
-        rows = corpus_files.segments(corpus_files.read_corpus(spark, json_path))
+        """Convert a corpus file, or all below a folder, once."""
+        rows = corpus_files.read_segments(spark, json_path)
         rows.write.partitionBy("collection").parquet(segments_path)
         return cls(spark, segments_path, **more)
 
@@ -69,8 +69,15 @@ class Workspace:
         old = self.spark.createDataFrame([(None, None, None, None)], "created_at long, last_updated_at long, prompt string, prompt_id string") if old is None else old
         write_version(corpus_files.with_prompt(old, prompt_id, chosen["content"], now), f"{self.state_path}/prompt")
 
+    def facts(self) -> DataFrame:
+        """What all statistics read of the corpus, counted: kept until the table of segments is written anew, where there is a state_path."""
+        if not self.state_path:
+            return corpus.facts(self.segments)
+        return snapshot(self.spark, f"{self.state_path}/facts", self.segments_path, lambda: corpus.facts(self.segments))
+
     def analytics(self) -> dict[str, DataFrame]:
-        s = self.segments
+        """The corpus' analytics, of its facts: a snapshot where there is a state_path."""
+        s = self.facts()
         return {"timeline": corpus.timeline(s), "translators": corpus.translator_shares(s), "alternatives": corpus.alternatives(s), "patch_types": corpus.patch_types(s), "counts": corpus.counts(s)}
 
     def untranslated(self, page: int = 1, size: int = packing.PAGE_SIZE) -> DataFrame:
@@ -170,18 +177,23 @@ class Workspace:
 
 
 def assist(rows: DataFrame, ask: Callable[[list[dict]], list[dict]], size: int = 5) -> DataFrame:
-    """Corrections from a provider: ask() gets chunks of rows (path, id, translation) and gives (id, match, replacement). No provider is built in."""
+    """Corrections from a provider: ask() gets requests of up to size rows (path, id, translation), in order of path and id and all of one file, and gives
+    (id, match, replacement). No provider is built in. Replies to ids that the request hasn't are left out; ids that stand twice in a file are an error.
+    """
     import pandas as pd
 
-    def call(batches):
-        for batch in batches:
-            for i in range(0, len(batch), size):
-                part = batch.iloc[i : i + size]
-                path = dict(zip(part["id"], part["path"]))
-                made = [c for c in ask(part.to_dict("records")) if c["id"] in path]
-                yield pd.DataFrame([(path[c["id"]], n, c["id"], c["match"], c["replacement"]) for n, c in enumerate(made)], columns=["path", "pos", "id", "match", "replacement"])
+    made = "path string, pos long, id string, match string, replacement string"
+
+    def call(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id", kind="stable")
+        if part["id"].duplicated().any():
+            raise ValueError(f"{part['path'].iloc[0]} has an id twice in a request")
+        known = set(part["id"])
+        replies = [c for c in ask(part[["path", "id", "translation"]].to_dict("records")) if c["id"] in known]
+        return pd.DataFrame([(part["path"].iloc[0], n, c["id"], c["match"], c["replacement"]) for n, c in enumerate(replies)], columns=["path", "pos", "id", "match", "replacement"])
 
-    return rows.select("path", "id", "translation").mapInPandas(call, "path string, pos long, id string, match string, replacement string")
+    numbered = packing.ranks(rows.select("path", "id", "translation"), ["path"], ["id", "translation"], "_n").withColumn("_request", F.floor((F.col("_n") - 1) / size))
+    return numbered.groupBy("path", "_request").applyInPandas(lambda part: call(part), made)
 
 
 def composed_prompt(master: Column, addon: Column) -> Column:

@@ -29,8 +29,13 @@ def segments(corpus: DataFrame) -> DataFrame:
 
 def read_segments(spark: SparkSession, path: str, parts: int | None = None) -> DataFrame:
     """segments() of the corpus file at a path, or of all below it, by as many tasks as there are splits."""
-    rows = items(pieces(spark, path), parts).where(F.col("collection").isin(*COLLECTIONS))
-    return _segment_columns(rows.select("collection", F.col("idx").cast("int").alias("idx"), F.from_json("json", _ITEM).alias("s")))
+    return segments_of_pieces(pieces(spark, path), parts).drop("path")
+
+
+def segments_of_pieces(found: DataFrame, parts: int | None = None) -> DataFrame:
+    """The segment table of json_items.pieces(), with the path of each segment's file."""
+    rows = items(found, parts).where(F.col("collection").isin(*COLLECTIONS))
+    return _segment_columns(rows.select("path", "collection", F.col("idx").cast("int").alias("idx"), F.from_json("json", _ITEM).alias("s")), "path")
 
 
 def read_meta(spark: SparkSession, path: str, parts: int | None = None) -> DataFrame:
@@ -41,11 +46,11 @@ def read_meta(spark: SparkSession, path: str, parts: int | None = None) -> DataF
     return meta(found.groupBy("path").agg(*(F.max(n).alias(n) for n in names)))
 
 
-def _segment_columns(rows: DataFrame) -> DataFrame:
+def _segment_columns(rows: DataFrame, *more: str) -> DataFrame:
     s = F.col("s")
     alt = F.transform(s["meta"]["alt"], lambda a: F.struct(a["text"].alias("text"), a["translator"].alias("translator"), a["lastUpdatedAt"].alias("last_updated_at")))
     return rows.select(
-        "collection", "idx", s["id"].alias("id"), s["nass"].alias("nass"), s["text"].alias("text"), s["translator"].alias("translator"), s["lastUpdatedAt"].alias("last_updated_at"),
+        *more, "collection", "idx", s["id"].alias("id"), s["nass"].alias("nass"), s["text"].alias("text"), s["translator"].alias("translator"), s["lastUpdatedAt"].alias("last_updated_at"),
         F.coalesce(alt, F.expr("cast(array() as array<struct<text:string,translator:int,last_updated_at:bigint>>)")).alias("alt"),
         F.greatest(F.coalesce(F.size(s["meta"]["alt"]), F.lit(0)), F.lit(0)).alias("alt_count"), s["meta"]["patched"]["type"].alias("patch_type"), s["parent"].alias("parent"), s["from"].alias("from"), s["to"].alias("to"),
     )

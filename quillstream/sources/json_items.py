@@ -27,7 +27,7 @@ _HEAD = rf'(?s)^\s*+[\]{{]?\s*+,?\s*+((?:{_PAIR})(?:\s*+,\s*+{_PAIR})*+)?+\s*+,?
 _BLOCK = 1 << 20
 
 
-def pieces(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+def pieces(spark: SparkSession, path: str | list[str], glob: str = "*.json") -> DataFrame:
     """(path, start, row, text, size): the files at a path, or below it, cut after each }, which is left out; start and row are in order, size is the file's."""
     rows = spark.read.option("lineSep", "}").option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
     meta = F.col("_metadata")
