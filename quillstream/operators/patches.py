@@ -6,6 +6,7 @@ A patch is array<struct<start, end, text>>: replace [start, end) by text. Offset
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -236,6 +237,47 @@ def legacy_patches(texts: pd.Series, diffs: pd.Series) -> pd.Series:
 legacy_patches = legacy_patches.asNondeterministic()
 
 
+_RANGE = "struct<start:int,end:int>"
+METADATA = f"struct<appliedAt:string,highlights:array<struct<range:{_RANGE},title:string>>,highlightRanges:array<{_RANGE}>,source:struct<kind:string,model:string,modelVersion:string,provider:string,task:string>>"
+# fixed values: what a patch's metadata may name
+PROVIDERS = ("cloudflare", "google", "huggingface", "nvidia", "openrouter")
+TASKS = ("all_caps_correction", "arabic_leak_correction")
+
+
+def _kind(value: Column) -> Column:
+    """The JSON type of a variant: its first word; '' where the member isn't there."""
+    return F.coalesce(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0), F.lit(""))
+
+
+def metadata_is_valid(value: Column) -> Column:
+    """Whether a variant is a patch's metadata, field by field: all that must be there is, what may be there has its type, ranges are whole numbers
+    in order, and provider and task are known ones. Members that aren't asked for do no harm; a null value is none."""
+    at = lambda v, path: F.try_variant_get(v, path, "variant")
+    text = lambda v, path: F.try_variant_get(v, path, "string")
+    is_text = lambda v, path: _kind(at(v, path)) == "STRING"
+    maybe_text = lambda v, path: _kind(at(v, path)).isin("", "STRING")
+    whole = lambda v, path: _kind(at(v, path)).isin("BIGINT", "DECIMAL", "DOUBLE") & F.coalesce(F.try_variant_get(v, path, "double") == F.floor(F.try_variant_get(v, path, "double")), F.lit(False))
+    place = lambda v, path: F.try_variant_get(v, path, "double")
+    in_order = lambda v, root: whole(v, f"{root}.start") & whole(v, f"{root}.end") & F.coalesce((place(v, f"{root}.start") >= 0) & (place(v, f"{root}.end") >= place(v, f"{root}.start")), F.lit(False))
+
+    def each(path: str, right: Callable[[Column], Column]) -> Column:
+        found = F.try_variant_get(value, path, "array<variant>")
+        return (_kind(at(value, path)) == "") | ((_kind(at(value, path)) == "ARRAY") & ~F.exists(F.coalesce(found, F.expr("cast(array() as array<variant>)")), lambda v: ~right(v)))
+
+    return F.coalesce(
+        (_kind(value) == "OBJECT") & (_kind(at(value, "$.source")) == "OBJECT") & is_text(value, "$.appliedAt") & (text(value, "$.source.kind") == "llm") & is_text(value, "$.source.kind") & is_text(value, "$.source.model")
+        & is_text(value, "$.source.provider") & text(value, "$.source.provider").isin(*PROVIDERS) & is_text(value, "$.source.task") & text(value, "$.source.task").isin(*TASKS) & maybe_text(value, "$.source.modelVersion")
+        & each("$.highlights", lambda v: (_kind(v) == "OBJECT") & in_order(v, "$.range") & maybe_text(v, "$.title")) & each("$.highlightRanges", lambda v: in_order(v, "$")),
+        F.lit(False),
+    )
+
+
+def metadata(values: Column) -> Column:
+    """map<id, METADATA> of map<id, variant>: the entries that are valid."""
+    found = F.map_filter(values, lambda k, v: metadata_is_valid(v))
+    return F.transform_values(found, lambda k, v: F.from_json(F.to_json(v), METADATA))
+
+
 def upsert(patches: Column, key: Column, ops: Column, base: Column, edited: Column) -> Column:
     """map<id, ops> with one entry replaced; an edit that gives the base text again drops the entry, and an empty map is null."""
     rest = F.map_filter(F.coalesce(patches, F.expr(f"cast(map() as map<string,{OPS}>)")), lambda k, v: k != key)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .corpus import is_translated
+from .corpus import is_translated, stats
 from .running import ranks
 
 
@@ -75,6 +75,26 @@ def counters(classified: DataFrame) -> DataFrame:
     return classified.agg(F.count(F.lit(1)).alias("candidates"), n("playable").alias("applied"), n("unknown").alias("unknown"), n("already_translated").alias("already_translated"))
 
 
+def report(segments: DataFrame, classified: DataFrame, files: DataFrame) -> DataFrame:
+    """One row on a playback: valid_files and invalid_files of files(path, is_valid), counters() of its candidates, duplicate_ids, whether repeated ids of the corpus
+    block it, and stats_before and stats_after of the corpus (corpus.stats()).
+
+    The statistics after it need no merged texts: they follow from which segments get a translation, and whose.
+    """
+    repeated = segments.groupBy("id").count().where("count > 1").limit(1).agg((F.count(F.lit(1)) > 0).alias("blocked"))
+    firsts = classified.where("nth = 1").select("id", F.struct("text", "translator").alias("first"))
+    after = segments.join(firsts, "id", "left").join(F.broadcast(repeated))  # one row
+    use = F.col("first").isNotNull() & ~F.col("blocked")
+    after = after.select("collection", *(F.when(use, F.col(f"first.{c}")).otherwise(F.col(c)).alias(c) for c in ("text", "translator")))
+    as_struct = lambda rows, name: stats(rows).select(F.struct("*").alias(name))
+    checked = files.agg(F.count_if("is_valid").alias("valid_files"), F.count_if(~F.col("is_valid")).alias("invalid_files"))
+    twice = classified.where("nth = 2").agg(F.count(F.lit(1)).alias("duplicate_ids"))
+    rows = checked
+    for one in (counters(classified), twice, repeated, as_struct(segments, "stats_before"), as_struct(after, "stats_after")):
+        rows = rows.join(F.broadcast(one))  # one row each
+    return rows.withColumn("applied", F.when(F.col("blocked"), 0).otherwise(F.col("applied")))
+
+
 def provenance(metadata) -> object:
     """The patched struct (applied_at, model, type) of a patch's metadata column; null where its date isn't one."""
     from ..functions.values import iso_seconds

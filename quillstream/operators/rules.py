@@ -6,11 +6,13 @@ one's own to validate().
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import UserDefinedTableFunction
 
 from ..functions.arrays import count_before, find, index, let
 from ..functions.text import DASH, MARKER_ID, MARKER_LETTERS, WS, marker_ids, normalize, segments, spans, trim, utf16_length
@@ -18,7 +20,7 @@ from ..functions.text import DASH, MARKER_ID, MARKER_LETTERS, WS, marker_ids, no
 ERROR = "struct<type:string,message:string,match:string,start:int,end:int,id:string,segment_start:int,segment_end:int>"
 NO_ERRORS = f"cast(array() as array<{ERROR}>)"
 
-# fixed values: the error types and what they mean
+# fixed values: the names of the error types; what is said of them is in this library's own words
 ERROR_TYPES = {
     "all_caps": "A run of words in capitals only.",
     "arabic_leak": "Arabic script in the output (ﷺ is allowed).",
@@ -248,3 +250,22 @@ _FIELDS = ("type", "message", "match", "start", "end", "id", "segment_start", "s
 
 def parsed_ids(response: Column) -> Column:
     return marker_ids(normalize(response))
+
+
+def register_udtf(spark: SparkSession, name: str, handler: type) -> UserDefinedTableFunction:
+    """A rule of a user's own as a Python table function: its eval(normalized, segments, source) yields (type, message, match, start, end, id,
+    segment_start, segment_end), with nulls where it has nothing to say. It is registered for SQL under its name, too."""
+    function = udtf(handler, returnType=ERROR)
+    spark.udtf.register(name, function)
+    return function
+
+
+def error_rows(validated: DataFrame, keys: Sequence[str], source: str = "source", user_rules: Mapping[str, UserDefinedTableFunction] | None = None) -> DataFrame:
+    """(keys ..., rule, type, message, match, start, end, id, segment_start, segment_end): the errors of validate() as rows, and those of table functions, which are
+    joined laterally with normalized, segments and source. A response without a marker has no errors of table functions."""
+    found = validated.select(*keys, F.explode_outer("errors").alias("e")).where("e is not null").select(*keys, "e.rule", *(f"e.{k}" for k in _FIELDS))
+    for name, function in (user_rules or {}).items():
+        call = function(F.col("normalized").outer(), F.col("segments").outer(), F.col(source).outer())
+        own = validated.where(F.size("segments") > 0).select(*keys, "normalized", "segments", source).lateralJoin(call)
+        found = found.unionByName(own.select(*keys, F.lit(name).alias("rule"), *_FIELDS))
+    return found

@@ -14,12 +14,11 @@ from ..functions.text import normalize, segments, serialize, trim
 from ..functions.values import iso_seconds, translator_id
 from ..operators.alignment import align, alignment_errors, first_out_of_order, ids
 from ..operators.patches import OPS, apply_to_segments, checked, clean_skips, legacy_patches
+from ..operators.patches import metadata as patch_metadata
 from ..operators.rules import Config, validate
 
 _RANGE = "struct<start:int,end:int>"
-EDITS = f"""patches map<string,variant>, skip array<string>, patchMetadata map<string,struct<appliedAt:string,
- highlights:array<struct<range:{_RANGE},title:string>>,highlightRanges:array<{_RANGE}>,
- source:struct<kind:string,model:string,modelVersion:string,provider:string,task:string>>>"""
+EDITS = "patches map<string,variant>, skip array<string>, patchMetadata map<string,variant>"
 _ERROR = "struct<rule:string,type:string,message:string,match:string,start:int,end:int,id:string,segment_start:int,segment_end:int>"
 
 
@@ -100,7 +99,7 @@ def analyse(conversations: DataFrame, config: Config = Config()) -> DataFrame:
     read = lambda c: F.when(F.col("_error").isNull(), F.col(c)).alias(c)
     return rows.select(
         *conversations.columns, *map(read, ("skips", "source", "all_source", "base_texts", "translated", "patches", "patches_applied", "errors", "visible_errors")), "is_valid", "playable",
-        F.col("_edits.patchMetadata").alias("patch_metadata"),
+        patch_metadata(F.col("_edits.patchMetadata")).alias("patch_metadata"),
     )
 
 

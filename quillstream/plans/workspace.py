@@ -159,7 +159,8 @@ class Workspace:
 
     def simulate_playback(self) -> dict[str, DataFrame]:
         found = materialize(playback.classify(validity.candidates(self.analyses), self.segments))
-        return {"counters": playback.counters(found), "issues": playback.issues(found), "merged": playback.merge(self.segments, found), "duplicates": corpus.duplicate_targets(self.segments)}
+        report = playback.report(self.segments, found, validity.file_rows(self.analyses))
+        return {"report": report, "counters": playback.counters(found), "issues": playback.issues(found), "merged": playback.merge(self.segments, found), "duplicates": corpus.duplicate_targets(self.segments)}
 
     def save_playback(self, folder: str, name: str, stamp: str) -> str:
         """Write the merged corpus as a new version; a corpus with repeated ids is refused."""

@@ -142,3 +142,31 @@ def test_edits_of_long_texts_are_small_and_right():
         at = j
     assert "".join(out) + text[at:] == after and sum(m - k for _, _, k, m in found) < 2000
     assert len(P.edits(text, after)) == 1  # so many edits over all of a text are one replacement
+
+
+GOOD = {"appliedAt": "2026-01-01", "source": {"kind": "llm", "model": "m", "provider": "google", "task": "all_caps_correction"}}
+R = {"start": 1, "end": 2}
+
+
+def changed(**parts):
+    return {k: v for k, v in (GOOD | parts).items() if v is not ...}
+
+
+METADATA = [
+    (GOOD, True), (changed(other=[1]), True), (changed(highlights=[{"range": R, "title": "t"}, {"range": R}]), True), (changed(highlightRanges=[R, {"start": 0, "end": 0}]), True), (changed(highlights=[]), True),
+    (changed(source=GOOD["source"] | {"modelVersion": "v"}), True), (changed(appliedAt=...), False), (changed(appliedAt=5), False), (changed(source="x"), False), (changed(source=GOOD["source"] | {"kind": "me"}), False),
+    (changed(source=GOOD["source"] | {"provider": "else"}), False), (changed(source=GOOD["source"] | {"task": 1}), False), (changed(source=GOOD["source"] | {"model": None}), False),
+    (changed(source=GOOD["source"] | {"modelVersion": 4}), False), (changed(highlights={}), False), (changed(highlights=[{"range": {"start": 2, "end": 1}}]), False), (changed(highlights=[{"range": R, "title": 3}]), False),
+    (changed(highlightRanges=[{"start": -1, "end": 1}]), False), (changed(highlightRanges=[{"start": 1.5, "end": 2}]), False), (changed(highlightRanges=[{"start": "1", "end": 2}]), False), (changed(highlightRanges=[R, None]), False),
+    (changed(highlightRanges=[{"start": 1.0, "end": 2.0}]), True), ([1], False), ("x", False), (None, False),
+]
+
+
+def test_metadata_is_checked_field_by_field(spark):
+    import json
+
+    df = spark.createDataFrame([(i, json.dumps(m)) for i, (m, _) in enumerate(METADATA)], "i int, j string").withColumn("v", F.parse_json("j"))
+    got = {r.i: r.ok for r in df.select("i", P.metadata_is_valid(F.col("v")).alias("ok")).collect()}
+    assert got == {i: ok for i, (_, ok) in enumerate(METADATA)}
+    rows = spark.createDataFrame([(json.dumps({"a": GOOD | {"highlightRanges": [R]}, "b": {"appliedAt": "x"}}),)], "j string").select(P.metadata(F.from_json("j", "map<string,variant>")).alias("m")).first()
+    assert list(rows.m) == ["a"] and rows.m["a"].source.model == "m" and rows.m["a"].highlightRanges[0].end == 2

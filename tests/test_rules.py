@@ -67,3 +67,27 @@ def test_rules_of_ones_own(spark):
     (e,) = errors(spark, "P1 - hey! بد", rules=[("shout", shout)])
     assert (e.rule, e.type, e.id, e.segment_start) == ("shout", "shout", "P1", 3)
     assert errors(spark, "P1 - بد", rules=[]) == [] and set(RULES) <= set(ERROR_TYPES)
+
+
+class LongWords:
+    """A rule of a user's own: words of over 12 letters."""
+
+    def eval(self, normalized, segments, source):
+        for s in segments:
+            for word in s["text"].split():
+                if len(word) > 12:
+                    at = s["text"].index(word)
+                    yield "long_word", f"{word} is long", word, s["start"] + at, s["start"] + at + len(word), s["id"], at, at + len(word)
+
+
+def test_table_functions_join_the_rules(spark):
+    from quillstream.operators.rules import error_rows, register_udtf, validate
+
+    rows = spark.createDataFrame([(1, "P1 - a conversational thing قال\nP2 - b", [("P1", "x"), ("P2", "y")]), (2, "no marker, incomprehensible", [])], "n int, response string, source array<struct<id:string,text:string>>")
+    rule = register_udtf(spark, "long_words", LongWords)
+    found = error_rows(validate(rows), ["n"], user_rules={"long_words": rule}).collect()
+    assert sorted((r.n, r.rule) for r in found) == [(1, "arabic_leak"), (1, "long_words"), (2, "no_valid_markers")]
+    own = next(r for r in found if r.rule == "long_words")
+    assert (own.match, own.id, own.segment_start, own.start) == ("conversational", "P1", 2, 7)
+    validate(rows).createOrReplaceTempView("validated")
+    assert spark.sql("SELECT v.n, e.match FROM validated v, LATERAL long_words(v.normalized, v.segments, v.source) e").count() == 1
