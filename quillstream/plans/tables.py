@@ -92,6 +92,14 @@ def make_folder(spark: SparkSession, folder: str) -> None:
     store.mkdirs(path)
 
 
+def write_text(spark: SparkSession, file: str, text: str) -> None:
+    """Write one small file under its own name."""
+    path, store = _hadoop(spark, file)
+    out = store.create(path, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def modified_ms(spark: SparkSession, file: str) -> int:
     """When a file was last written, in milliseconds."""
     path, store = _hadoop(spark, file)

@@ -38,9 +38,9 @@ def segments_of_pieces(found: DataFrame, parts: int | None = None) -> DataFrame:
     return _segment_columns(rows.select("path", "collection", F.col("idx").cast("int").alias("idx"), F.from_json("json", _ITEM).alias("s")), "path")
 
 
-def read_meta(spark: SparkSession, path: str, parts: int | None = None) -> DataFrame:
+def read_meta(spark: SparkSession, path: str, parts: int | None = None, glob: str = "*.json") -> DataFrame:
     """meta() of the corpus file at a path, by as many tasks as there are splits."""
-    found = members(pieces(spark, path), parts).select("path", F.from_json("json", SCHEMA).alias("m")).select("path", "m.*")
+    found = members(pieces(spark, path, glob), parts).select("path", F.from_json("json", SCHEMA).alias("m")).select("path", "m.*")
     # each member stands in one run
     names = ("createdAt", "lastUpdatedAt", "promptForTranslation", "promptId")
     return meta(found.groupBy("path").agg(*(F.max(n).alias(n) for n in names)))
@@ -61,11 +61,11 @@ def meta(corpus: DataFrame) -> DataFrame:
 
 
 def read_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, name, content, is_master) of the Markdown files of a folder."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    """(id, name, content, is_master) of the Markdown files of a folder, to the last line break: a prompt may be chosen by its content."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.md$", "")
     key = F.translate(F.upper(stem), "-", "_")
-    return rows.select(key.alias("id"), F.initcap(F.translate(F.lower(key), "_", " ")).alias("name"), F.col("value").alias("content"), (stem == "master").alias("is_master"))
+    return rows.select(key.alias("id"), F.initcap(F.translate(F.lower(key), "_", " ")).alias("name"), F.decode("content", "UTF-8").alias("content"), (stem == "master").alias("is_master"))
 
 
 def compose_prompt(master: Column, addon: Column) -> Column:
