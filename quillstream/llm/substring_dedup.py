@@ -267,10 +267,11 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, blo
     held = passages.hint("merge").join(shared, "print").where("several or first < doc_id")
     # what an earlier document holds whole is a factor; of the rest, the first holder's passages are parsed
     fields = F.struct("start", "n", "anchor", "hot", F.when(F.col("first") < F.col("doc_id"), F.col("first")).alias("source"), (F.col("first") == F.col("doc_id")).alias("parse"))
-    held = stash(held.groupBy("doc_id", "key").agg(F.collect_list(fields).alias("passages")), "held")
+    # repeated rows have the same passages: each is kept, read and parsed once
+    held = stash(held.groupBy("doc_id", "key").agg(F.collect_set(fields).alias("passages")), "held")
 
     asked = held.where(F.exists("passages", lambda p: p["parse"]))
-    rows = docs.hint("merge").join(asked, ["doc_id", "key"]).select("doc_id", "key", "text", "passages")
+    rows = docs.hint("merge").join(asked, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "text", "passages")
     words = stash(rows.mapInArrow(_words, "anchor long, hot boolean, doc_id long, key long, start int, words binary"), "words")
     routed = words.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
     parsed = routed.select("anchor", "doc_id", "key", "start", "words").mapInArrow(lambda b: _parse(window, b), "doc_id long, key long, start int, end int, source long")

@@ -126,3 +126,17 @@ def test_awkward_rows_and_no_rows(documents, awkward):
     assert by[8].kept_text == "tail" and by[10].n_removed == 0
     assert sd.deduplicate(documents([])).count() == 0
     assert sd.deduplicate(documents(awkward)).count() == len(awkward)
+
+
+def test_factors_of_repeated_rows_grow_in_proportion(documents):
+    """A text under one doc_id again and again, and an earlier document that holds half of it: every row has the same factors, whatever their number."""
+    rng = random.Random(8)
+    text = prose(rng, 400)
+    other = " ".join(text.split()[:200]) + " " + prose(rng, 100)
+
+    def factors(n):
+        found = sd.deduplicate(documents([(1, other), *[(2, text)] * n, (3, text)])).collect()
+        assert {(r.doc_id, r.n_removed) for r in found} == {(1, 0), (2, 200), (3, 400)}
+        return {r.doc_id: len(r.factors) for r in found}, len(found)
+
+    assert factors(1) == (factors(300)[0], 3) and factors(300)[1] == 302
