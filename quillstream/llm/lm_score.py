@@ -30,7 +30,7 @@ COUNTED = 1_000_000
 SIDE, DEPTH, HIDDEN = 2, 16, 32
 #: Words drawn for each step of training, and quantiles for Z.
 NOISE, QUANTILES = 64, 128
-ROUNDS, TRAIN_SHARE, BATCH, RATE = 2, 0.75, 1024, 0.05
+ROUNDS, TRAIN_SHARE, BATCH, RATE = 2, 1.0, 1024, 0.05
 #: Words of a shard; a corpus of more than MAX_SHARDS such has larger ones.
 SHARD_WORDS, MAX_SHARDS = 5_000_000, 4_096
 #: Vectors that are averaged together.
