@@ -105,16 +105,14 @@ def fresh(leaves: int, seed: int = 8) -> Weights:
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def contexts(leaves: np.ndarray, first: np.ndarray, beyond: int) -> np.ndarray:
-    """For each word the leaves of the SIDE words before it and after it; `beyond` outside the document."""
-    n = len(leaves)
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    out = np.full((n, 2 * SIDE), beyond, np.int64)
-    for column, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        at = np.arange(max(0, -step), min(n, n - step))
-        at = at[doc[at] == doc[at + step]] if len(at) else at
-        out[at, column] = leaves[at + step]
-    return out
+def contexts(leaves: np.ndarray, first: np.ndarray, beyond: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """For each word, or those at some places, the leaves of the SIDE words before it and after it; `beyond` outside the document."""
+    # all documents in a row, with SIDE times `beyond` around each
+    place = np.arange(len(leaves)) + SIDE * np.repeat(np.arange(1, len(first)), np.diff(first))
+    padded = np.full(len(leaves) + SIDE * len(first), beyond, np.int64)
+    padded[place] = leaves
+    steps = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
+    return padded[place[at][:, None] + steps]
 
 
 def _hidden(w: Weights, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,18 +233,18 @@ def _train(start, words, share: float, number: int, rounds: int, batches: Iterat
     for batch, leaves, first in _read(batches, "leaves"):
         shards = batch["shard"].to_numpy()
         cuts = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]]))
-        around = contexts(leaves, first, beyond)
         place = np.arange(len(leaves)) - np.repeat(first[:-1], np.diff(first))
-        ids = np.repeat(batch["doc_id"].fill_null(0).to_numpy().astype(np.int64).view(np.uint64), np.diff(first))
-        draw = mix(mix(ids + np.uint64(1)) + place.astype(np.uint64)) / 2.0**64
+        ids = np.repeat(mix(batch["doc_id"].fill_null(0).to_numpy().astype(np.int64).view(np.uint64) + np.uint64(1)), np.diff(first))
+        draw = mix(ids + place.astype(np.uint64)) / 2.0**64
         use = np.flatnonzero((draw >= number * share / rounds) & (draw < (number + 1) * share / rounds))
+        around, target = contexts(leaves, first, beyond, use), leaves[use]
         for a, b in zip(cuts, [*cuts[1:], len(shards)]):
             if state[0] != shards[a]:
                 if state[0] is not None:
                     yield end()
                 begin(int(shards[a]))
-            own = use[(use >= first[a]) & (use < first[b])]
-            state[5].append(around[own]), state[6].append(leaves[own])
+            own = slice(*np.searchsorted(use, (first[a], first[b])))
+            state[5].append(around[own]), state[6].append(target[own])
             step(False)
     if state[0] is not None:
         yield end()
