@@ -188,3 +188,13 @@ def test_changed_files_are_analysed_again(spark, tmp_path):
     assert {r.path: r.n for r in first.collect()} == {"a": 1, "b": 1}
     second = files.reanalyse(make([("a", 2, 3, "xyz"), ("b", 1, 1, "y"), ("c", 1, 1, "z")]), table, analyse)
     assert {r.path: r.n for r in second.collect()} == {"a": 3, "b": 1, "c": 1} and seen == [["a", "b"], ["a", "c"]]
+
+
+def test_questions_stand_once_in_a_batch_and_events_pass_beside_them(spark):
+    """A very common conversation asks for its state once for each batch of rows, where each of its events asked before."""
+    rows = spark.createDataFrame([("a", i, i, f"k{i % 3}") for i in range(500)] + [(None, 900, None, None)], SCHEMA).withColumn("payload", F.lit("p")).coalesce(1)
+    found = ingest._asked(rows).collect()
+    asked = sorted((r.kind, r.value or "") for r in found if r.what == "ask")
+    assert asked == [("id", ""), ("id", "a"), ("key", "k0"), ("key", "k1"), ("key", "k2")]
+    events = [r for r in found if r.what == "event"]
+    assert sorted(r.arrival for r in events) == [*range(500), 900] and len({r.salt for r in events}) > 50 and {r.kind for r in events} == {"event"}
