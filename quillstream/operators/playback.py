@@ -5,9 +5,10 @@ Candidates: file_order, path, pos, id, text, translator, last_updated_at. Target
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import materialize
 from .corpus import is_translated, stats
 from .running import ranks
 
@@ -20,9 +21,10 @@ def target_states(segments: DataFrame) -> DataFrame:
 
 def classify(candidates: DataFrame, segments: DataFrame) -> DataFrame:
     """candidates with state: unknown, already_translated or playable; and nth, a playable's rank of its id."""
-    rows = candidates.join(target_states(segments), "id", "left")
+    # ranked first: the join then finds the rows dealt by id
+    rows = ranks(candidates, ["id"], ["file_order", "pos"], "nth").join(target_states(segments), "id", "left")
     state = F.when(F.col("places").isNull(), "unknown").when(F.col("full"), "already_translated").otherwise("playable")
-    rows = ranks(rows.withColumn("state", state).drop("places", "full"), ["id"], ["file_order", "pos"], "nth")
+    rows = rows.withColumn("state", state).drop("places", "full")
     return rows.withColumn("nth", F.when(F.col("state") == "playable", F.col("nth")))
 
 
@@ -37,7 +39,10 @@ def issue_rows(classified: DataFrame) -> DataFrame:
 
 def issues(classified: DataFrame) -> DataFrame:
     """(kind, id, paths): issue_rows() with the files of an id as one text, sorted: for ids of a size to be read."""
-    return issue_rows(classified).groupBy("kind", "id").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("paths"))
+    files = classified.groupBy("state", "id", "path").agg(F.max("nth").alias("most")).groupBy("state", "id").agg(F.max("most").alias("most"), F.collect_list("path").alias("paths"))
+    kind = F.when(F.col("state") != "playable", F.col("state")).when(F.col("most") > 1, "duplicate")
+    # the id has one state
+    return files.withColumn("kind", kind).where("kind is not null").select("kind", "id", F.array_join(F.array_sort("paths"), ",").alias("paths"))
 
 
 _ALT = "array<struct<text:string,translator:int,last_updated_at:bigint>>"
@@ -55,12 +60,14 @@ def merge(segments: DataFrame, classified: DataFrame, arrays: bool = True) -> Da
     ids with very many. A corpus with repeated ids stays as it is.
     """
     blocked = segments.groupBy("id").count().where("count > 1").limit(1).agg((F.count(F.lit(1)) > 0).alias("blocked"))
-    firsts = classified.where("nth = 1").select("id", F.struct("text", "translator", "last_updated_at").alias("first"))
-    rows = segments.join(firsts, "id", "left").join(F.broadcast(blocked))  # one row
+    if arrays:  # the first and the others in one pass over the candidates
+        every = F.array_sort(F.collect_list(F.struct("nth", "text", "translator", "last_updated_at")))
+        found = classified.where("nth is not null").groupBy("id").agg(every.alias("every"))
+        found = found.select("id", F.get("every", F.lit(0)).alias("first"), F.slice("every", F.lit(2), F.size("every")).alias("rest"))
+    else:
+        found = classified.where("nth = 1").select("id", F.struct("text", "translator", "last_updated_at").alias("first"))
+    rows = segments.join(found, "id", "left").join(F.broadcast(blocked))  # one row
     use = F.col("first").isNotNull() & ~F.col("blocked")
-    if arrays:
-        rest = F.array_sort(F.collect_list(F.struct("position", "text", "translator", "last_updated_at")))
-        rows = rows.join(alternatives(classified).groupBy("id").agg(rest.alias("rest")), "id", "left")
     pick = lambda c: F.when(use, F.col(f"first.{c}")).otherwise(F.col(c)).alias(c)
     kept = [c for c in segments.columns if c not in ("text", "translator", "last_updated_at", "alt")]
     none = F.expr(f"cast(array() as {_ALT})")
@@ -69,10 +76,11 @@ def merge(segments: DataFrame, classified: DataFrame, arrays: bool = True) -> Da
     return rows.select(*kept, *map(pick, ("text", "translator", "last_updated_at")), F.when(use, F.concat(old, alt)).otherwise(old).alias("alt"))
 
 
-def counters(classified: DataFrame) -> DataFrame:
-    """One row: candidates, applied (with alternatives), unknown, already_translated."""
-    n = lambda state: F.count_if(F.col("state") == state)
-    return classified.agg(F.count(F.lit(1)).alias("candidates"), n("playable").alias("applied"), n("unknown").alias("unknown"), n("already_translated").alias("already_translated"))
+def counters(classified: DataFrame, many: Column | None = None) -> DataFrame:
+    """One row: candidates, applied (with alternatives), unknown, already_translated. many: how many candidates a row stands for, if not one."""
+    many = F.lit(1).cast("long") if many is None else many
+    n = lambda state: F.coalesce(F.sum(F.when(F.col("state") == state, many)), F.lit(0).cast("long"))
+    return classified.agg(F.coalesce(F.sum(many), F.lit(0).cast("long")).alias("candidates"), n("playable").alias("applied"), n("unknown").alias("unknown"), n("already_translated").alias("already_translated"))
 
 
 def report(segments: DataFrame, classified: DataFrame, files: DataFrame) -> DataFrame:
@@ -82,15 +90,17 @@ def report(segments: DataFrame, classified: DataFrame, files: DataFrame) -> Data
     The statistics after it need no merged texts: they follow from which segments get a translation, and whose.
     """
     repeated = segments.groupBy("id").count().where("count > 1").limit(1).agg((F.count(F.lit(1)) > 0).alias("blocked"))
-    firsts = classified.where("nth = 1").select("id", F.struct("text", "translator").alias("first"))
+    # a row for each id, written: all that the candidates are read for
+    own = materialize(classified.groupBy("id", "state").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("text", "translator"), "nth").alias("first")))
+    firsts = own.where("state = 'playable'").select("id", "first")
     after = segments.join(firsts, "id", "left").join(F.broadcast(repeated))  # one row
     use = F.col("first").isNotNull() & ~F.col("blocked")
     after = after.select("collection", *(F.when(use, F.col(f"first.{c}")).otherwise(F.col(c)).alias(c) for c in ("text", "translator")))
     as_struct = lambda rows, name: stats(rows).select(F.struct("*").alias(name))
     checked = files.agg(F.count_if("is_valid").alias("valid_files"), F.count_if(~F.col("is_valid")).alias("invalid_files"))
-    twice = classified.where("nth = 2").agg(F.count(F.lit(1)).alias("duplicate_ids"))
+    twice = own.agg(F.count_if((F.col("state") == "playable") & (F.col("n") > 1)).alias("duplicate_ids"))
     rows = checked
-    for one in (counters(classified), twice, repeated, as_struct(segments, "stats_before"), as_struct(after, "stats_after")):
+    for one in (counters(own, F.col("n")), twice, repeated, as_struct(segments, "stats_before"), as_struct(after, "stats_after")):
         rows = rows.join(F.broadcast(one))  # one row each
     return rows.withColumn("applied", F.when(F.col("blocked"), 0).otherwise(F.col("applied")))
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..plans.tables import materialize
 
 PART = "_part"
+#: Rows of one key that a window may hold in one task; those of a more common key go over range partitions.
+COMMON = 1_000_000
 
 
 def parted(df: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
@@ -53,8 +55,23 @@ def positions(df: DataFrame, name: str = "position", *, place: str, within: Sequ
 
 
 def ranks(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, parts: int | None = None) -> DataFrame:
-    """df with each row's rank, from 1, among those of its keys; order has no ties there. A key's rows may fill many parts."""
+    """df with each row's rank, from 1, among those of its keys; order has no ties there.
+
+    Keys are counted first. Rows are dealt by key, once and unwritten; only those of very common keys, one key in COMMON rows at most, are ranked over
+    range partitions, where a key's rows may fill many parts.
+    """
     keys = list(keys)
+    common = [tuple(r[k] for k in keys) for r in df.groupBy(*keys).count().where(F.col("count") > COMMON).select(*keys).collect()]
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+    if not common:
+        return df.withColumn(name, inside)
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    marked = _with_offsets(df, [(*k, True) for k in common], f"{kinds}, _common boolean", keys)
+    rest = marked.where("_common is null").select(*df.columns, inside.alias(name))
+    return rest.unionByName(_ranks_by_range(marked.where("_common").select(*df.columns), keys, order, name, parts))
+
+
+def _ranks_by_range(df: DataFrame, keys: list[str], order: Sequence[str], name: str, parts: int | None) -> DataFrame:
     rows = parted(df, [*keys, *order], parts)
     key = F.struct(*keys)
     ends = sorted(rows.groupBy(PART).agg(F.min(key).alias("first"), F.max(key).alias("last")).collect(), key=lambda r: r[PART])
