@@ -17,7 +17,7 @@ from ..sources import conversations as S
 from ..streaming.files import changed_files, shift_in_batches, shift_status
 from . import edits, validity
 from .queries import _CORPUS, _QUEUE, _RESPONSES, _table, corpus_view, query, responses_view
-from .tables import materialize, shared_folder, snapshot
+from .tables import materialize, shared_folder, snapshot, spread
 
 # ---- files made of the conversations table ----
 
@@ -168,7 +168,7 @@ _CASES = "c_custkey % 7"
 
 def analysed_view(spark, sf_dir) -> DataFrame:
     """Analyses of a file for each customer: clean, with a leak (bare, patched or skipped), a lost segment, shouting, or no marker at all."""
-    rows = _table(spark, sf_dir, "customer")
+    rows = spread(_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
     case = F.col("c_custkey") % 7
     two = F.when(case.isin(1, 2, 3), "two قال x").when(case == 5, "THEY KNEW THAT THE BUYER left").otherwise("two")
     three = F.when(case == 4, "\nP3 - …").otherwise("\nP3 - three")
