@@ -117,3 +117,23 @@ def test_long_candidates_are_read_whole():
         parts = s.windows(5, 5 + n)
         assert parts[0][0] == 5 and parts[-1][1] == 5 + n and all(e - b <= s.BODY for b, e in parts)
         assert all(any(b <= i and i + min(n, 24) <= e for b, e in parts) for i in range(5, 5 + n - min(n, 24) + 1))
+
+
+def test_all_findings_of_the_documents_train_and_calibrate(documents):
+    """Beyond any bound on a label, in groups whose number doesn't depend on partitions."""
+    rng = random.Random(6)
+    rows = [(i, "see page-%d-of-%s and password=k%015d" % (i, e.word(rng, 9), rng.randrange(10**15))) for i in range(4_500)]
+    docs = documents(rows)
+    net = s.train(docs, made=600, epochs=2)
+    assert net.trained + net.held == 9_000 and 1_700 < net.held <= 1_800
+    again = s.train(docs.repartition(7), made=600, epochs=2)
+    assert net.threshold == again.threshold and all((net.weights[k] == again.weights[k]).all() for k in net.weights)
+
+
+def test_training_in_many_groups_finds_what_one_does(documents):
+    rng = random.Random(7)
+    rows = [(i, f"{e.word(rng)} " + ("password=" + e.secret(rng) if i % 2 else "see " + e.plain(rng))) for i in range(1_000)]
+    net = s.train(documents(rows), group=100)
+    views, labels = zip(*((s.view(t, a, b), y) for t, a, b, y in e.examples(1_000, seed=99)))
+    accepted = net.probability(s.encode(list(views))) >= net.threshold
+    assert sum(a for a, y in zip(accepted, labels) if y) >= 0.95 * 500 and sum(a for a, y in zip(accepted, labels) if not y) <= 0.05 * 500
