@@ -136,3 +136,20 @@ def test_runs_against_all_windows():
             there = [tuple(a[i : i + size]) for i in range(61 - size)]
             assert diff.shares_run(a, b, size) == any(tuple(b[j : j + size]) in there for j in range(51 - size))
             assert diff.repeats_run(a, size) == (len(set(there)) < len(there))
+
+
+def test_a_short_script_is_the_same_found_near_or_far_and_is_found_fast():
+    rng = random.Random(8)
+    for t in range(300):
+        kinds = ("a", "ab", "abcdefgh")[t % 3]
+        a = "".join(rng.choice(kinds) for _ in range(rng.randrange(1, 120)))
+        b = "".join(rng.choice(kinds + "z") if rng.random() < 0.1 else c for c in a) + "z"
+        near = diff._near(a, b, 10_000)
+        assert near == diff._far(diff.code_points(a), diff.code_points(b))
+        assert diff._near(a, b, len(near) - 1) is None
+    words = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(400))
+    edited = "start " + words[:900] + words[900:920].upper() + words[920:] + " end"
+    begun = time.process_time()
+    for _ in range(200):
+        diff.differences(words, edited)
+    assert time.process_time() - begun < 1.2  # over 2 s with numpy's calls for each distance
