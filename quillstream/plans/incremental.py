@@ -32,8 +32,7 @@ def kept_facts(spark: SparkSession, folder: str, table: str, glob: str = "*.json
     if not fresh and known is not None and changed_files(known.select(*_FINGERPRINT).distinct(), now).isEmpty():
         return known
     if fresh:
-        read = segments_of_pieces(pieces(spark, fresh, glob)).hint("merge").join(now, "path")
-        made = corpus.facts(read, *_FINGERPRINT)
+        made = corpus.facts(segments_of_pieces(pieces(spark, fresh, glob)), "path").hint("merge").join(now, "path")
         # a file without a segment is known, too
         made = made.unionByName(now.where(F.col("path").isin(fresh)).withColumn("weight", F.lit(0).cast("long")), allowMissingColumns=True)
         valid = made if valid is None else valid.unionByName(made)

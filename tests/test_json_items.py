@@ -66,3 +66,32 @@ def test_archives_by_block(spark, tmp_path, monkeypatch):
     assert json.loads(whole.content) == {"conversations": talks}
     same = S.mass_export(S.read_archives(spark, str(tmp_path), "export.json")).select("conversation_id", F.parse_json("content").cast("string").alias("c")).collect()
     assert {r.conversation_id: json.loads(r.c) for r in same} == got
+
+
+def test_no_text_is_shuffled_but_what_lies_across_splits(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(corpus(random.Random(5), 50)))
+    for read in (json_items.items, json_items.members):
+        plan = read(json_items.pieces(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+
+
+def test_items_longer_than_splits(spark, tmp_path, small_splits):
+    """Splits that begin in a string, that hold no item's end, and that a top-level object fills."""
+    rng = random.Random(9)
+    value = lambda: rng.choice(['}{"[', '\\"}', "\\\\", "]"]) * rng.choice([0, 1, 2, 1_500])
+    for k in range(6):
+        made = {"n": k, "first": [{"id": i, "x": value(), "deep": [{"y": value()}] * rng.randrange(3)} for i in range(rng.randrange(12))], "middle": {"o": {"p": value()}, "q": [{"r": 1}] * 300}, "text": value(), "last": [{"id": i, "x": value()} for i in range(rng.randrange(12))], "end": [value()]}
+        (tmp_path / f"{k}.json").write_text(json.dumps(made))
+    for parts in (None, 3):
+        found = json_items.items(json_items.pieces(spark, str(tmp_path)), parts).collect()
+        wanted = []
+        for k in range(6):
+            made = json.loads((tmp_path / f"{k}.json").read_text())
+            wanted += [(f"{k}.json", c, i, json.dumps(x)) for c in ("first", "last") for i, x in enumerate(made[c])]
+        assert sorted((r.path[-6:], r.collection, r.idx, json.dumps(json.loads(r.json))) for r in found) == sorted(wanted)
+        plain = {}
+        for r in json_items.members(json_items.pieces(spark, str(tmp_path)), parts).collect():
+            plain.setdefault(r.path[-6:], {}).update(json.loads(r.json))
+        for k in range(6):
+            made = json.loads((tmp_path / f"{k}.json").read_text())
+            assert plain[f"{k}.json"] == {c: x for c, x in made.items() if c in ("n", "text", "end") or x == []}  # an empty array is a plain value
