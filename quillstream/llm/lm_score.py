@@ -116,7 +116,7 @@ def contexts(leaves: np.ndarray, first: np.ndarray, beyond: int, at: np.ndarray
 
 
 def _hidden(w: Weights, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = w["embed"][around].reshape(len(around), -1)
+    x = w["embed"].take(around, axis=0).reshape(len(around), -1)
     h = np.ones((len(around), HIDDEN + 1), x.dtype)  # the last multiplies the bias of out
     np.maximum(x @ w["hidden"] + w["bias"], 0, out=h[:, :-1])
     return x, h
@@ -130,7 +130,9 @@ def surprise(w: Weights, around: np.ndarray, target: np.ndarray, quantiles: np.n
         _, h = _hidden(w, around[i : i + rows])
         z = h @ drawn
         top = z.max(axis=1)
-        out[i : i + rows] = np.einsum("ij,ij->i", h, w["out"][target[i : i + rows]]) - top - np.log(np.exp(z - top[:, None]).mean(axis=1))
+        z -= top[:, None]
+        np.exp(z, out=z)
+        out[i : i + rows] = np.einsum("ij,ij->i", h, w["out"].take(target[i : i + rows], axis=0)) - top - np.log(z.mean(axis=1))
     return out
 
 
@@ -139,13 +141,13 @@ def _sums(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     order = np.argsort(ids.astype(np.uint16), kind="stable")  # two bytes sort by their digits
     ids = ids[order]
     head = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    return ids[head], np.add.reduceat(rows[order], head), np.diff(np.append(head, len(ids)))
+    return ids[head], np.add.reduceat(rows.take(order, axis=0), head), np.diff(np.append(head, len(ids)))
 
 
 def train_step(w: Weights, seen: Weights, met: Weights, around: np.ndarray, target: np.ndarray, noise: np.ndarray) -> None:
     """One step of Adagrad, in place, on the cross entropy of each target against the drawn words; met counts how often each vector is used."""
     x, h = _hidden(w, around)
-    own, drawn = w["out"][target], w["out"][noise]
+    own, drawn = w["out"].take(target, axis=0), w["out"].take(noise, axis=0)
     z = np.concatenate([np.einsum("ij,ij->i", h, own)[:, None], h @ drawn.T], axis=1)
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
@@ -155,10 +157,16 @@ def train_step(w: Weights, seen: Weights, met: Weights, around: np.ndarray, targ
     d_h = (z[:, :1] * own + z[:, 1:] @ drawn)[:, :-1] * (h[:, :-1] > 0)
     d_x = (d_h @ w["hidden"].T).reshape(-1, DEPTH)
     d_out = _sums(np.concatenate([target, noise]), np.concatenate([z[:, :1] * h, z[:, 1:].T @ h]))
-    whole = np.arange(len(w["hidden"])), x.T @ d_h, np.full(len(w["hidden"]), len(target))
-    for k, (ids, g, n) in (("embed", _sums(around.reshape(-1), d_x)), ("hidden", whole), ("bias", (np.zeros(1, int), d_h.sum(axis=0)[None], [len(target)])), ("out", d_out)):
-        seen[k][ids] += g * g
-        w[k][ids] -= RATE * g / (np.sqrt(seen[k][ids]) + 1e-6)
+    whole = slice(None)
+    for k, (ids, g, n) in (("embed", _sums(around.reshape(-1), d_x)), ("hidden", (whole, x.T @ d_h, len(target))), ("bias", (whole, d_h.sum(axis=0)[None], len(target))), ("out", d_out)):
+        squares = g * g
+        squares += seen[k][ids]
+        seen[k][ids] = squares
+        np.sqrt(squares, out=squares)
+        squares += 1e-6
+        g *= RATE
+        g /= squares
+        w[k][ids] -= g
         met[k][ids] += n
 
 
