@@ -198,3 +198,29 @@ def test_questions_stand_once_in_a_batch_and_events_pass_beside_them(spark):
     assert asked == [("id", ""), ("id", "a"), ("key", "k0"), ("key", "k1"), ("key", "k2")]
     events = [r for r in found if r.what == "event"]
     assert sorted(r.arrival for r in events) == [*range(500), 900] and len({r.salt for r in events}) > 50 and {r.kind for r in events} == {"event"}
+
+
+def test_a_stream_has_few_tasks_and_known_keys_leave_at_once(spark, tmp_path, monkeypatch):
+    """State partitions go by the cores, rounds run where Spark adapts the number of tasks, and events of keys saved before enter no round."""
+    source, folder = (str(tmp_path / x) for x in ("in", "state"))
+    rows = made(7, 120)
+    shuffle = spark.conf.get("spark.sql.shuffle.partitions")
+    judged, stale, adaptive, entered = ingest._judged, ingest._with_stale, [], []
+    monkeypatch.setattr(ingest, "_judged", lambda rows, *rest: (adaptive.append(rows.sparkSession.conf.get("spark.sql.adaptive.enabled")), judged(rows, *rest))[1])
+    monkeypatch.setattr(ingest, "_with_stale", lambda rows, start: (entered.append({r.arrival for r in rows.select("arrival").collect()}), stale(rows, start))[1])
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 48)
+        for part in (rows[:90], rows[90:]):
+            entered.clear()
+            write_events(spark, part, source)
+            query = ingest.ingest_stream(stream_of(spark, source), folder)
+            query.processAllAvailable()
+            states = query.lastProgress["stateOperators"]
+            query.stop()
+            assert [s["numShufflePartitions"] for s in states] == [8] and spark.conf.get("spark.sql.shuffle.partitions") == "48"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+    right = walk(rows)
+    assert adaptive == ["true", "true"] and {r.arrival: r.outcome for r in ingest.outcomes(spark, folder).collect()} == right
+    known = {r[3] for r in rows[:90] if r[3] and right[r[1]] == "saved"}
+    assert entered[0] == {r[1] for r in rows[90:] if r[3] not in known} and len(entered[0]) < 30
